@@ -49,5 +49,5 @@ def corpus_rates(profile: DataFrame) -> DataFrame:
     usable = rows - F.col("empty_text") - F.col("any_known_placeholder")
     return profile.select(F.explode(F.array(
         F.struct(F.lit("valid_document_rate").alias("metric"), rate(usable, rows).alias("value")),
-        F.struct(F.lit("full_text_rate"), rate(rows - F.col("lt_100_chars"), rows)),
+        F.struct(F.lit("full_text_rate").alias("metric"), rate(rows - F.col("lt_100_chars"), rows).alias("value")),
     )).alias("p")).select("p.*")

@@ -74,8 +74,9 @@ def records_in_window(items: DataFrame, kinds: list[str], start: str, end: str)
                        at.between(F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))))
 
 
-def with_local_day(items: DataFrame) -> DataFrame:
-    return items.withColumn("decision_day", local_date(F.col("kararTarihi")))
+def with_local_day(items: DataFrame, zone: str = "Europe/Istanbul") -> DataFrame:
+    """The calendar day behind an instant that is local midnight."""
+    return items.withColumn("decision_day", local_date(F.col("kararTarihi"), zone))
 
 
 def json_type_name(schema: Column) -> Column:

@@ -181,9 +181,9 @@ def residual_by_id(residual: DataFrame, cand: DataFrame, require_same_number: bo
         F.max(F.coalesce("similarity", F.lit(0.0))).alias("best"),
         F.max(F.coalesce(F.col("ext_canon") == F.col("cand_canon"), F.lit(False))).alias("canon_match"),
     )
-    on = [residual[k] == best[k] for k in NUMERIC_KEY] + [residual["court"].eqNullSafe(best["ext_court"])]
-    met = residual.join(best, on, "left").select(
-        "document_id", *[residual[k] for k in NUMERIC_KEY], "day", "best", "canon_match")
+    best = best.withColumnsRenamed({k: f"_{k}" for k in NUMERIC_KEY})
+    on = [F.col(k) == F.col(f"_{k}") for k in NUMERIC_KEY] + [F.col("court").eqNullSafe(F.col("ext_court"))]
+    met = residual.join(best, on, "left").select("document_id", *NUMERIC_KEY, "day", "best", "canon_match")
     days = distinct_rows(cand.where(all_not_null(*NUMERIC_KEY, "day")), *NUMERIC_KEY, "day").withColumn(
         "day_match", F.lit(True))
     met = met.join(days, [*NUMERIC_KEY, "day"], "left")
