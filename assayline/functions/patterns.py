@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assayline.vocabulary import DIRECT_PATTERNS, GUARDED_PATTERNS, NEEDLES
+from assayline.functions.text import lower_tr
+from assayline.vocabulary import CONTEXT_PATTERNS, DIGIT_RUN, DIRECT_PATTERNS, GUARDED_PATTERNS, NEEDLES
 
 _WORD = {"re2": "0-9A-Za-z_", "turkish": r"\p{L}\p{N}_"}
 _ESCAPES = {"s": r"\t\n\f\r ", "d": "0-9", "w": "0-9A-Za-z_"}
@@ -96,15 +98,23 @@ def portable(pattern: str, mode: str = "re2") -> str:
     return "".join(out)
 
 
-def matches(text: Column, pattern: str, mode: str = "re2", needle: str | None = None) -> Column:
-    """Unanchored search. `needle` is a literal that every match holds; it is tried first."""
-    found = F.rlike(text, F.lit(portable(pattern, mode)))
-    return text.contains(needle) & found if needle else found
+def matches(text: Column, pattern: str, mode: str = "re2") -> Column:
+    """Unanchored search."""
+    return F.rlike(text, F.lit(portable(pattern, mode)))
 
 
 def direct_flags(text: Column, mode: str = "re2") -> dict[str, Column]:
-    """Label -> whether the text shows that direct identifier."""
-    return {label: matches(text, p, mode, NEEDLES.get(label)) for label, _, p in DIRECT_PATTERNS}
+    """Label -> whether the text shows that direct identifier.
+
+    Every match holds a literal or a run of digits and separators; that cheap test comes first and is shared. A match
+    with eaten neighbours exists where one with guards exists, so the lighter guarded form is searched.
+    """
+    digits = F.rlike(text, F.lit(DIGIT_RUN))
+    return {
+        label: (text.contains(NEEDLES[label]) if label in NEEDLES else digits)
+        & matches(text, GUARDED_PATTERNS.get(label, p), mode)
+        for label, _, p in DIRECT_PATTERNS
+    }
 
 
 def mask_pii(text: Column, mode: str = "re2", guarded: bool = False) -> Column:
@@ -116,3 +126,26 @@ def mask_pii(text: Column, mode: str = "re2", guarded: bool = False) -> Column:
     return reduce(
         lambda acc, s: F.regexp_replace(acc, F.lit(portable(s[1], mode)), F.lit(f"[{s[0]}]")), steps, text
     )
+
+
+def needle_form(text: Column, mode: str = "re2") -> Column:
+    """The text as word lists are tried on it: lower case, long s as s; Turkish mode makes all kinds of i one."""
+    low = F.lower(F.replace(text, F.lit("ſ"), F.lit("s")))
+    if mode == "turkish":
+        low = F.replace(lower_tr(F.replace(text, F.lit("ſ"), F.lit("s"))), F.lit("ı"), F.lit("i"))
+    return low
+
+
+def needles_of(pattern: str, mode: str = "re2") -> list[str]:
+    """Literals of which every match holds one: the plain heads of the first group's alternatives."""
+    group = pattern[pattern.index("(", 4) + 1:pattern.index(")", 4)]
+    heads = [w.replace("\\", "").split("[")[0] for w in group.split("|")]
+    return [h.replace("ı", "i") for h in heads] if mode == "turkish" else heads
+
+
+def context_flags(text: Column, low: Column, mode: str = "re2") -> dict[str, Column]:
+    """Signal -> whether the text shows it. `low` is the text's `needle_form`; the pattern runs where a word is in it."""
+    return {
+        name: reduce(or_, [low.contains(w) for w in needles_of(p, mode)]) & matches(text, p, mode)
+        for name, p in CONTEXT_PATTERNS.items()
+    }

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.functions.text import lower_tr
+from assayline.functions.text import let, lower_tr
 from assayline.vocabulary import PLACEHOLDERS, SHORT_TEXT
 
 
@@ -45,11 +45,11 @@ def contains_any(lowered: Column, words: Iterable[str]) -> Column:
 
 
 def has_placeholder(text: Column | str, words: Iterable[str] = tuple(PLACEHOLDERS.values())) -> Column:
-    return contains_any(lower_tr(as_col(text)), words)
+    return let(lower_tr(as_col(text)), lambda low: contains_any(low, words))
 
 
 def has_marker(text: Column | str, words: Iterable[str]) -> Column:
-    return contains_any(lower_tr(as_col(text)), words)
+    return let(lower_tr(as_col(text)), lambda low: contains_any(low, words))
 
 
 def suspicious_label(c: Column | str) -> Column:
@@ -82,9 +82,13 @@ def changed(before: Column | str, after: Column | str) -> Column:
     return as_col(before) != as_col(after)
 
 
-def matches_phrase(text: Column | str, phrase: str) -> Column:
+def phrase_words(phrase: str) -> list[str]:
     """A phrase is one word or words joined by OR."""
-    return contains_any(lower_tr(as_col(text)), [w.strip().lower() for w in phrase.split(" OR ")])
+    return [w.strip().lower() for w in phrase.split(" OR ")]
+
+
+def matches_phrase(text: Column | str, phrase: str) -> Column:
+    return let(lower_tr(as_col(text)), lambda low: contains_any(low, phrase_words(phrase)))
 
 
 def project_present(df: DataFrame, cols: Iterable[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column
@@ -12,7 +13,12 @@ from assayline.vocabulary import KEY_PATTERN, NAME_CHARS, NORMAL_CHARS, WINDOW_C
 
 def lower_tr(c: Column) -> Column:
     """Lower case with dotted capital I as one letter (plain `lower` gives two code points)."""
-    return F.lower(F.translate(c, "İ", "i"))
+    return F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value worked out once per row, wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), body)[0]
 
 
 @lru_cache(maxsize=1)
@@ -37,16 +43,16 @@ def _folds() -> tuple[tuple[str, str], ...]:
 
 def fold_case(c: Column) -> Column:
     """Full case folding, as far as characters of the normal form are concerned."""
-    single = [(a, b) for a, b in _folds() if len(b) == 1]
-    multi = [(a, b) for a, b in _folds() if len(b) > 1]
-    c = F.translate(c, "".join(a for a, _ in single), "".join(b for _, b in single))
-    c = reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), multi, c)
-    return lower_tr(c)
+    return lower_tr(reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), _folds(), c))
+
+
+# White space of Unicode and the four separator controls, without the plain space.
+_SPACES = r"\t-\r\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def squeeze(c: Column) -> Column:
-    """Runs of Unicode white space (and the four separator controls) become one space."""
-    return F.regexp_replace(c, r"(?U)[\s\u001c-\u001f]+", " ")
+    """Runs of white space become one space. A single plain space is left alone, which is the common case."""
+    return F.regexp_replace(c, f"[{_SPACES}][ {_SPACES}]*| [ {_SPACES}]+", " ")
 
 
 def normalize_text(c: Column) -> Column:

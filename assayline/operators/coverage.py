@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayline.functions.predicates import contains_any, matches_phrase
+from assayline.functions.predicates import contains_any, phrase_words
 from assayline.functions.text import lower_tr, ratio
 from assayline.operators.profile import quantile
 from assayline.vocabulary import COMPLETE_YEARS, GAP_FLOOR, GAP_YEARS, PHRASES, PLACEHOLDERS, SHORT_TEXT
 
 
 def coverage_by_year(df: DataFrame) -> DataFrame:
-    facts = df.select("year", F.length("text").alias("_chars"),
-                      contains_any(lower_tr(F.col("text")), PLACEHOLDERS.values()).alias("_placeholder"))
+    low = df.select("year", F.length("text").alias("_chars"), lower_tr(F.col("text")).alias("_low"))
+    facts = low.select("year", "_chars", contains_any(F.col("_low"), PLACEHOLDERS.values()).alias("_placeholder"))
     return facts.groupBy("year").agg(
         F.count("*").alias("decisions"), F.count_if(F.col("_chars") < SHORT_TEXT).alias("lt_300"),
         F.count_if("_placeholder").alias("known_placeholder"),
@@ -107,8 +107,9 @@ def complete_period_ratio(compared: DataFrame, years: tuple[int, int] = COMPLETE
 
 def phrase_totals(df: DataFrame, phrases: tuple[str, ...] = PHRASES) -> DataFrame:
     """(year, phrase, total, corpus_rows, ratio): rows per year that hold any word of the phrase, from one scan."""
-    marks = {f"p{i}": matches_phrase("text", p) for i, p in enumerate(phrases)}
-    flags = df.select("year", *[c.alias(n) for n, c in marks.items()])
+    marks = {f"p{i}": contains_any(F.col("_low"), phrase_words(p)) for i, p in enumerate(phrases)}
+    low = df.select("year", lower_tr(F.col("text")).alias("_low"))
+    flags = low.select("year", *[c.alias(n) for n, c in marks.items()])
     per_year = flags.groupBy("year").agg(
         F.count("*").alias("corpus_rows"), *[F.count_if(F.col(n)).alias(n) for n in marks]
     )

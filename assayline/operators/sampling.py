@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayline.functions.predicates import in_years, suspicious_row
-from assayline.functions.text import court_group, lower_tr, stable_hash
+from assayline.functions.predicates import in_years
+from assayline.functions.text import court_group, let, lower_tr, stable_hash
 from assayline.session import settle
 from assayline.vocabulary import (
     MIDDLE, MIDDLE_PER_YEAR, MIDDLE_YEARS, MODERN, MODERN_PER_YEAR, MODERN_YEARS, OLD, OLD_TOTAL, PLACEHOLDERS,
-    REVIEW_COLUMNS, SAMPLE_SEED, SHORT_TEXT, VERIFY_ALLOCATION,
+    REVIEW_COLUMNS, SAMPLE_SEED, SHORT_LIMITS, SHORT_TEXT, VERIFY_ALLOCATION,
 )
 
 FAN_IN = 256
@@ -137,12 +137,18 @@ def shortest_texts(df: DataFrame, k: int = 200, limit: int = SHORT_TEXT) -> Data
     return top_k(short, k, F.col("chars"), F.col("id"))
 
 
-def severity(text: Column, lowered: Column) -> Column:
-    """0..2 for the placeholders in order of severity, 3 for a very short text, 4 for the rest."""
-    out = F
-    for rank, word in enumerate(PLACEHOLDERS.values()):
-        out = out.when(lowered.contains(word), rank)
-    return out.when(F.length(text) < 100, 3).otherwise(4)
+def severity(text: Column, label: Column) -> Column:
+    """0..2 for the placeholders in their order, 3 for a very short text, 4 for a short one or a dash as label.
+
+    NULL means that nothing is suspicious. One expression serves as filter and as sort key.
+    """
+    def rank(low: Column) -> Column:
+        marks = [F.when(low.contains(word), i) for i, word in enumerate(PLACEHOLDERS.values())]
+        return F.coalesce(*marks)
+
+    length = F.length(text)
+    return F.coalesce(let(lower_tr(text), rank), F.when(length < SHORT_LIMITS[0], 3),
+                      F.when((length < SHORT_TEXT) | (label == "-"), 4))
 
 
 def suspicious_order() -> tuple[Column, ...]:
@@ -151,11 +157,10 @@ def suspicious_order() -> tuple[Column, ...]:
 
 def suspicious_rows(df: DataFrame) -> DataFrame:
     """All suspicious rows with their severity."""
-    low = df.withColumn("_low", lower_tr(F.col("text")))
-    text = F.col("text")
-    return low.where(suspicious_row(text, F.col("_low"), F.col("court"))).select(
+    return df.select(
         "id", "document_id", "court", "esas_no", "karar_no", "karar_tarihi", "year",
-        F.length(text).alias("chars"), "text", severity(text, F.col("_low")).alias("severity"))
+        F.length("text").alias("chars"), "text", severity(F.col("text"), F.col("court")).alias("severity"),
+    ).where(F.col("severity").isNotNull())
 
 
 def suspicious_top(df: DataFrame, k: int = 1000) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.functions.patterns import direct_flags, mask_pii, matches
+from assayline.functions.patterns import context_flags, direct_flags, mask_pii, needle_form
 from assayline.functions.predicates import changed, is_masked
 from assayline.functions.text import rate, text_windows
 from assayline.operators.sampling import top_n_per_stratum
@@ -59,7 +59,8 @@ def contextual_sample(df: DataFrame, limits: dict[int, int] = CONTEXT_SAMPLE) ->
 
 def signal_counts(sample: DataFrame, mode: str = "re2") -> DataFrame:
     """One row: sample size, modern rows, rows per signal."""
-    flags = sample.select("modern", *[matches(F.col("text"), p, mode).alias(n) for n, p in CONTEXT_PATTERNS.items()])
+    facts = sample.select("modern", "text", needle_form(F.col("text"), mode).alias("_low"))
+    flags = facts.select("modern", *[c.alias(n) for n, c in context_flags(F.col("text"), F.col("_low"), mode).items()])
     return flags.agg(
         F.count("*").alias("rows_sampled"), F.count_if(F.col("modern") == 1).alias("modern_rows"),
         *[F.count_if(F.col(n)).alias(n) for n in CONTEXT_PATTERNS],

@@ -14,6 +14,15 @@ def scan_corpus(spark: SparkSession, *globs: str) -> DataFrame:
     return spark.read.schema(CORPUS).parquet(*globs)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spreads a scan that has fewer parts than the cluster has cores: a few small files with heavy text work.
+
+    A large table has more parts than that and is left as it is, so no shuffle is added to it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_shard(spark: SparkSession, path: str) -> DataFrame:
     """One file with whatever columns it has."""
     return spark.read.parquet(path)

@@ -13,7 +13,8 @@ def write_csv(df: DataFrame, path: str, *order: Column | str, single: bool = Tru
     """Ordered CSV with a header. `single` is for bounded reports; else each sorted range is its own file."""
     out = df.orderBy(*order) if order else df
     out = out.coalesce(1) if single else out
-    out.write.csv(path, header=True, escape='"', mode="errorifexists")
+    out.write.csv(path, header=True, escape='"', mode="errorifexists",
+                  ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_sample_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

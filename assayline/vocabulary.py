@@ -49,6 +49,8 @@ DIRECT_PATTERNS = (
 
 # A literal each match must hold: a cheap test that spares the regular expression on most rows.
 NEEDLES = {"EPOSTA": "@"}
+# What each match of the four number patterns holds: ten characters of digits and separators, from a digit on.
+DIGIT_RUN = "[0-9][0-9 .-]{9}"
 
 # --- fixed values: the same two identifiers with guards that do not eat the neighbouring character --------
 GUARDED_PATTERNS = {

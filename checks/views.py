@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assayline import CorpusMap
 from assayline.session import scratch_path
-from assayline.sources.corpus import with_decision_year
+from assayline.sources.corpus import widen, with_decision_year
 
 # Words and numbers of the invented prose, turned into what the audits look for.
 WORDS = (
@@ -69,7 +69,7 @@ _CORPUS = CorpusMap(_MAPPED | {"text": "text", "raw_sha256": "sha2(text, 256)"})
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` as a corpus, with local wording."""
-    return _CORPUS.apply(table(spark, sf_dir, "documents")).withColumn("text", local_text(F.col("text")))
+    return _CORPUS.apply(widen(table(spark, sf_dir, "documents"))).withColumn("text", local_text(F.col("text")))
 
 
 _sql_corpus = ", ".join(f"{e} AS {n}" for n, e in _MAPPED.items())
