@@ -53,8 +53,14 @@ def pii_totals(by_year: DataFrame) -> DataFrame:
     return by_year.agg(*[F.sum(c).alias(c) for c in by_year.columns if c != "year"])
 
 
+def drawn(df: DataFrame, limits: dict[int, int]) -> DataFrame:
+    """A sample with its texts, spread again: it leaves the ranking in as many parts as there are strata."""
+    sample = top_n_per_stratum(df.select("id", "year", "text"), limits)
+    return sample.repartition(df.sparkSession.sparkContext.defaultParallelism, "id")
+
+
 def contextual_sample(df: DataFrame, limits: dict[int, int] = CONTEXT_SAMPLE) -> DataFrame:
-    return top_n_per_stratum(df.select("id", "year", "text"), limits)
+    return drawn(df, limits)
 
 
 def signal_counts(sample: DataFrame, mode: str = "re2") -> DataFrame:
@@ -179,4 +185,4 @@ def entity_run_quality(detections: DataFrame, max_error_rate: float = 0.05) -> D
 
 
 def entity_sample(df: DataFrame, limits: dict[int, int] = ENTITY_SAMPLE) -> DataFrame:
-    return top_n_per_stratum(df.select("id", "year", "text"), limits)
+    return drawn(df, limits)

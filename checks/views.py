@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assayline import CorpusMap
 from assayline.session import scratch_path
-from assayline.sources.corpus import widen, with_decision_year
+from assayline.sources.corpus import scan_corpus, widen, with_decision_year
 
 # Words and numbers of the invented prose, turned into what the audits look for.
 WORDS = (
@@ -67,9 +67,17 @@ _MAPPED = {
 _CORPUS = CorpusMap(_MAPPED | {"text": "text", "raw_sha256": "sha2(text, 256)"})
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents` as a corpus, with local wording."""
-    return _CORPUS.apply(widen(table(spark, sf_dir, "documents"))).withColumn("text", local_text(F.col("text")))
+    """`documents` as a corpus with local wording: a table written once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        derived = _CORPUS.apply(widen(table(spark, sf_dir, "documents"))).withColumn("text", local_text(F.col("text")))
+        _written[key] = scratch_path(spark, "corpus")
+        derived.write.parquet(_written[key])
+    return scan_corpus(spark, _written[key])
 
 
 _sql_corpus = ", ".join(f"{e} AS {n}" for n, e in _MAPPED.items())
