@@ -121,4 +121,14 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b)], dtype="float64")
+    """NULL if a side is NULL. Names repeat, so each pair is worked out once per batch."""
+    known: dict[tuple[str, str], float] = {}
+
+    def score(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        if (x, y) not in known:
+            known[x, y] = jaro_winkler_of(x, y)
+        return known[x, y]
+
+    return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -153,7 +153,7 @@ def exact_residual(ext: DataFrame, cand: DataFrame) -> DataFrame:
 def label_matches(residual: DataFrame, cand: DataFrame, require_same_number: bool = False) -> DataFrame:
     """Per numeric key: pairs of court names with the number of row pairs behind them, and their similarity.
 
-    Both sides are counted per (numeric key, name) first. The similarity is worked out once per pair of names.
+    Both sides are counted per (numeric key, name) first: rows that share both are one row here.
     """
     parsed = all_not_null(*NUMERIC_KEY)
     e = residual.where(parsed).groupBy(
@@ -166,17 +166,14 @@ def label_matches(residual: DataFrame, cand: DataFrame, require_same_number: boo
     if require_same_number:
         number = [F.regexp_extract(side, "[0-9]+", 0) for side in ("ext_canon", "cand_canon")]
         pairs = pairs.where(number[0] == number[1])
-    names = pairs.select("ext_canon", "cand_canon").distinct()
-    scored = names.withColumn("similarity", jaro_winkler("ext_canon", "cand_canon"))
-    return pairs.join(scored, ["ext_canon", "cand_canon"], "left")
+    return pairs.withColumn("similarity", jaro_winkler("ext_canon", "cand_canon"))
 
 
-def residual_by_id(residual: DataFrame, cand: DataFrame, require_same_number: bool = False) -> DataFrame:
-    """Per external id: its residual rows and what they meet on the other side.
+def residual_by_id(residual: DataFrame, cand: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per external id: its residual rows and what they meet on the other side; `pairs` is `label_matches` of the two.
 
     Columns: rows, any_match, canon_match, best (similarity), day_match.
     """
-    pairs = label_matches(residual, cand, require_same_number)
     best = pairs.groupBy(*NUMERIC_KEY, "ext_court").agg(
         F.max(F.coalesce("similarity", F.lit(0.0))).alias("best"),
         F.max(F.coalesce(F.col("ext_canon") == F.col("cand_canon"), F.lit(False))).alias("canon_match"),

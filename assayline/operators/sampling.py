@@ -79,7 +79,7 @@ def ranked_sample(df: DataFrame, group: str, limits: Limits, id_column: str = "i
 
 def top_n_per_year(df: DataFrame, n: int, years: tuple[int, int], id_column: str = "id") -> DataFrame:
     limits = {y: n for y in range(years[0], years[1] + 1)}
-    rows = df.withColumn("_group", F.col("year").cast("int"))
+    rows = df.where(in_years("year", years)).withColumn("_group", F.col("year").cast("int"))
     return ranked_sample(rows, "_group", limits, id_column).drop("_group", "_rn")
 
 
@@ -107,7 +107,8 @@ def stratified_sample(df: DataFrame, id_column: str = "id") -> DataFrame:
     limits = {0: OLD_TOTAL}
     limits |= {y: MIDDLE_PER_YEAR for y in range(MIDDLE_YEARS[0], MIDDLE_YEARS[1] + 1)}
     limits |= {y: MODERN_PER_YEAR for y in range(MODERN_YEARS[0], MODERN_YEARS[1] + 1)}
-    rows = df.withColumn("_group", F.when(year < MIDDLE_YEARS[0], 0).otherwise(year))
+    rows = df.where(F.col("year") <= MODERN_YEARS[1]).withColumn(
+        "_group", F.when(year < MIDDLE_YEARS[0], 0).otherwise(year))
     picked = ranked_sample(rows, "_group", limits, id_column).drop("_group", "_rn")
     return picked.withColumns({
         "stratum": F.when(in_years(year, MODERN_YEARS), MODERN).when(in_years(year, MIDDLE_YEARS), MIDDLE)

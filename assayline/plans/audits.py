@@ -15,6 +15,7 @@ from assayline.functions.predicates import project_present
 from assayline.functions.text import rate
 from assayline.operators import coverage, duplicates, gates, landing, matching, profile, sampling, screening
 from assayline.operators import verification
+from assayline.session import settle
 from assayline.sources import files
 from assayline.sources.outputs import to_long
 from assayline.vocabulary import CONTEXT_SAMPLE, CORPUS_COLUMNS, ENTITY_SAMPLE, METADATA_KEY
@@ -139,11 +140,14 @@ def cross_source_audit(cand: DataFrame, ext: DataFrame) -> Tables:
 
 
 def reconcile(cand: DataFrame, ext: DataFrame, require_same_number: bool = False) -> Tables:
-    """Exact residual, numeric key, similar court name. `require_same_number` rejects names of unlike chamber numbers."""
+    """Exact residual, numeric key, similar court name. `require_same_number` rejects names of unlike chamber numbers.
+
+    The residual, the name pairs and the summary per id feed several results, so each is written once.
+    """
     c, e = matching.reconcile_candidate(cand), matching.reconcile_external(ext)
-    residual = matching.exact_residual(e, c)
-    by_id = matching.residual_by_id(residual, c, require_same_number)
-    pairs = matching.label_matches(residual, c, require_same_number)
+    residual = settle(matching.exact_residual(e, c), "residual")
+    pairs = settle(matching.label_matches(residual, c, require_same_number), "pairs")
+    by_id = settle(matching.residual_by_id(residual, c, pairs), "by_id")
     return {
         "summary": matching.distinct_matches(by_id),
         "aliases": matching.alias_top(matching.alias_pairs(pairs)),
@@ -153,7 +157,9 @@ def reconcile(cand: DataFrame, ext: DataFrame, require_same_number: bool = False
 
 def verify_texts(sample: DataFrame, official: DataFrame) -> Tables:
     """Sampled rows against official texts, row by row and in sum."""
-    results = verification.compare_texts(verification.attach_official_text(sample, official)).persist()
+    pairs = verification.attach_official_text(sample, official)
+    spread = pairs.repartition(sample.sparkSession.sparkContext.defaultParallelism)  # few rows, much work on each
+    results = verification.compare_texts(spread).persist()
     return {"results": results, "quality": verification.match_quality(results)}
 
 

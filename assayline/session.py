@@ -16,6 +16,7 @@ def build_session(app: str = "assayline", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     )
     if master:
         builder = builder.master(master)
