@@ -29,8 +29,8 @@ Limits = Mapping[int, int] | Mapping[str, int]
 
 def _limit_of(group: str, limits: Limits) -> Column:
     """Limit of a row's group; 0 for a group that is not asked for."""
-    pairs = [F.struct(F.lit(g).alias("key"), F.lit(n).alias("value")) for g, n in limits.items()]
-    return F.coalesce(F.map_from_entries(F.array(*pairs))[F.col(group)], F.lit(0))
+    pairs = ", ".join(f"{g!r}, {n}" for g, n in limits.items())
+    return F.expr(f"coalesce(map({pairs})[{group}], 0)")
 
 
 def top_k(df: DataFrame, k: int, *order: Column, fan_in: int = FAN_IN) -> DataFrame:

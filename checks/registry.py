@@ -15,8 +15,9 @@ from assayline.functions.similarity import jaro_winkler, sequence_ratio
 from assayline.operators import coverage, duplicates, landing, matching, profile, sampling, screening
 from assayline.operators import verification
 from assayline.plans import audits
-from assayline.session import scratch_path
+from assayline.session import scratch_path, settle
 from assayline.sources import files, landed, outputs
+from assayline.sources.corpus import scan_shard as scan_one
 from assayline.vocabulary import (
     CONTEXT_PATTERNS, DIRECT_PATTERNS, MARKERS, MASK_TOKENS, PHRASES, PLACEHOLDERS, TARGETS,
 )
@@ -94,7 +95,7 @@ def file_inventory(spark, sf_dir):
     return files.file_inventory(spark, f"{sf_dir}/*.parquet").select("file", "rows")
 
 
-@register("SELECT sum(n) AS rows, count(*) AS files FROM ("
+@register("SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS files FROM ("
           + " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in TABLES) + ")")
 def file_totals(spark, sf_dir):
     return files.file_totals(files.file_inventory(spark, f"{sf_dir}/*.parquet")).select("rows", "files")
@@ -219,6 +220,23 @@ def named_view(spark, sf_dir):
     return spark.sql("SELECT lang, count(*) AS n FROM named_documents GROUP BY lang")
 
 
+@register("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def settled_table(spark, sf_dir):
+    """A result written once to the shared folder and read back."""
+    docs = table(spark, sf_dir, "documents")
+    return settle(docs.groupBy("lang", "source").agg(F.count("*").alias("n")), "counts")
+
+
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@register(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM orders"
+                             for c in _ORDER_COLUMNS))
+def scan_shard(spark, sf_dir):
+    """One file with whatever columns it has."""
+    return audits.profile_shard(scan_one(spark, f"{sf_dir}/orders.parquet"))["nulls"]
+
+
 # --- predicates and functions -------------------------------------------------------------------------------
 
 
@@ -370,6 +388,13 @@ def dup_excess(spark, sf_dir):
     return duplicates.dup_excess(table(spark, sf_dir, "documents"), "text")
 
 
+@register(of_corpus(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS rows, count(DISTINCT {c}) AS distinct_values, "
+    f"count({c}) - count(DISTINCT {c}) AS excess FROM corpus" for c in ("id", "document_id", "raw_sha256"))))
+def shard_uniqueness(spark, sf_dir):
+    return audits.profile_shard(corpus(spark, sf_dir))["uniqueness"]
+
+
 @register(of_corpus("SELECT count(karar_no) AS nonnull, count(DISTINCT karar_no) AS distinct_values, "
                     "count(karar_no) - count(DISTINCT karar_no) AS duplicate_excess FROM corpus"))
 def dup_excess_non_null(spark, sf_dir):
@@ -423,6 +448,12 @@ def coverage_by_year(spark, sf_dir):
     return coverage.coverage_by_year(corpus(spark, sf_dir))
 
 
+@register(REGISTRY["metrics_json"][1])
+def full_audit_by_year(spark, sf_dir):
+    """The yearly table cut from the one-scan cube."""
+    return audits.full_audit(corpus(spark, sf_dir), "en")["by_year"]
+
+
 @register(of_corpus("SELECT court, count(*) AS decisions, " + _count("length(text) < 300", "lt_300")
                     + " FROM corpus GROUP BY court"))
 def coverage_by_court(spark, sf_dir):
@@ -934,6 +965,47 @@ def probe_suspicious(spark, sf_dir):
     return audits.probe_suspicious(listed, _official(spark, sf_dir))["results"]
 
 
+_PROBED = ("SELECT s.*, o.status, o.official_text FROM (SELECT * FROM (" + _SUSPICIOUS + ") ORDER BY severity, chars, id "
+           "LIMIT 12) s LEFT JOIN official o USING (document_id)")
+_OFFICIAL_LOW = "lower(replace(official_text, 'İ', 'i'))"
+
+
+@register(with_ctes("corpus", "official", body=(
+    "SELECT id, coalesce(status, 'missing') AS status, "
+    + ", ".join(f"{_any([w])} AS {n.replace('placeholder', 'corpus_has')}, {_any([w], _OFFICIAL_LOW)} AS "
+                f"{n.replace('placeholder', 'official_has')}" for n, w in PLACEHOLDERS.items()) + f" FROM ({_PROBED})")))
+def placeholder_flags(spark, sf_dir):
+    listed = sampling.suspicious_top(corpus(spark, sf_dir))
+    out = audits.probe_suspicious(listed, _official(spark, sf_dir))["results"]
+    names = [n.replace("placeholder", f"{side}_has") for n in PLACEHOLDERS for side in ("corpus", "official")]
+    return out.select("id", "status", *names)
+
+
+@register(with_ctes("corpus", "official", body=(
+    "SELECT count(*) AS requested, " + _count("status = 'ok'", "official_retrieved") + ", "
+    + _counts({n.replace("placeholder", "official_preserves"): f"status = 'ok' AND {_any([w], _OFFICIAL_LOW)}"
+               for n, w in PLACEHOLDERS.items()}) + f" FROM ({_PROBED})")))
+def placeholder_quality(spark, sf_dir):
+    listed = sampling.suspicious_top(corpus(spark, sf_dir))
+    return audits.probe_suspicious(listed, _official(spark, sf_dir))["quality"]
+
+
+def _norm(column: str) -> str:
+    return _NORM.format(column)
+
+
+@register(with_ctes("corpus", "official", body=(
+    "SELECT count(*) AS requested, " + _count("status = 'ok'", "official_retrieved") + ", " + _count(
+        f"status = 'ok' AND contains({_norm('official_text')}, {_norm('court')}) AND contains({_norm('official_text')}, "
+        f"{_norm('esas_no')}) AND contains({_norm('official_text')}, {_norm('karar_no')})", "metadata_all_three_present")
+    + f" FROM ({_EVEN}) e LEFT JOIN official USING (document_id)")))
+def verification_counts(spark, sf_dir):
+    """The counts of the verification that need no similarity."""
+    sample = sampling.evenly_pick(sampling.stratified_sample(corpus(spark, sf_dir)))
+    quality = audits.verify_texts(sample, _official(spark, sf_dir))["quality"]
+    return quality.select("requested", "official_retrieved", "metadata_all_three_present")
+
+
 # --- landed pages --------------------------------------------------------------------------------------------
 
 
