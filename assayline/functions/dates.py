@@ -20,5 +20,6 @@ def dotted_year(c: Column) -> Column:
 
 
 def local_date(c: Column, zone: str = "Europe/Istanbul") -> Column:
-    """Calendar day, in `zone`, of an instant such as 2026-09-06T21:00:00.000+00:00."""
-    return F.to_date(F.from_utc_timestamp(F.try_to_timestamp(c), zone))
+    """Calendar day, in `zone`, of an instant such as 2026-09-06T21:00:00.000+00:00, whatever the session's zone."""
+    wall_clock = F.try_to_timestamp(c).cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit(zone), wall_clock).cast("date")

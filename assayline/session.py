@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,19 @@ def build_session(app: str = "assayline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=None)
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="assayline-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`; a temporary one only for a local session without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="assayline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return _local_root(spark.sparkContext.applicationId)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -88,6 +88,12 @@ def test_length_ratio_and_rates(spark):
 def test_dates(spark):
     got = values(spark, ["2026-09-06T21:00:00.000+00:00", "2014-01-01T22:00:00.000+00:00"], dates.local_date(F.col("v")))
     assert [str(g[0]) for g in got] == ["2026-09-07", "2014-01-02"]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = values(spark, ["2026-09-06T21:00:00.000+00:00", "2026-09-06T20:59:00Z", "x"], dates.local_date(F.col("v")))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [str(g[0]) for g in got] == ["2026-09-07", "2026-09-06", "None"]
     got = values(spark, ["07.09.2026", "2026-09-07", None], dates.dotted_date(F.col("v")), dates.dotted_year(F.col("v")))
     assert [(str(a), b) for a, b in got] == [("2026-09-07", 2026), ("None", None), ("None", None)]
 
