@@ -60,7 +60,7 @@ def counters(flags: dict[str, Column] | list[str]) -> list[Column]:
 
 
 def quantile(c: Column, p: float, accuracy: int = ACCURACY) -> Column:
-    """Discrete quantile from a mergeable sketch; exact for groups of up to `accuracy` rows."""
+    """Discrete quantile from a mergeable sketch with a rank error of one in `accuracy`."""
     return F.percentile_approx(c, p, accuracy)
 
 
