@@ -18,6 +18,7 @@ from assayline.plans import audits
 from assayline.session import scratch_path, settle
 from assayline.sources import files, landed, outputs
 from assayline.sources.corpus import scan_shard as scan_one
+from assayline.sources.corpus import widen
 from assayline.vocabulary import (
     CONTEXT_PATTERNS, DIRECT_PATTERNS, MARKERS, MASK_TOKENS, PHRASES, PLACEHOLDERS, TARGETS,
 )
@@ -300,14 +301,14 @@ def text_windows(spark, sf_dir):
 @register("SELECT page_id, CAST(length(html) AS INTEGER) AS html_chars, true AS shorter FROM pages")
 def html_text_shrinks(spark, sf_dir):
     """Every page loses its tags."""
-    pages = table(spark, sf_dir, "pages").withColumn("text", html_to_text("html"))
+    pages = widen(table(spark, sf_dir, "pages")).withColumn("text", html_to_text("html"))
     return pages.select("page_id", F.length("html").alias("html_chars"),
                         (F.length("text") < F.length("html")).alias("shorter"))
 
 
 @register()
 def html_to_text_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").withColumn("text", html_to_text("html"))
+    pages = widen(table(spark, sf_dir, "pages")).withColumn("text", html_to_text("html"))
     return pages.select("page_id", "url", F.length("text").alias("text_chars"), F.md5("text").alias("text_md5"))
 
 
