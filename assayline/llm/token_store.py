@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -45,7 +46,8 @@ FILE_TOKENS = 1 << 23
 FILES = "path string, part int, seq int, docs long, n_tokens long"
 #: Words that NFC and the blank rule leave as they are, and whose lower case is one letter for one.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-SPECIAL = "<|"
+SPECIAL = b"<|"
+MARKS = (b".", b",", b";", b":", b"!", b"?", b")")
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -68,23 +70,32 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.split = regex.compile(PRETOKEN).findall
         self.letters = dict(enumerate(byte_letters()))
-        self.values: list[int] = []
-        self.ends: list[int] = [0]
+        self.values, self.ends = array("I"), array("q", [0])
 
     def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text) and SPECIAL not in text:
-            parts = self.split(text.lower())
-            if not text.isascii():
-                parts = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
-            for part in parts:
-                self.values += [t.id for t in self.model.tokenize(part)]
+        if word.isascii() and (low := word.lower()) != word and SPECIAL not in word:
+            i = self[word] = self[low]  # upper case gives the same ids
+            return i
+        if word[:-1].isalpha() and word[-1:] in MARKS:  # letters and a mark are two pre-tokens, each met more often alone
+            ids = self.of(self[word[:-1]]) + self.of(self[word[-1:]])
         else:
-            self.values += self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.ids(word.decode("utf-8", "replace"))
+        self.values.extend(ids)
         i = self[word] = len(self.ends) - 1
         self.ends.append(len(self.values))
         return i
 
+    def of(self, i: int) -> array:
+        return self.values[self.ends[i] : self.ends[i + 1]]
+
+    def ids(self, text: str) -> list[int]:
+        if not PLAIN.fullmatch(text) or "<|" in text:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        parts = [text.lower()] if text.isalpha() else self.split(text.lower())
+        if not text.isascii():
+            parts = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
+        return [t.id for part in parts for t in self.model.tokenize(part)]
+
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, without end ids, and where each text starts."""
         found = [t.split() if t else [] for t in texts]
@@ -94,7 +105,7 @@ class WordIds(dict):
         ends = np.concatenate([[0], np.cumsum(lengths)])
         if len(self) > WORDS_KEPT:
             self.clear()
-            self.values, self.ends = [], [0]
+            self.values, self.ends = array("I"), array("q", [0])
         return values, ends[starts]
 
 
@@ -235,14 +246,15 @@ def read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             files, place = fs.FileSystem.from_uri(path)
             with files.open_input_file(place) as f:
                 file = TokenFile(f.read())
-            for a in range(0, file.docs, 2000):
-                b = min(a + 2000, file.docs)
+            for a in range(0, file.docs, 500):
+                b = min(a + 500, file.docs)
                 starts = file.starts[a : b + 1]
-                ids = [file.tokens(x, y) for x, y in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+                run = file.tokens(int(starts[0]), int(starts[-1])).astype("<u4").tobytes()
+                ids = [run[4 * x : 4 * y] for x, y in zip((starts[:-1] - starts[0]).tolist(), (starts[1:] - starts[0]).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(file.doc_ids[a:b], mask=file.null[a:b].astype(bool)), pa.array(starts[:-1] + first),
-                     pa.array(np.diff(starts)), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                     pa.array([x.tobytes() for x in ids], pa.binary())],
+                     pa.array(np.diff(starts)), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                     pa.array(ids, pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
 
