@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayline.llm.common import in_parts, sorted_groups
 from assayline.llm.components import components
 from assayline.session import settle
 
@@ -153,40 +154,14 @@ def linked_rows(cosine: float):
     key = ["label", "dim", "filter", "p", "q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, out = None, []
-
-        def work(t: pa.Table):
-            f, p, q = (t.column(c)[0].as_py() for c in ("filter", "p", "q"))
-            if t.num_rows > 1:
-                got = bucket_links(f, p == q, t.column("part").to_numpy(), t.column("node").to_numpy(), t.column("w").to_numpy(),
-                                   t.column("vec").to_pylist(), t.column("filters").to_pylist(), cosine)
-                if got:
-                    out.append(got)
-
-        def flush():
-            node, links, least = (np.concatenate(x) for x in zip(*out, strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(least)], names=["node", "links", "least"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            if not t.num_rows:
+        for t in sorted_groups(batches, key):
+            if t.num_rows < 2:
                 continue
-            same = np.ones(t.num_rows - 1, bool)
-            for c in key:
-                x = t.column(c).to_numpy()
-                same &= x[1:] == x[:-1]
-            cuts = [0, *(np.flatnonzero(~same) + 1).tolist()]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                work(t.slice(a, b - a))
-            rest = t.slice(cuts[-1])
-            if out:
-                yield flush()
-        if rest is not None and rest.num_rows:
-            work(rest)
-        if out:
-            yield flush()
+            f, p, q = (t.column(c)[0].as_py() for c in ("filter", "p", "q"))
+            got = bucket_links(f, p == q, *(t.column(c).to_numpy() for c in ("part", "node", "w")), t.column("vec").to_pylist(),
+                               t.column("filters").to_pylist(), cosine)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["node", "links", "least"])
 
     return run
 
@@ -207,12 +182,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     bucket = ["label", "dim", "filter"]
     sizes = work.groupBy(*bucket).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     parts = sizes.select(*bucket, F.ceil(F.col("c") / PART).cast("int").alias("s"))
-    work = work.join(parts, bucket).withColumn("part", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
-    # Part p meets every part: pairs (p, q) with p <= q, each laid out from the side of both of its parts.
-    work = work.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumns(
-        {"p": F.least("part", "o"), "q": F.greatest("part", "o")}).drop("o", "s")
-    found = settle(work.repartition(*bucket, "p", "q").sortWithinPartitions(*bucket, "p", "q").mapInArrow(
-        linked_rows(cosine), "node long, links long, least long"), "links")
+    found = settle(in_parts(work, bucket, parts, "node").mapInArrow(linked_rows(cosine), "node long, links long, least long"), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = settle(components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()), "components")
     named = rows.select("uid", "vec_id").join(keyed, "uid", "left").join(classes, ["k1", "k2"], "left")

@@ -109,6 +109,37 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, of rows that come sorted by whole numbers; a key may span batches."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not t.num_rows:
+            continue
+        same = np.ones(t.num_rows - 1, bool)
+        for c in keys:
+            x = t.column(c).to_numpy()
+            same &= x[1:] == x[:-1]
+        cuts = [0, *(np.flatnonzero(~same) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield t.slice(a, b - a)
+        rest = t.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def in_parts(rows: DataFrame, bucket: list[str], parts: DataFrame, node: str) -> DataFrame:
+    """Cuts crowded buckets for work on pairs of parts. parts: bucket columns and `s`, the number of parts.
+
+    A row of part `part` is laid out once for every part it meets, under (p, q) with p <= q; each pair of parts is a
+    piece of work of its own, and rows come sorted by it."""
+    rows = rows.join(parts, bucket).withColumn("part", F.pmod(F.xxhash64(node), F.col("s")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    rows = rows.withColumns({"p": F.least("part", "o"), "q": F.greatest("part", "o")}).drop("o", "s")
+    return rows.repartition(*bucket, "p", "q").sortWithinPartitions(*bucket, "p", "q")
+
+
 def with_columns(batch: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 

@@ -6,9 +6,10 @@ is the least of the set's values under the i-th exponential hash of rate a; regi
 
 Registers are grouped in bands; nodes that agree in a whole band are candidates. Inside a band's bucket no pairs are laid
 out: all are held against one centre, the pair's overlap is estimated from both sketches by maximum likelihood (sizes are
-known), clear misses go, and the rest is confirmed on the full sets. Confirmed links are joined to components, and buckets
-that then hold more than one component get another centre, `CENTRES` times. After that, what is still apart in a bucket is
-compared in full, so no bucket is cut off. Candidates always are pairs of nodes that are not yet known to be connected.
+known), clear misses go, and the rest is confirmed on the full sets. Confirmed links are joined to components. Buckets that
+then hold more than one component are compared in full inside tasks, cut into parts of `PART` nodes or `PART_BYTES` of text,
+each pair of parts a piece of work of its own: only nodes of different components meet, each pair in the first band it
+shares, and what leaves a task is a link for each two components that it joins. No bucket is cut off.
 
 Null or empty texts and texts without words have an empty set, which is linked with nothing. Texts of fewer than w words
 are one shingle. Rows that repeat an id with other texts are judged each by its text; the component's name is the smallest
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.llm.common import (
-    WordHashes, as_bytes, bounds, flat, mix, odd_numbers, row_keys, runs_hash, signed, slices)
+    WordHashes, as_bytes, bounds, flat, in_parts, mix, odd_numbers, row_keys, runs_hash, signed, slices, sorted_groups)
 from assayline.llm.components import components
 from assayline.session import settle
 
@@ -36,7 +37,8 @@ BAND = 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Natural log of the likelihood ratio beyond which a pair is taken for a clear miss.
 MISS = 12.0
-CENTRES = 2
+PART = 256
+PART_BYTES = 16 << 20
 #: A-Z become a-z, all else stays; words end at the ASCII blanks, which is where bytes.split() ends them.
 ASCII_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SKETCH = ("uid long, _k1 long, _k2 long, n long, f1 long, f2 long, bands array<long>, regs binary")
@@ -165,62 +167,104 @@ def confirm_rows(width: int, percent: int):
                 if tb != last:
                     last, (centre,) = tb, shingle_sets([words(tb)], table, width)
                 (own,) = shingle_sets([words(ta)], table, width)
-                both = len(np.intersect1d(own, centre, assume_unique=True))
-                ok.append(100 * both >= percent * (len(own) + len(centre) - both) and both > 0)
+                ok.append(linked(own, centre, percent))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return run
 
 
+def apart_rows(width: int, percent: int):
+    """Links between components that share a bucket; rows are those of `in_parts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
+        for t in sorted_groups(batches, ["band", "p", "q"]):
+            g = t.num_rows
+            node, comp, n, part = (t.column(c).to_numpy() for c in ("node", "component", "n", "part"))
+            band, one = t.column("j")[0].as_py(), t.column("p")[0] == t.column("q")[0]
+            if g < 2 or (comp == comp[0]).all():
+                continue
+            regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(g, REGISTERS)
+            pairs = []
+            for a in range(0, g, 32):
+                same = regs[a : a + 32, None, :] == regs[None, :, :]
+                first = ~same.reshape(*same.shape[:2], -1, BAND)[:, :, :band].all(3).any(2)
+                meet = first & (comp[a : a + 32, None] != comp[None, :]) & (np.arange(a, a + len(same))[:, None] < np.arange(g))
+                if not one:
+                    meet &= part[a : a + 32, None] != part[None, :]
+                i, k = np.nonzero(meet)
+                pairs.append((i + a, k, same[i, k].sum(1)))
+            i, k, same = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            more = np.concatenate([(regs[x] > regs[y]).sum(1) for x, y in zip(np.array_split(i, len(i) // 20_000 + 1), np.array_split(k, len(i) // 20_000 + 1), strict=True)])
+            ok = likely(n[i], n[k], more, REGISTERS - more - same, same, percent / 100)
+            i, k, same = i[ok], k[ok], same[ok]
+            if not len(i):
+                continue
+            used = np.unique(np.concatenate([i, k])).tolist()
+            texts = t.column("text").take(pa.array(used)).to_pylist()
+            sets = dict(zip(used, shingle_sets([words(x.encode("utf-8", "surrogatepass")) for x in texts], table, width), strict=True))
+            root, found = {c: c for c in comp.tolist()}, []
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for x in np.argsort(-same, kind="stable").tolist():
+                a, b = int(i[x]), int(k[x])
+                ca, cb = top(int(comp[a])), top(int(comp[b]))
+                if ca != cb and linked(sets[a], sets[b], percent):
+                    root[max(ca, cb)] = min(ca, cb)
+                    found.append((node[a], node[b]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of `docs`: _k1, _k2 (its row keys), uid, doc_id, n_shingles, component_id."""
     keyed = docs.select("doc_id", "text", *row_keys())
     rows = settle(keyed.select("text", "_k1", "_k2").mapInArrow(sketch_rows(width), SKETCH), "sketches")
     classes = settle(rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("node")), "classes")
     nodes = rows.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi")
-    banded = nodes.select(F.explode("bands").alias("band"), F.col("uid").alias("node"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    banded = settle(banded.join(shared, "band"), "bands")
+    banded = nodes.select(F.posexplode("bands").alias("j", "band"), F.col("uid").alias("node"))
+    centre = F.min(F.struct(F.xxhash64("node"), "node")).getField("node").alias("centre")
+    centres = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), centre).where("c > 1").select("band", "centre")
+    banded = settle(banded.join(centres, "band"), "bands")
     some = settle(nodes.select(F.col("uid").alias("node"), "n", "regs", "_k1", "_k2").join(
         banded.select("node").distinct(), "node", "left_semi"), "nodes")
     facts = some.select("node", "n", "regs")
     texts = keyed.join(some.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi").select("_k1", "_k2", "text").dropDuplicates(["_k1", "_k2"])
     texts = settle(texts.join(some.select("node", "_k1", "_k2"), ["_k1", "_k2"]).select("node", "text"), "texts")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a").join(
-            facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
-        sized = sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        chosen = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(estimate_rows(percent / 100), "a long, b long")
-        read = chosen.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
-            texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return settle(read.select("a", "b", "ta", "tb").mapInArrow(confirm_rows(width, percent), "a long, b long"), "links")
-
-    links, joined, open_bands = [], None, banded
-    for turn in range(CENTRES + 1):
-        if turn < CENTRES:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-            centres = open_bands.groupBy("band").agg(F.min(order).getField("node").alias("b"))
-            pairs = open_bands.join(centres, "band").select(F.col("node").alias("a"), "b")
-        else:
-            other = open_bands.select("band", F.col("node").alias("b"), *([F.col("component").alias("cb")] if joined is not None else []))
-            pairs = open_bands.withColumnRenamed("node", "a").join(other, "band").where("a < b and component <> cb").select("a", "b")
-        if joined is not None:
-            of = joined.select("node", "component")
-            pairs = pairs.distinct().join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
-                of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        links.append(confirmed(pairs.where("a <> b").distinct()))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        joined = settle(components(every), "components")
-        if turn == CENTRES:
-            break
-        open_bands = banded.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = open_bands.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        open_bands = settle(open_bands.join(apart.select("band"), "band"), "open")
+    # Every node of a bucket against its centre.
+    pairs = banded.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    sized = pairs.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a").join(
+        facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
+    chosen = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(estimate_rows(percent / 100), "a long, b long")
+    read = chosen.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    links = settle(read.select("a", "b", "ta", "tb").mapInArrow(confirm_rows(width, percent), "a long, b long"), "links")
+    joined = settle(components(links), "components")
+
+    # What is then still apart in a bucket, in full.
+    placed = banded.select("j", "band", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    full = facts.join(texts, "node")
+    ends = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    placed = settle(placed.join(ends, "band"), "apart")
+    parts = placed.join(texts.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("band").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum("bytes") / PART_BYTES)).cast("int").alias("s"))
+    work = in_parts(placed.join(full, "node"), ["band"], parts, "node")
+    more = work.mapInArrow(apart_rows(width, percent), "a long, b long")
+    joined = settle(components(links.unionByName(settle(more, "links"))), "components")
+
     named = rows.join(classes, ["n", "f1", "f2"], "left").withColumn("node", F.coalesce("node", "uid")).select("uid", "_k1", "_k2", "n", "node")
     named = named.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = docs.select("doc_id", *row_keys()).distinct()
