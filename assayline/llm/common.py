@@ -101,7 +101,7 @@ def runs_hash(h: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Hash of each run of k neighbours; one for each place, the last k - 1 of no meaning."""
     out = np.zeros(len(h), np.uint64)
     for j, odd in enumerate(odd_numbers(k, seed)):
-        out[: len(h) - j] += h[j:] * odd
+        out[: max(len(h) - j, 0)] += h[j:] * odd
     return mix(out)
 
 

@@ -190,6 +190,8 @@ class WordFits(dict):
 
 
 def predict_texts(texts: list[str | None], table: WordFits) -> tuple[list[str], np.ndarray]:
+    if not table.model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
     found = [WORD.findall(t.lower()) if t else [] for t in texts]
     ends = bounds(found)
     index = np.fromiter(map(table.__getitem__, flat(found)), np.int64, ends[-1])
@@ -199,13 +201,11 @@ def predict_texts(texts: list[str | None], table: WordFits) -> tuple[list[str],
     doc, index, line = doc[is_word], index[is_word], np.cumsum(~is_word & (index == 0))[is_word]
     n = len(table.model.languages)
     sums, count = np.zeros((len(texts), n)), np.bincount(doc, minlength=len(texts))
-    if len(index) and n:
+    if len(index):
         cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(line) != 0)) + 1
         post = forward_backward(table.fits[index], np.concatenate([[0], cut, [len(index)]]), table.model.start, table.model.change)
         sums = np.stack([np.bincount(doc, post[:, k], len(texts)) for k in range(n)], axis=1)
     table.trim()
-    if not n:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
     best = sums.argmax(axis=1)
     score = np.clip(sums[np.arange(len(texts)), best] / np.maximum(count, 1), 0, 1)
     return [table.model.languages[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist(), strict=True)], score
