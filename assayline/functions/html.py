@@ -22,10 +22,17 @@ class _Pieces(HTMLParser):
 
 
 def page_text(page: str | None) -> str | None:
+    """All character data up to the end of the page, also what an element that is never closed holds.
+
+    Entities are resolved twice, as pages often carry text that was escaped before: `&amp;amp;` gives `&`.
+    """
     if page is None:
         return None
     reader = _Pieces()
     reader.feed(page)
+    reader.close()
+    if reader.rawdata:  # held back by the parser: the body of a script or style element without an end
+        reader.handle_data(reader.rawdata)
     return unescape("\n".join(reader.pieces))
 
 

@@ -224,4 +224,4 @@ def alias_pairs(pairs: DataFrame, limit: float = SIMILARITY_LIMITS[-1]) -> DataF
 
 
 def alias_top(aliases: DataFrame, k: int = 50) -> DataFrame:
-    return top_k(aliases, k, F.col("n").desc(), F.col("similarity").desc(), F.col("ext_court"), F.col("cand_court"))
+    return top_k(aliases, k, F.col("n").desc(), F.col("similarity").desc(), F.col("ext_court").asc_nulls_last(), F.col("cand_court").asc_nulls_last())

@@ -60,6 +60,7 @@ def hash_cut(df: DataFrame, group: str, limits: Limits, hashed: str = "_h") -> D
 
     Counts per (group, prefix) need only the id: at most 65,536 rows per group. What is left is the sample and the
     rest of one prefix, whatever the size of the table. The cut has one row per group asked for, so it is broadcast.
+    The hash must not be NULL (`hash_of`): rows without an id come last in it, so they never push others out.
     """
     prefix = F.substring(hashed, 1, PREFIX)
     wanted = df.where(F.col(group).isin(list(limits)))
@@ -70,11 +71,16 @@ def hash_cut(df: DataFrame, group: str, limits: Limits, hashed: str = "_h") -> D
     return wanted.join(F.broadcast(cut), (F.col(group) == F.col("_g")) & (prefix <= F.col("_last")), "left_semi")
 
 
+def hash_of(hashed: Column) -> Column:
+    """A hash in hex; "g", which sorts behind all hex digits, where there is nothing to hash."""
+    return F.coalesce(hashed, F.lit("g"))
+
+
 def ranked_sample(df: DataFrame, group: str, limits: Limits, id_column: str = "id", rank: str = "_rn") -> DataFrame:
-    """First rows of each group in hash order of the id, ties by id, with their rank."""
-    hashed = df.withColumn("_h", stable_hash(F.col(id_column)))
+    """First rows of each group in hash order of the id, ties by id, NULL ids last, with their rank."""
+    hashed = df.withColumn("_h", hash_of(stable_hash(F.col(id_column))))
     cut = hash_cut(hashed, group, limits)
-    return top_n_per_group(cut, group, limits, F.col("_h"), F.col(id_column), rank=rank).drop("_h")
+    return top_n_per_group(cut, group, limits, F.col("_h"), F.col(id_column).asc_nulls_last(), rank=rank).drop("_h")
 
 
 def top_n_per_year(df: DataFrame, n: int, years: tuple[int, int], id_column: str = "id") -> DataFrame:
@@ -119,23 +125,23 @@ def stratified_sample(df: DataFrame, id_column: str = "id") -> DataFrame:
 
 def sample_order(id_column: str = "id") -> tuple[Column, ...]:
     """Order of a written sample: year, hash, id inside a stratum."""
-    return F.col("year"), stable_hash(F.col(id_column)), F.col(id_column)
+    return F.col("year").asc_nulls_last(), hash_of(stable_hash(F.col(id_column))), F.col(id_column).asc_nulls_last()
 
 
 def reservoir_sample(df: DataFrame, n: int = 100, seed: int = SAMPLE_SEED, id_column: str = "id") -> DataFrame:
     """`n` rows, all equally likely over seeds, the same for one seed."""
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
+    drawn = hash_of(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string"))))
     limits = {0: n}
     rows = df.withColumns({"_group": F.lit(0), "_h": drawn})
     cut = hash_cut(rows, "_group", limits)
-    return top_n_per_group(cut, "_group", limits, F.col("_h"), F.col(id_column)).drop("_group", "_h", "_rn")
+    return top_n_per_group(cut, "_group", limits, F.col("_h"), F.col(id_column).asc_nulls_last()).drop("_group", "_h", "_rn")
 
 
 def shortest_texts(df: DataFrame, k: int = 200, limit: int = SHORT_TEXT) -> DataFrame:
     short = df.where(F.length("text") < limit).select(
         "id", "document_id", "court", "esas_no", "karar_no", "karar_tarihi", "year",
         F.length("text").alias("chars"), "text")
-    return top_k(short, k, F.col("chars"), F.col("id"))
+    return top_k(short, k, F.col("chars"), F.col("id").asc_nulls_last())
 
 
 def severity(text: Column, label: Column) -> Column:
@@ -153,7 +159,7 @@ def severity(text: Column, label: Column) -> Column:
 
 
 def suspicious_order() -> tuple[Column, ...]:
-    return F.col("severity"), F.col("chars"), F.col("id")
+    return F.col("severity"), F.col("chars").asc_nulls_last(), F.col("id").asc_nulls_last()
 
 
 def suspicious_rows(df: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ Spark lists the files and hands them out; each task opens only its own files.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.spec import MANIFEST
@@ -18,14 +20,30 @@ _CHUNK = 8 << 20
 
 
 def list_files(spark: SparkSession, *globs: str) -> DataFrame:
-    """path, file, size_bytes. The content column is never asked for, so no data is read."""
-    return spark.read.format("binaryFile").load(list(globs)).select(
-        "path", file_name(F.col("path")).alias("file"), F.col("length").alias("size_bytes")
+    """path, file, size_bytes. The content column is never asked for, so no data is read.
+
+    `file` is the path below the folder that all globs share, so files of equal names in two folders stay two files.
+    """
+    root = common_folder([_fixed_part(g) for g in globs])
+    path = F.col("path")
+    below = F.when(F.instr(path, root) > 0, F.substr(path, F.instr(path, root) + len(root)))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(globs)).select(
+        "path", F.coalesce(below, path).alias("file"), F.col("length").alias("size_bytes")
     )
 
 
-def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+def _fixed_part(glob: str) -> str:
+    """A glob up to the folder before its first pattern, without scheme; a name without suffix is a folder."""
+    path = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", glob)
+    head = re.split(r"[*?{\[]", path, maxsplit=1)[0]
+    if head == path and "." not in path.rpartition("/")[2]:
+        return path.rstrip("/") + "/"
+    return head.rpartition("/")[0] + "/"
+
+
+def common_folder(paths: list[str]) -> str:
+    """The longest folder, with its last slash, that all paths share."""
+    return os.path.commonprefix(paths).rpartition("/")[0] + "/" if paths and "/" in os.path.commonprefix(paths) else ""
 
 
 def spread(files: DataFrame) -> DataFrame:
@@ -128,10 +146,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_shards(manifest: DataFrame) -> DataFrame:
-    """One row per expected shard; `file` is the last part of its path."""
-    shard = manifest.select("revision", F.explode("shards").alias("s"))
+    """One row per expected shard; `file` is its path below the folder that all shards of the manifest share."""
+    paths = F.transform("shards", lambda s: s["path"])
+    ends = F.array(F.array_min(paths), F.array_max(paths))
+    parts = F.transform(ends, lambda p: F.slice(F.split(p, "/"), F.lit(1), F.size(F.split(p, "/")) - 1))
+    same = F.zip_with(parts[0], parts[1], lambda a, b: F.coalesce(a == b, F.lit(False)))
+    depth = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same))
+    shard = manifest.select("revision", depth.cast("int").alias("depth"), F.explode("shards").alias("s"))
+    names = F.split(F.col("s.path"), "/")
     return shard.select(
-        "revision", F.col("s.path").alias("path"), file_name(F.col("s.path")).alias("file"),
+        "revision", F.col("s.path").alias("path"),
+        F.array_join(F.slice(names, F.col("depth") + 1, F.size(names)), "/").alias("file"),
         F.col("s.size_bytes").alias("expected_size"), F.col("s.lfs_sha256").alias("expected_sha256"),
     )
 

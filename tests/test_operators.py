@@ -402,3 +402,50 @@ def test_full_audit_and_decision(spark):
     soft = ("metadata_accuracy", "official_match_rate", "near_duplicate_rate")
     assert audits.acceptance(spark, metrics.unionByName(bad), soft)["decision"].first()["final_state"] == "ACCEPT_WITH_CONDITIONS"
     assert gates.final_state(spark.createDataFrame([], "state string")).first()["final_state"] == "ACCEPT_WITH_CONDITIONS"
+
+
+@pytest.mark.parametrize("missing", [0, 5, 500, 2000])
+def test_samples_keep_their_size_with_null_ids(spark, missing):
+    df = spark.range(2000).select(F.when(F.col("id") >= missing, F.col("id").cast("string")).alias("id"), F.lit(2020).alias("year"))
+    for got, want in ((sampling.top_n_per_year(df, 200, (2020, 2021)), 200), (sampling.top_n_global(df, 2), 2), (sampling.reservoir_sample(df, 5), 5)):
+        found = got.collect()
+        assert len(found) == want
+        assert sum(x.id is None for x in found) == max(0, want - (2000 - missing))
+
+
+def test_null_texts_come_last_in_suspicious_lists(spark):
+    rows = [("1", None, "-"), ("2", "x" * 150, "-"), (None, "x" * 150, "-")]
+    df = spark.createDataFrame(rows, "id string, text string, court string").select(
+        "*", *(F.lit(None).cast("string").alias(c) for c in ("document_id", "esas_no", "karar_no", "karar_tarihi")), F.lit(2020).alias("year"))
+    assert [x.id for x in sampling.suspicious_top(df, 2).collect()] == ["2", None]
+    assert [x.id for x in sampling.first_k(sampling.suspicious_rows(df), 3).collect()] == ["2", None, "1"]
+
+
+def test_equal_names_in_two_folders_are_two_files(spark, tmp_path):
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "w"))
+    data = next((tmp_path / "w").glob("*.parquet")).read_bytes()
+    for k in ("1", "2"):
+        (tmp_path / "t" / f"k={k}").mkdir(parents=True)
+        (tmp_path / "t" / f"k={k}" / "part-0.parquet").write_bytes(data)
+    glob = str(tmp_path / "t" / "*" / "*.parquet")
+    schemas = files.file_schemas(spark, glob)
+    assert files.schemas_identical(schemas).first()[:] == (2, 1, True)
+    assert {x.schema for x in files.schema_strings(schemas).collect()} == {"id int64 false"}
+    hashes = files.file_hash(spark, glob)
+    assert sorted(x.file for x in hashes.collect()) == ["k=1/part-0.parquet", "k=2/part-0.parquet"]
+    assert sorted(x.file for x in files.file_inventory(spark, str(tmp_path / "t")).collect()) == ["k=1/part-0.parquet", "k=2/part-0.parquet"]
+    first = hashes.first()
+    shards = spark.createDataFrame(
+        [("r", [(f"train/k={k}/part-0.parquet", first.size_bytes, first.sha256 if k == 1 else "0") for k in (1, 2, 3)])],
+        "revision string, shards array<struct<path:string,size_bytes:bigint,lfs_sha256:string>>")
+    found = files.match_manifest(hashes, files.manifest_shards(shards)).orderBy("file").collect()
+    assert [tuple(x) for x in found] == [
+        ("k=1/part-0.parquet", True, True, True), ("k=2/part-0.parquet", True, True, False), ("k=3/part-0.parquet", False, False, False)]
+
+
+def test_end_of_page_is_kept():
+    from assayline.functions.html import page_text
+
+    assert page_text("<p>a</p> tail AT&T").split() == ["a", "tail", "AT&T"]
+    assert page_text("<p>a</p><script>var x = 1;").split() == ["a", "var", "x", "=", "1;"]
+    assert page_text("&amp;amp;") == "&"
