@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayline.functions.text import normalize_text
 from assayline.vocabulary import METADATA_KEY
 
 
@@ -75,3 +76,21 @@ def duplicate_audit(df: DataFrame, id_column: str = "id", hash_column: str = "ra
         key_dup_excess(df, keys).select(F.lit("metadata_duplicate_excess_rows").alias("metric"),
                                         F.col("excess").alias("value"))
     )
+
+
+def text_key(column: str = "text") -> Column:
+    """Hash of the normal form; NULL for texts that have none left."""
+    norm = normalize_text(F.col(column))
+    return F.when(F.length(norm) > 0, F.sha2(norm, 256))
+
+
+def text_overlap(left: DataFrame, right: DataFrame, column: str = "text", name: str = "in_other") -> DataFrame:
+    """`left` with the number of rows of `right` that have the same normal form; texts without a normal form meet nothing.
+
+    Only hashes meet, and `right` is counted per hash before, so a text that a third of both sides hold makes no row pairs.
+    """
+    there = right.select(text_key(column).alias("_key")).where("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias(name))
+    keyed = left.withColumn("_key", text_key(column))
+    met = keyed.where("_key IS NOT NULL").join(there, "_key", "left").unionByName(
+        keyed.where("_key IS NULL").withColumn(name, F.lit(None).cast("bigint")))
+    return met.select(*left.columns, F.coalesce(name, F.lit(0)).cast("bigint").alias(name))

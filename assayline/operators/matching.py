@@ -55,7 +55,15 @@ def overlap_by_id(ext: DataFrame, cand: DataFrame) -> DataFrame:
 
 def ids_not_in(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of `left` whose id `right` does not have. A NULL id is nowhere."""
-    return left.join(distinct_rows(right, "id_num"), "id_num", "left_anti")
+    return absent(left, right, ("id_num",))
+
+
+def absent(rows: DataFrame, others: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows whose keys `others` does not have. Rows with a NULL key match nothing and skip the join, where they would
+    all meet in one task."""
+    whole = all_not_null(*keys)
+    met = rows.where(whole).join(distinct_rows(others.where(whole), *keys), list(keys), "left_anti")
+    return met.select(*rows.columns).unionByName(rows.where(~whole))
 
 
 def key_present(rows: DataFrame, keyed: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
@@ -64,7 +72,7 @@ def key_present(rows: DataFrame, keyed: DataFrame, keys: tuple[str, ...] = KEY)
 
 
 def key_absent(rows: DataFrame, keyed: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    return rows.join(distinct_rows(keyed, *keys), list(keys), "left_anti")
+    return absent(rows, keyed, keys)
 
 
 def id_metrics(ext: DataFrame, cand: DataFrame) -> DataFrame:
@@ -85,7 +93,9 @@ def id_metrics(ext: DataFrame, cand: DataFrame) -> DataFrame:
 def key_metrics(ext: DataFrame, cand: DataFrame) -> DataFrame:
     """Distinct keys of both sides and the split of rows without their id, from one full join of counts per key."""
     known = distinct_rows(cand.where(F.col("id_num").isNotNull()), "id_num").withColumn("_known", F.lit(True))
-    flagged = ext.join(known, "id_num", "left")
+    has_id = F.col("id_num").isNotNull()
+    flagged = ext.where(has_id).join(known, "id_num", "left").unionByName(
+        ext.where(~has_id).withColumn("_known", F.lit(None).cast("boolean")))
     e = flagged.groupBy(*KEY).agg(F.count("*").alias("n_e"), F.count_if(F.col("_known").isNull()).alias("n_absent"))
     both = e.join(_per(cand, *KEY, name="n_c"), list(KEY), "full")
     n_e, n_c, zero = F.col("n_e"), F.col("n_c"), F.lit(0)
@@ -180,10 +190,13 @@ def residual_by_id(residual: DataFrame, cand: DataFrame, pairs: DataFrame) -> Da
     )
     best = best.withColumnsRenamed({k: f"_{k}" for k in NUMERIC_KEY})
     on = [F.col(k) == F.col(f"_{k}") for k in NUMERIC_KEY] + [F.col("court").eqNullSafe(F.col("ext_court"))]
-    met = residual.join(best, on, "left").select("document_id", *NUMERIC_KEY, "day", "best", "canon_match")
+    whole = all_not_null(*NUMERIC_KEY)
+    met = residual.where(whole).join(best, on, "left").select("document_id", *NUMERIC_KEY, "day", "best", "canon_match")
     days = distinct_rows(cand.where(all_not_null(*NUMERIC_KEY, "day")), *NUMERIC_KEY, "day").withColumn(
         "day_match", F.lit(True))
-    met = met.join(days, [*NUMERIC_KEY, "day"], "left")
+    met = met.join(days, [*NUMERIC_KEY, "day"], "left").select("document_id", "best", "canon_match", "day_match")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("best", "double"), ("canon_match", "boolean"), ("day_match", "boolean"))]
+    met = met.unionByName(residual.where(~whole).select("document_id", *none))  # a NULL key meets nothing
     false = F.lit(False)
     return met.groupBy("document_id").agg(
         F.count("*").alias("rows"),

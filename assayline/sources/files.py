@@ -9,6 +9,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from assayline.spec import MANIFEST
 
 _CHUNK = 8 << 20
+_SAFE = "/:@=,;!$&'()*"
 
 
 def list_files(spark: SparkSession, *globs: str) -> DataFrame:
@@ -51,12 +53,13 @@ def spread(files: DataFrame) -> DataFrame:
     return files.repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
 
 
-def _open(uri: str):
+def _open(path: str):
+    """Opens a file that Spark listed; its names are plain text there, blanks and percent signs included."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/")
-                                          and not uri.startswith("file://") else uri)
-    return system.open_input_file(path)
+    scheme, _, rest = re.sub("^file:/(?!/)", "file:///", path).partition("://")
+    system, place = fs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe=_SAFE)}")
+    return system.open_input_file(place)
 
 
 def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

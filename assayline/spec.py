@@ -52,10 +52,13 @@ class CorpusMap:
 
     columns: dict[str, Column | str] = field(default_factory=dict)
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def listed(self) -> list[Column]:
         out = []
         for name in CORPUS_COLUMNS:
             given = self.columns.get(name)
             col = F.lit(None) if given is None else F.expr(given) if isinstance(given, str) else given
             out.append(col.cast(CORPUS_TYPES[name]).alias(name))
-        return df.select(*out)
+        return out
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.listed())

@@ -12,7 +12,7 @@ from assayline.functions import patterns, predicates, text
 from assayline.functions.dates import iso_date
 from assayline.functions.html import html_to_text
 from assayline.functions.similarity import jaro_winkler, sequence_ratio
-from assayline.operators import coverage, duplicates, landing, matching, profile, sampling, screening
+from assayline.operators import coverage, delta, duplicates, landing, lineage, matching, profile, sampling, screening
 from assayline.operators import verification
 from assayline.plans import audits
 from assayline.session import scratch_path, settle
@@ -1072,6 +1072,59 @@ def field_types(spark, sf_dir):
     return landing.field_types(spark.read.text(views.landed_folder(spark, sf_dir)))
 
 
+# --- merged pages, overlap of texts, lineage --------------------------------------------------------------------
+
+_NEXT_DAY = ("(CAST(concat(1997 + doc_id % 30, '-', lpad(CAST(1 + doc_id % 12 AS STRING), 2, '0'), '-', "
+             "lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0')) AS DATE) + 1)")
+_FRESH = (
+    "SELECT concat('landed:', document) AS id, CAST(document AS STRING) AS document_id, concat(1997 + doc_id % 30, '/', "
+    f"doc_id) AS esas_no, CAST({_NEXT_DAY} AS STRING) AS karar_tarihi, CAST(year({_NEXT_DAY}) AS SMALLINT) AS year FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY document ORDER BY start, position) AS r FROM page_item) p WHERE r = 1 "
+    "AND NOT EXISTS (SELECT 1 FROM corpus c WHERE c.source <> 'fr' AND c.document_id = CAST(p.document AS STRING)) "
+    "AND NOT EXISTS (SELECT 1 FROM corpus c WHERE c.source <> 'fr' AND c.esas_no = concat(1997 + p.doc_id % 30, '/', p.doc_id))")
+_MERGED = ("id", "document_id", "esas_no", "karar_tarihi", "year")
+
+
+@register(with_ctes("corpus", "page_item", body=(
+    f"SELECT {', '.join(_MERGED)} FROM corpus WHERE source <> 'fr' UNION ALL {_FRESH}")))
+def merge_delta(spark, sf_dir):
+    """Landed pages merged into a snapshot that lacks one language."""
+    snapshot = corpus(spark, sf_dir).where("source <> 'fr'")
+    records = delta.landed_records(_pages(spark, sf_dir), "landed", "+03:00")
+    return delta.merge_delta(snapshot, records, ("esas_no",)).select(*_MERGED)
+
+
+@register(with_ctes("corpus", "page_item", body=_FRESH))
+def delta_stream(spark, sf_dir):
+    """The same pages as a stream of files; what its sink holds."""
+    snapshot = corpus(spark, sf_dir).where("source <> 'fr'")
+    sink, marks = scratch_path(spark, "sink"), scratch_path(spark, "marks")
+    landed_pages = views.landed_folder(spark, sf_dir)
+    return delta.delta_stream(spark, landed_pages, snapshot, sink, marks, "landed", ("esas_no",), "+03:00").select(*_MERGED)
+
+
+@register(of_corpus(
+    f"SELECT id, coalesce(n, 0) AS in_other FROM (SELECT id, {_norm('text')} AS x FROM corpus WHERE court = '-') a LEFT JOIN "
+    f"(SELECT {_norm('text')} AS x, count(*) AS n FROM corpus WHERE court <> '-' GROUP BY 1) b ON a.x = b.x AND a.x <> ''"))
+def text_overlap(spark, sf_dir):
+    """Documents of one court with the number of equal texts of the others."""
+    df = corpus(spark, sf_dir)
+    return duplicates.text_overlap(df.where("court = '-'"), df.where("court <> '-'")).select("id", "in_other")
+
+
+@register("SELECT doc_id, 'documents.parquet' AS file, 'r1' AS revision, 64 AS hash_chars, CAST(doc_id AS STRING) AS document, "
+          "concat(lang, '/', source) AS key, 'read,traced' AS steps FROM documents")
+def with_lineage(spark, sf_dir):
+    """All documents with the file they come from; the hash itself is compared in the tests."""
+    shards = files.manifest_shards(files.read_manifest(spark, _manifest(spark, sf_dir)))
+    traced = lineage.with_lineage(table(spark, sf_dir, "documents"), shards, sf_dir, ("read", "traced"), "doc_id", ("lang", "source"))
+    return traced.select(
+        "doc_id", "lineage.file", "lineage.revision", F.length("lineage.shard_hash").alias("hash_chars"),
+        F.col("lineage.document_id").alias("document"),
+        F.when(F.col("lang").isNotNull() & F.col("source").isNotNull(), F.array_join("lineage.key", "/")).alias("key"),
+        F.array_join("lineage.steps", ",").alias("steps"))
+
+
 # --- gates ---------------------------------------------------------------------------------------------------
 
 
