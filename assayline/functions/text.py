@@ -9,7 +9,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assayline.vocabulary import KEY_PATTERN, NAME_CHARS, NORMAL_CHARS, WINDOW_CHARS
+from assayline.vocabulary import KEY_PATTERN, NAME_CHARS, NORMAL_CHARS, WINDOW_CHARS, WINDOW_OVERLAP
 
 
 def lower_tr(c: Column) -> Column:
@@ -106,8 +106,27 @@ def stable_hash(c: Column) -> Column:
     return F.md5(c.cast("string"))
 
 
-def text_windows(c: Column, size: int = WINDOW_CHARS) -> Column:
-    """Array of windows: the text itself, or its start and a piece around the middle. Blank ones are left out."""
+def text_windows(c: Column, size: int = WINDOW_CHARS, overlap: int = WINDOW_OVERLAP) -> Column:
+    """Array of windows that cover the whole text; each but the last shares its end with the next. Blank ones are left out.
+
+    The text is cut in steps by one pattern, so the work grows with its length; a window is a step and the start of the next.
+    """
+    step = size - overlap
+    text = F.coalesce(c, F.lit(""))
+
+    def joined(steps: Column) -> Column:
+        # A last step that the window before holds already is no window of its own.
+        held = (F.size(steps) > 1) & (F.length(F.try_element_at(steps, F.lit(-1))) <= overlap)
+        following = F.concat(F.slice(steps, F.lit(2), F.size(steps)), F.array(F.lit("")))
+        windows = F.zip_with(steps, following, lambda a, b: F.concat(a, F.substring(b, 1, overlap)))
+        return F.slice(windows, F.lit(1), F.size(steps) - F.when(held, 1).otherwise(0))
+
+    cut = let(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1)), joined)
+    return F.filter(cut, lambda w: F.length(F.trim(squeeze(w))) > 0)
+
+
+def pilot_windows(c: Column, size: int = WINDOW_CHARS) -> Column:
+    """The two-piece form of a pilot: the text itself, or its start and a piece around the middle, the rest unread."""
     text = F.coalesce(c, F.lit(""))
     middle = F.greatest(F.lit(0), F.floor(F.length(text) / 2) - size // 2).cast("int") + 1
     cut = F.when(F.length(text) <= size, F.array(text)).otherwise(

@@ -96,8 +96,11 @@ def top_n_global(df: DataFrame, n: int, id_column: str = "id") -> DataFrame:
 
 def top_n_per_stratum(df: DataFrame, limits: Limits, id_column: str = "id") -> DataFrame:
     """`modern` is 1 inside the modern years, else 0 (a missing year counts as historical)."""
-    modern = F.when(in_years("year", MODERN_YEARS), 1).otherwise(0)
-    return ranked_sample(df.withColumn("modern", modern), "modern", limits, id_column).drop("_rn")
+    return ranked_sample(df.withColumn("modern", modern_flag()), "modern", limits, id_column).drop("_rn")
+
+
+def modern_flag() -> Column:
+    return F.when(in_years("year", MODERN_YEARS), 1).otherwise(0)
 
 
 def stratum_sizes(sample: DataFrame, stratum: str = "modern") -> DataFrame:
@@ -138,10 +141,11 @@ def reservoir_sample(df: DataFrame, n: int = 100, seed: int = SAMPLE_SEED, id_co
 
 
 def shortest_texts(df: DataFrame, k: int = 200, limit: int = SHORT_TEXT) -> DataFrame:
-    short = df.where(F.length("text") < limit).select(
-        "id", "document_id", "court", "esas_no", "karar_no", "karar_tarihi", "year",
-        F.length("text").alias("chars"), "text")
-    return top_k(short, k, F.col("chars"), F.col("id").asc_nulls_last())
+    """The shortest texts with what the table has of the listed columns; ties by id if there is one, then by text."""
+    listed = [c for c in ("id", "document_id", "court", "esas_no", "karar_no", "karar_tarihi", "year") if c in df.columns]
+    short = df.where(F.length("text") < limit).select(*listed, F.length("text").alias("chars"), "text")
+    ties = [F.col(c).asc_nulls_last() for c in ("id", "text") if c in short.columns]
+    return top_k(short, k, F.col("chars"), *ties)
 
 
 def severity(text: Column, label: Column) -> Column:

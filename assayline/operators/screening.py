@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from assayline.functions.patterns import context_flags, direct_flags, mask_pii, needle_form
 from assayline.functions.predicates import changed, is_masked
 from assayline.functions.text import rate, text_windows
-from assayline.operators.sampling import top_n_per_stratum
+from assayline.operators.sampling import modern_flag, top_n_per_stratum
 from assayline.vocabulary import (
     CONTEXT_PATTERNS, CONTEXT_SAMPLE, DIRECT_PATTERNS, ENTITY_SAMPLE, ENTITY_THRESHOLDS, MASK_TOKENS,
 )
@@ -53,13 +53,16 @@ def pii_totals(by_year: DataFrame) -> DataFrame:
     return by_year.agg(*[F.sum(c).alias(c) for c in by_year.columns if c != "year"])
 
 
-def drawn(df: DataFrame, limits: dict[int, int]) -> DataFrame:
-    """A sample with its texts, spread again: it leaves the ranking in as many parts as there are strata."""
-    sample = top_n_per_stratum(df.select("id", "year", "text"), limits)
+def drawn(df: DataFrame, limits: dict[int, int] | None) -> DataFrame:
+    """A sample with its texts, spread again: it leaves the ranking in as many parts as there are strata. None: all rows."""
+    rows = df.select("id", "year", "text")
+    if limits is None:
+        return rows.withColumn("modern", modern_flag())
+    sample = top_n_per_stratum(rows, limits)
     return sample.repartition(df.sparkSession.sparkContext.defaultParallelism, "id")
 
 
-def contextual_sample(df: DataFrame, limits: dict[int, int] = CONTEXT_SAMPLE) -> DataFrame:
+def contextual_sample(df: DataFrame, limits: dict[int, int] | None = CONTEXT_SAMPLE) -> DataFrame:
     return drawn(df, limits)
 
 
@@ -80,7 +83,7 @@ def signal_rates(counts: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
 
 
-def contextual_screen(df: DataFrame, limits: dict[int, int] = CONTEXT_SAMPLE, mode: str = "re2") -> DataFrame:
+def contextual_screen(df: DataFrame, limits: dict[int, int] | None = CONTEXT_SAMPLE, mode: str = "re2") -> DataFrame:
     return signal_rates(signal_counts(contextual_sample(df, limits), mode))
 
 
@@ -118,9 +121,9 @@ def sanitize_check(df: DataFrame, mode: str = "re2", guarded: bool = False) -> D
     return out.withColumn("residual_sum", residual).withColumn("passed", F.col("residual_sum") == 0)
 
 
-def windowed_chunks(sample: DataFrame) -> DataFrame:
-    """One row per text window of a sample."""
-    return sample.select("id", "year", "modern", F.posexplode(text_windows(F.col("text"))).alias("chunk_no", "chunk"))
+def windowed_chunks(sample: DataFrame, windows: Callable[[Column], Column] = text_windows) -> DataFrame:
+    """One row per text window of a sample; what stands in the overlap of two windows is seen in both."""
+    return sample.select("id", "year", "modern", F.posexplode(windows(F.col("text"))).alias("chunk_no", "chunk"))
 
 
 Detector = Callable[[str], list[tuple[str, float]]]
@@ -184,5 +187,5 @@ def entity_run_quality(detections: DataFrame, max_error_rate: float = 0.05) -> D
         "valid", (F.col("chunks_scanned") > 0) & (F.col("error_rate") <= max_error_rate))
 
 
-def entity_sample(df: DataFrame, limits: dict[int, int] = ENTITY_SAMPLE) -> DataFrame:
+def entity_sample(df: DataFrame, limits: dict[int, int] | None = ENTITY_SAMPLE) -> DataFrame:
     return drawn(df, limits)

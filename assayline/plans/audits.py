@@ -8,17 +8,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.functions.predicates import project_present
-from assayline.functions.text import rate
+from assayline.functions.text import rate, text_windows
 from assayline.operators import coverage, duplicates, gates, landing, matching, profile, sampling, screening
 from assayline.operators import verification
 from assayline.session import settle
 from assayline.sources import files
 from assayline.sources.outputs import to_long
-from assayline.vocabulary import CONTEXT_SAMPLE, CORPUS_COLUMNS, ENTITY_SAMPLE, METADATA_KEY
+from assayline.vocabulary import CONTEXT_SAMPLE, ENTITY_SAMPLE, METADATA_KEY
 
 Tables = dict[str, DataFrame]
 
@@ -65,10 +65,14 @@ def profile_shard(df: DataFrame) -> Tables:
         out["year_range"] = df.agg(F.min("year").alias("min_year"), F.max("year").alias("max_year"))
     if "court" in has:
         out["by_court"] = df.groupBy("court").agg(F.count("*").alias("decisions"))
-    if set(CORPUS_COLUMNS) <= has:
+    if "text" in has:
         out["short_texts"] = sampling.shortest_texts(df)
+    listed = project_present(df, SAMPLE_COLUMNS)
     if "id" in has:
-        out["sample"] = sampling.reservoir_sample(project_present(df, SAMPLE_COLUMNS))
+        out["sample"] = sampling.reservoir_sample(listed)
+    elif listed.columns:  # without ids, rows are drawn by what they hold
+        drawn = sampling.reservoir_sample(listed.withColumn("_row", F.to_json(F.struct(*listed.columns))), id_column="_row")
+        out["sample"] = drawn.drop("_row")
     return out
 
 
@@ -112,15 +116,19 @@ def pii_audit(df: DataFrame, mode: str = "re2") -> Tables:
     return {"by_year": by_year, "totals": screening.pii_totals(by_year)}
 
 
-def contextual_audit(df: DataFrame, limits: dict[int, int] = CONTEXT_SAMPLE, mode: str = "re2") -> Tables:
+def contextual_audit(df: DataFrame, limits: dict[int, int] | None = CONTEXT_SAMPLE, mode: str = "re2") -> Tables:
+    """Context signals in a sample; `limits=None` reads all rows."""
     counts = screening.signal_counts(screening.contextual_sample(df, limits), mode).persist()
     return {"sample": counts.select("rows_sampled", "modern_rows"), "signals": screening.signal_rates(counts)}
 
 
 def entity_audit(df: DataFrame, detector: screening.Detector | None = None,
-                 limits: dict[int, int] = ENTITY_SAMPLE) -> Tables:
-    """Entities in text windows of a sample. Without a detector the direct-identifier patterns stand in for one."""
-    chunks = screening.windowed_chunks(screening.entity_sample(df, limits))
+                 limits: dict[int, int] | None = ENTITY_SAMPLE, windows: Callable[[Column], Column] = text_windows) -> Tables:
+    """Entities in windows over the whole texts of a sample; `limits=None` reads all rows.
+
+    Without a detector the direct-identifier patterns stand in for one.
+    """
+    chunks = screening.windowed_chunks(screening.entity_sample(df, limits), windows)
     found = screening.detect_entities(chunks, detector) if detector else screening.detect_direct(chunks)
     found = found.persist()
     return {

@@ -103,6 +103,7 @@ CONTEXT_SAMPLE = {1: 40_000, 0: 10_000}
 ENTITY_SAMPLE = {1: 200, 0: 50}
 ENTITY_THRESHOLDS = (0.80, 0.90)
 WINDOW_CHARS = 1500
+WINDOW_OVERLAP = 100
 GAP_FLOOR = 1000
 SIMILARITY_LIMITS = (0.95, 0.90)
 RATIO_LIMITS = (0.98, 0.95)

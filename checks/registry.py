@@ -289,12 +289,22 @@ def numeric_keys(spark, sf_dir):
     return keyed.select("document_id", "court", "canon", "ey", "en", "ky", "kn", "day")
 
 
+_WINDOWS = "CAST(greatest(1, ceil((length(text) - 100) / 1400)) AS BIGINT)"
+
+
+@register(of_corpus(f"SELECT id, CAST(k AS INTEGER) AS chunk_no, md5(substr(text, k * 1400 + 1, 1500)) AS chunk_md5 FROM ("
+                    f"SELECT id, text, unnest(range({_WINDOWS})) AS k FROM corpus)"))
+def text_windows(spark, sf_dir):
+    cut = corpus(spark, sf_dir).select("id", F.posexplode(text.text_windows(F.col("text"))).alias("chunk_no", "chunk"))
+    return cut.select("id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
+
+
 @register(of_corpus(
     "SELECT id, k AS chunk_no, md5(CASE WHEN length(text) <= 1500 OR k = 0 THEN substr(text, 1, 1500) ELSE "
     "substr(text, CAST(greatest(0, floor(length(text) / 2) - 750) AS BIGINT) + 1, 1500) END) AS chunk_md5 "
     "FROM corpus, (VALUES (0), (1)) v(k) WHERE k = 0 OR length(text) > 1500"))
-def text_windows(spark, sf_dir):
-    cut = corpus(spark, sf_dir).select("id", F.posexplode(text.text_windows(F.col("text"))).alias("chunk_no", "chunk"))
+def pilot_windows(spark, sf_dir):
+    cut = corpus(spark, sf_dir).select("id", F.posexplode(text.pilot_windows(F.col("text"))).alias("chunk_no", "chunk"))
     return cut.select("id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
 
 
@@ -728,14 +738,28 @@ def sanitize_guarded(spark, sf_dir):
     return screening.sanitize_check(corpus(spark, sf_dir), guarded=True)
 
 
-_CHUNKS = (
-    "SELECT id, modern, k AS chunk_no, CASE WHEN length(text) <= 1500 OR k = 0 THEN substr(text, 1, 1500) ELSE substr(text, "
-    "CAST(greatest(0, floor(length(text) / 2) - 750) AS BIGINT) + 1, 1500) END AS chunk FROM (SELECT * FROM ("
-    + _ranked("modern", source="(SELECT *, CASE WHEN year BETWEEN 2016 AND 2026 THEN 1 ELSE 0 END AS modern FROM corpus)")
-    + ") WHERE rn <= CASE modern WHEN 1 THEN 200 ELSE 50 END), (VALUES (0), (1)) v(k) WHERE k = 0 OR length(text) > 1500")
-_FOUND = " UNION ALL ".join(
-    f"SELECT id, chunk_no, '{label}' AS label FROM ({_CHUNKS}) WHERE regexp_matches(chunk, {quote(p)})"
-    for label, _, p in DIRECT_PATTERNS)
+def _chunks(source: str) -> str:
+    return ("SELECT id, k AS chunk_no, substr(text, k * 1400 + 1, 1500) AS chunk FROM ("
+            f"SELECT id, text, unnest(range({_WINDOWS})) AS k FROM ({source}))")
+
+
+def _found(source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT id, chunk_no, '{label}' AS label FROM ({_chunks(source)}) WHERE regexp_matches(chunk, {quote(p)})"
+        for label, _, p in DIRECT_PATTERNS)
+
+
+_DRAWN = ("SELECT * FROM (" + _ranked(
+    "modern", source="(SELECT *, CASE WHEN year BETWEEN 2016 AND 2026 THEN 1 ELSE 0 END AS modern FROM corpus)")
+    + ") WHERE rn <= CASE modern WHEN 1 THEN 200 ELSE 50 END")
+_CHUNKS, _FOUND = _chunks(_DRAWN), _found(_DRAWN)
+
+
+@register(of_corpus(f"SELECT t AS threshold, label, count(*) AS entities, count(DISTINCT id) AS documents FROM ({_found('SELECT * FROM corpus')}), "
+                    "(VALUES (CAST(0.8 AS DOUBLE)), (CAST(0.9 AS DOUBLE))) v(t) GROUP BY t, label"))
+def entity_counts_all(spark, sf_dir):
+    """Every window of every document."""
+    return audits.entity_audit(corpus(spark, sf_dir), limits=None)["entities"]
 
 
 @register(of_corpus(f"SELECT t AS threshold, label, count(*) AS entities, count(DISTINCT id) AS documents FROM ({_FOUND}), "

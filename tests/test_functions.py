@@ -62,10 +62,23 @@ def test_normal_form_equals_case_folding_in_python(spark):
     assert got == [python_normal(s) for s in items]
 
 
-def test_windows_at_the_limit(spark):
+def test_windows_cover_the_text(spark):
+    rng = random.Random(4)
+    sizes = (0, 1, 99, 100, 101, 1399, 1400, 1401, 1499, 1500, 1501, 2899, 2900, 2901, 4300, 9000)
+    items = ["".join(rng.choice("ab ç\n\u2028😀") for _ in range(n)) for n in sizes] + [" " * 5, " " * 3000 + "x", None]
+    got = [g[0] for g in values(spark, items, text.text_windows(F.col("v")))]
+
+    def expected(s):
+        starts = range(0, max(1, len(s) - 100), 1400)
+        return [w for w in (s[k : k + 1500] for k in starts) if w.strip()]
+
+    assert got == [expected(s or "") for s in items]
+
+
+def test_pilot_windows_at_the_limit(spark):
     rng = random.Random(3)
     items = ["".join(rng.choice("ab c") for _ in range(n)) for n in (0, 1, 1500, 1501, 1510, 4000)] + [" " * 5, " " * 1501]
-    got = [g[0] for g in values(spark, items, text.text_windows(F.col("v")))]
+    got = [g[0] for g in values(spark, items, text.pilot_windows(F.col("v")))]
 
     def expected(s):
         if len(s) <= 1500:

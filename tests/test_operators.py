@@ -382,6 +382,12 @@ def test_review_csv_keeps_texts(spark, tmp_path):
 
 def test_profile_shard_adapts_to_columns(spark):
     assert set(audits.profile_shard(spark.range(3))) == {"nulls", "uniqueness", "sample"}
+    texts = spark.createDataFrame([("a",), ("a",), (None,), ("",)], "text string")
+    only = audits.profile_shard(texts)
+    assert set(only) == {"nulls", "text", "markers", "short_texts"}
+    assert rows(only["short_texts"], "chars", "text") == [(0, ""), (1, "a"), (1, "a")]
+    no_ids = audits.profile_shard(texts.selectExpr("text", "text AS court"))
+    assert rows(no_ids["sample"]) == sorted([("a",), ("a",), (None,), ("",)], key=repr)
     assert {"text", "short_texts", "by_year", "key_excess"} <= set(audits.profile_shard(corpus(spark, 3)))
 
 
