@@ -78,6 +78,15 @@ def duplicate_audit(df: DataFrame, id_column: str = "id", hash_column: str = "ra
     )
 
 
+def group_excess(rows: DataFrame, group: str = "component_id") -> DataFrame:
+    """rows, groups and excess of rows that already know their group (near copies, say); a row without one is its own."""
+    sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
+    alone = rows.where(F.col(group).isNull()).agg(F.count("*").alias("n")).where("n > 0").select("n", F.col("n").alias("g"))
+    both = sizes.select("n", F.lit(1).cast("bigint").alias("g")).unionByName(alone)
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("g"), F.lit(0)).alias("groups")).withColumn(
+        "excess", F.col("rows") - F.col("groups"))
+
+
 def text_key(column: str = "text") -> Column:
     """Hash of the normal form; NULL for texts that have none left."""
     norm = normalize_text(F.col(column))

@@ -182,7 +182,7 @@ def label_matches(residual: DataFrame, cand: DataFrame, require_same_number: boo
 def residual_by_id(residual: DataFrame, cand: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per external id: its residual rows and what they meet on the other side; `pairs` is `label_matches` of the two.
 
-    Columns: rows, any_match, canon_match, best (similarity), day_match.
+    Columns: rows, parsed_rows (those with a whole numeric key), any_match, canon_match, best (similarity), day_match.
     """
     best = pairs.groupBy(*NUMERIC_KEY, "ext_court").agg(
         F.max(F.coalesce("similarity", F.lit(0.0))).alias("best"),
@@ -194,12 +194,15 @@ def residual_by_id(residual: DataFrame, cand: DataFrame, pairs: DataFrame) -> Da
     met = residual.where(whole).join(best, on, "left").select("document_id", *NUMERIC_KEY, "day", "best", "canon_match")
     days = distinct_rows(cand.where(all_not_null(*NUMERIC_KEY, "day")), *NUMERIC_KEY, "day").withColumn(
         "day_match", F.lit(True))
-    met = met.join(days, [*NUMERIC_KEY, "day"], "left").select("document_id", "best", "canon_match", "day_match")
+    met = met.join(days, [*NUMERIC_KEY, "day"], "left").select(
+        "document_id", "best", "canon_match", "day_match", F.lit(True).alias("parsed"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("best", "double"), ("canon_match", "boolean"), ("day_match", "boolean"))]
-    met = met.unionByName(residual.where(~whole).select("document_id", *none))  # a NULL key meets nothing
+    met = met.unionByName(  # a NULL key meets nothing
+        residual.where(~whole).select("document_id", *none, F.lit(False).alias("parsed")))
     false = F.lit(False)
     return met.groupBy("document_id").agg(
         F.count("*").alias("rows"),
+        F.count_if("parsed").alias("parsed_rows"),
         F.max(F.col("best").isNotNull()).alias("any_match"),
         F.max(F.coalesce("canon_match", false)).alias("canon_match"),
         F.coalesce(F.max("best"), F.lit(0.0)).alias("best"),
@@ -214,6 +217,7 @@ def distinct_matches(by_id: DataFrame, limits: tuple[float, ...] = SIMILARITY_LI
     last = limits[-1]
     return by_id.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("external_residual_exact_key"),
+        F.coalesce(F.sum("parsed_rows"), F.lit(0)).alias("residual_numeric_key_parseable"),
         F.count_if(has_id & F.col("any_match")).alias("ids_with_same_numeric_key"),
         F.count_if(has_id & F.col("canon_match")).alias("ids_with_court_canon_exact"),
         *[F.count_if(has_id & (best >= t)).alias(f"ids_with_similarity_ge_{round(t * 100):03d}") for t in limits],
@@ -225,8 +229,7 @@ def distinct_matches(by_id: DataFrame, limits: tuple[float, ...] = SIMILARITY_LI
 
 def residual_after_fuzzy(residual: DataFrame, by_id: DataFrame, limit: float = SIMILARITY_LIMITS[-1]) -> DataFrame:
     """Residual rows whose id has no similar match."""
-    matched = by_id.where((F.col("best") >= limit) & F.col("document_id").isNotNull()).select("document_id")
-    return residual.join(matched, "document_id", "left_anti")
+    return absent(residual, by_id.where(F.col("best") >= limit), ("document_id",))
 
 
 def alias_pairs(pairs: DataFrame, limit: float = SIMILARITY_LIMITS[-1]) -> DataFrame:

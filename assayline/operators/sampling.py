@@ -241,5 +241,10 @@ def evenly_pick(df: DataFrame, allocation: Mapping[str, int] = VERIFY_ALLOCATION
 
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    """Page `number` (from 1) of the ordered rows."""
-    return top_k(df, number * size, *order).orderBy(*order).offset((number - 1) * size).limit(size)
+    """Page `number` (from 1) of the ordered rows, cut out by rank: a deep page costs what a first one does.
+
+    All rows are ranked and written once, so give it ids and order columns; fetch the rest for the page's rows by a join.
+    """
+    ranked = global_rank(df, *order, rank="_page_rank")
+    last = number * size
+    return ranked.where(F.col("_page_rank").between(last - size + 1, last)).orderBy("_page_rank").select(*df.columns)

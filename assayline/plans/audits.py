@@ -158,6 +158,7 @@ def reconcile(cand: DataFrame, ext: DataFrame, require_same_number: bool = False
     return {
         "summary": matching.distinct_matches(by_id),
         "aliases": matching.alias_top(matching.alias_pairs(pairs)),
+        "alias_pairs": matching.alias_pairs(pairs),
         "left_over": matching.residual_after_fuzzy(residual, by_id),
     }
 
@@ -194,8 +195,11 @@ def delta_page_audit(pages: DataFrame) -> Tables:
 
 
 def acceptance_metrics(totals: DataFrame, excess: DataFrame, gaps: DataFrame,
-                       quality: DataFrame | None = None) -> DataFrame:
-    """(metric, value) for the gates, out of finished audits; each input is a short table."""
+                       quality: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """(metric, value) for the gates, out of finished audits; each input is a short table.
+
+    `near` is `duplicates.group_excess` of groups of near copies, found by whatever means; without it its gate is pending.
+    """
     worst = excess.agg(F.max(rate(F.col("excess"), F.col("rows"))).alias("exact_duplicate_rate"))
     parts = [
         gates.corpus_rates(totals), to_long(worst),
@@ -205,6 +209,8 @@ def acceptance_metrics(totals: DataFrame, excess: DataFrame, gaps: DataFrame,
         parts.append(to_long(quality.select(
             F.col("metadata_match_rate").alias("metadata_accuracy"),
             rate(F.col("sequence_ratio_ge_0_95"), F.col("official_retrieved")).alias("official_match_rate"))))
+    if near is not None:
+        parts.append(to_long(near.select(rate(F.col("excess"), F.col("rows")).alias("near_duplicate_rate"))))
     return reduce(DataFrame.unionByName, parts)
 
 

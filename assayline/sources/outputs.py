@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_csv(df: DataFrame, path: str, *order: Column | str, single: bool = True) -> None:
-    """Ordered CSV with a header. `single` is for bounded reports; else each sorted range is its own file."""
+def write_csv(df: DataFrame, path: str, *order: Column | str, single: bool = False) -> None:
+    """Ordered CSV with a header; each sorted range is its own file. `single=True` makes one file, for bounded reports."""
     out = df.orderBy(*order) if order else df
     out = out.coalesce(1) if single else out
     out.write.csv(path, header=True, escape='"', mode="errorifexists",
@@ -32,10 +32,10 @@ def union_records(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def write_records_csv(path: str, *parts: DataFrame) -> None:
+def write_records_csv(path: str, *parts: DataFrame, order: tuple[Column | str, ...] = (), single: bool = False) -> None:
     """Result CSV; its header is the sorted union of all field names."""
     df = union_records(*parts)
-    write_csv(df.select(*sorted(df.columns)), path)
+    write_csv(df.select(*sorted(df.columns)), path, *order, single=single)
 
 
 def name_view(df: DataFrame, name: str) -> DataFrame:

@@ -914,7 +914,9 @@ def _ids(pred: str) -> str:
 
 
 @register(of_pairs(
-    f"SELECT (SELECT count(*) FROM residual) AS external_residual_exact_key, {_ids('true')} AS ids_with_same_numeric_key, "
+    f"SELECT (SELECT count(*) FROM residual) AS external_residual_exact_key, (SELECT count(*) FROM residual WHERE "
+    "ey IS NOT NULL AND en IS NOT NULL AND ky IS NOT NULL AND kn IS NOT NULL) AS residual_numeric_key_parseable, "
+    f"{_ids('true')} AS ids_with_same_numeric_key, "
     f"{_ids('ext_canon = cand_canon')} AS ids_with_court_canon_exact, {_ids('similarity >= 0.95')} AS "
     f"ids_with_similarity_ge_095, {_ids('similarity >= 0.90')} AS ids_with_similarity_ge_090, "
     f"{_ids('ext_day = cand_day')} AS ids_with_same_numeric_key_and_date, (SELECT count(*) FROM residual e WHERE NOT "
@@ -1136,6 +1138,13 @@ def text_overlap(spark, sf_dir):
     return duplicates.text_overlap(df.where("court = '-'"), df.where("court <> '-'")).select("id", "in_other")
 
 
+@register("SELECT count(*) AS rows, count(DISTINCT text) + count(*) FILTER (WHERE text IS NULL) AS groups, count(text) - "
+          "count(DISTINCT text) AS excess FROM documents")
+def group_excess(spark, sf_dir):
+    """Excess over groups of equal texts, named by a hash."""
+    return duplicates.group_excess(table(spark, sf_dir, "documents").select(F.md5("text").alias("component_id")))
+
+
 @register("SELECT doc_id, 'documents.parquet' AS file, 'r1' AS revision, 64 AS hash_chars, CAST(doc_id AS STRING) AS document, "
           "concat(lang, '/', source) AS key, 'read,traced' AS steps FROM documents")
 def with_lineage(spark, sf_dir):

@@ -177,6 +177,20 @@ def test_suspicious_order(spark):
 def test_page(spark):
     df = spark.range(100).repartition(7)
     assert [r[0] for r in sampling.page(df, 4, 5, F.col("id")).collect()] == [15, 16, 17, 18, 19]
+    assert [r[0] for r in sampling.page(df, 12, 9, F.col("id")).collect()] == [99]
+    assert sampling.page(df, 30, 9, F.col("id")).count() == 0
+
+
+def test_group_excess_reaches_the_gate(spark):
+    groups = spark.createDataFrame([(1,), (1,), (1,), (2,), (None,), (None,)], "component_id long")
+    assert rows(duplicates.group_excess(groups)) == [(6, 4, 2)]
+    assert rows(duplicates.group_excess(groups.limit(0))) == [(0, 0, 0)]
+    totals = spark.createDataFrame([(6, 0, 0, 0)], "rows long, empty_text long, any_known_placeholder long, lt_100_chars long")
+    excess = spark.createDataFrame([(6, 0)], "rows long, excess long")
+    gaps = spark.createDataFrame([], "x int")
+    metrics = audits.acceptance_metrics(totals, excess, gaps, near=duplicates.group_excess(groups))
+    gate = audits.acceptance(spark, metrics)["gates"].where("metric = 'near_duplicate_rate'").first()
+    assert (gate.observed, gate.state) == (2 / 6, "FAIL")
 
 
 # --- second source -----------------------------------------------------------------------------------------
@@ -247,7 +261,8 @@ def test_reconcile_by_brute_force(spark, seed):
         return len({a["document_id"] for a, b, s in met if a["document_id"] is not None and test(a, b, s)})
 
     close = {a["document_id"] for a, _, s in met if s is not None and s >= 0.9 and a["document_id"] is not None}
-    want = (len(residual), ids(lambda a, b, s: True), ids(lambda a, b, s: s is not None and a["canon"] == b["canon"]),
+    parsed = sum(all(a[k] is not None for k in matching.NUMERIC_KEY) for a in residual)
+    want = (len(residual), parsed, ids(lambda a, b, s: True), ids(lambda a, b, s: s is not None and a["canon"] == b["canon"]),
             ids(lambda a, b, s: s is not None and s >= 0.95), ids(lambda a, b, s: s is not None and s >= 0.9),
             ids(lambda a, b, s: a["day"] is not None and a["day"] == b["day"]),
             sum(a["document_id"] not in close for a in residual))
