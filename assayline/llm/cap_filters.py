@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.common import in_parts, sorted_groups
+from assayline.llm.common import in_parts, shelved, sorted_groups
 from assayline.llm.components import components
 from assayline.session import settle
 
@@ -172,6 +172,7 @@ def linked_rows(kind: str, cosine: float):
 
 def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row of `vectors` (vec_id, embedding, label): vec_id, n_links, component_id."""
+    vectors = shelved(vectors, ("vec_id", "embedding", "label"))[0]
     raw = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = settle(raw.mapInArrow(numbered, f"uid long, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, label long, embedding array<double>"), "vectors")
     broken = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a task works on at once, and words that a worker remembers before it starts afresh.
 SLICE_BYTES = 3 << 20
@@ -24,6 +25,28 @@ def row_keys(doc: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.xxhash64(doc, text).alias("_k1"), F.xxhash64(F.lit("row"), text, doc).alias("_k2")]
 
 
+def shelved(df: DataFrame, needed: tuple[str, ...], added: tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
+    """`df` with all columns but `needed` under numbers while an operator works, and the columns that name them again.
+
+    So no name of the input meets one of the operator's own, in whatever case it is written. Of several columns with a
+    needed name the first is meant. Columns named like one of `added` are left out: the operator's take their place."""
+    inner, back, left = [], [], list(needed)
+    for i, name in enumerate(df.columns):
+        inner.append(name if name in left else f"_col{i}")
+        if name in left:
+            left.remove(name)
+        if name.lower() not in added:
+            back.append(F.col(inner[-1]).alias(name))
+    if left:
+        raise ValueError(f"no column {', '.join(left)}")
+    return df.toDF(*inner), back
+
+
+def with_fields(df: DataFrame, **more: str) -> T.StructType:
+    """The schema of `df` with further columns, given by name and kind."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in more.items())])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all other letters left. Pure ASCII takes the fast built-in, which does the same there."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -10,7 +10,8 @@ frequent languages, of texts up to `SAMPLE_CHARS`, chosen by hash; lines of diff
 the labels are per document and the chain has to learn changes. Prediction reads whole texts of all rows.
 
 A text that is null or has no letter is "und" with score 0; so is every text if no row is labelled. Ties go to the first
-language in order. Repeated rows get the same result. A line of any length is one chain.
+language in order. Repeated rows get the same result. A line of any length is one chain. Other columns are carried along,
+whatever their names; those named `_lang_pred` or `_score` are replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from assayline.llm.common import SLICE_BYTES, WORDS_KEPT, bounds, flat, mix, slices
+from assayline.llm.common import WORDS_KEPT, bounds, flat, mix, shelved, slices, with_columns, with_fields
 
 UNKNOWN = "und"
 PER_LANGUAGE = 120
 LANGUAGES = 64
 SAMPLE_CHARS = 20_000
 LEXICON = 20_000
+#: Text bytes that a task judges at once, with four languages or fewer.
+JUDGED_BYTES = 2 << 20
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 STEPS = 45
@@ -102,10 +105,12 @@ def forward_backward(fits: np.ndarray, starts: np.ndarray, begin: np.ndarray, ch
         if t + 1 < longest:
             on = first[: active[t + 1]] + t
             beta[on] = ((fits[on + 1] * beta[on + 1]) @ change.T) / scale[on + 1][:, None]
+    if not learn:
+        alpha *= beta
+        alpha /= alpha.sum(axis=1, keepdims=True)
+        return alpha
     post = alpha * beta
     post /= post.sum(axis=1, keepdims=True)
-    if not learn:
-        return post
     inner = np.ones(len(fits), bool)
     inner[starts[:-1]] = False
     at = np.flatnonzero(inner)
@@ -195,6 +200,7 @@ def predict_texts(texts: list[str | None], table: WordFits) -> tuple[list[str],
     found = [WORD.findall(t.lower()) if t else [] for t in texts]
     ends = bounds(found)
     index = np.fromiter(map(table.__getitem__, flat(found)), np.int64, ends[-1])
+    del found
     table.settle()
     doc = np.repeat(np.arange(len(texts)), np.diff(ends))
     is_word = table.letters[index]
@@ -213,7 +219,7 @@ def predict_texts(texts: list[str | None], table: WordFits) -> tuple[list[str],
 
 def learn(rows: DataFrame) -> Model:
     """rows (text, lang): those that may be learned from. What reaches the driver is bounded by the sample's limits."""
-    good = rows.where("lang is not null")
+    good = shelved(rows, ("lang", "text"))[0].where("lang is not null")
     counts = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return Model([], np.zeros((1, 0), np.float32), np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 0)))
@@ -228,11 +234,9 @@ def learn(rows: DataFrame) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of `docs` with `_lang_pred string` and `_score double`, which depend on the text alone."""
-    from assayline.llm.common import with_columns
-    from assayline.llm.pieces import _with
-
+    docs, back = shelved(docs, ("text",), ("_lang_pred", "_score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    limit = SLICE_BYTES * 4 // max(4, len(model.languages))
+    limit = JUDGED_BYTES * 4 // max(4, len(model.languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordFits(sent.value)
@@ -240,4 +244,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = predict_texts(batch.column("text").to_pylist(), table)
             yield with_columns(batch, _lang_pred=pa.array(lang, pa.string()), _score=pa.array(score))
 
-    return docs.mapInArrow(run, ", ".join([_with(docs, "_lang_pred", "string"), "_score double"]))
+    return docs.mapInArrow(run, with_fields(docs, _lang_pred="string", _score="double")).select(*back, "_lang_pred", "_score")

@@ -3,10 +3,12 @@
 Built-in functions only. A line's key is the line without white space at both ends and with A-Z lower-cased. Only 128-bit
 hashes of keys are shuffled for counting: first one row per (key, document), then one partial count per task and key, so a
 line that a third of all documents share is one row per task. The join that finds the documents that lose a line has one
-row per key on its other side, and Spark splits hot keys there. Texts are shuffled once, by document.
+row per key on its other side, and Spark splits hot keys there. Texts are shuffled once, by document. The keys that a
+document loses are sorted and each of its lines is looked up by halving, so very long documents cost little more per line.
 
 Null or empty text: one empty line. A null id counts as one document, smaller than all others. Rows that repeat an id are
-one document: they lose the same keys. Lines below `min_chars` always stay. Other columns are carried along.
+one document: they lose the same keys. Lines below `min_chars` always stay. Other columns are carried along,
+whatever their names; those named `_n_lines` or `_n_dropped` are replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.common import ascii_lower
+from assayline.llm.common import ascii_lower, shelved
 
 #: Fixed values of the contract: white space that is stripped; shortest key in code points; documents that make it frequent.
 BLANK = " \t\n\x0b\x0c\r"
@@ -37,7 +39,7 @@ def key_hash(key: Column) -> Column:
 
 def document_keys(text: Column, min_chars: int) -> Column:
     keys = F.filter(F.transform(lines(text), line_key), lambda k: F.char_length(k) >= min_chars)
-    return F.array_distinct(F.transform(keys, key_hash))
+    return F.transform(keys, key_hash)
 
 
 def frequent_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -50,19 +52,31 @@ def frequent_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of `docs` with the text after dropping; `_n_lines` before and `_n_dropped` are added."""
+    docs, back = shelved(docs, ("doc_id", "text"), ("_n_lines", "_n_dropped"))
     pairs, frequent = frequent_keys(docs, min_chars, min_docs)
     loses = pairs.join(frequent, ["a", "b"]).where(~F.col("_doc").eqNullSafe(F.col("_keeper")))
-    loses = loses.groupBy("_doc").agg(F.collect_set(F.struct("a", "b")).alias("_loses"))
+    loses = loses.groupBy("_doc").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("_loses"))
+    # Steps of a search by halving: powers of two, from the largest that fits down to 1.
+    loses = loses.withColumn("_steps", F.transform(
+        F.sequence(F.floor(F.log2(F.size("_loses"))).cast("int"), F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k)))
     joined = docs.join(loses, docs["doc_id"].eqNullSafe(loses["_doc"]), "left")
 
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return ~((F.char_length(key) >= min_chars) & F.array_contains(F.col("_loses"), key_hash(key)))
+    def stays(x: Column) -> Column:
+        h = x["h"]
+
+        def halve(at: Column, step: Column) -> Column:
+            return F.when(F.coalesce(F.get("_loses", at + step - 1) <= h, F.lit(False)), at + step).otherwise(at)
+
+        at = F.aggregate("_steps", F.lit(0), halve)  # how many of the sorted keys are not above this one
+        return h.isNull() | F.coalesce(F.get("_loses", at - 1) != h, F.lit(True))
 
     all_lines = lines(F.col("text"))
-    kept = F.when(F.col("_loses").isNull(), all_lines).otherwise(F.filter(all_lines, stays))
+    keyed = F.transform(all_lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
+    hashed = F.transform(keyed, lambda x: F.struct(
+        x["line"].alias("line"), F.when(F.char_length(x["key"]) >= min_chars, key_hash(x["key"])).alias("h")))
+    kept = F.when(F.col("_loses").isNull(), all_lines).otherwise(F.transform(F.filter(hashed, stays), lambda x: x["line"]))
     done = joined.withColumns({"_n_lines": F.size(all_lines).cast("long"), "_kept": kept})
     done = done.withColumns({
         "_n_dropped": F.col("_n_lines") - F.size("_kept"),
         "text": F.when(F.col("_loses").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("_kept", "\n"))})
-    return done.select(*docs.columns, "_n_lines", "_n_dropped")
+    return done.select(*back, "_n_lines", "_n_dropped")

@@ -13,7 +13,7 @@ shares, and what leaves a task is a link for each two components that it joins.
 
 Null or empty texts and texts without words have an empty set, which is linked with nothing. Texts of fewer than w words
 are one shingle. Rows that repeat an id with other texts are judged each by its text; the component's name is the smallest
-id in it. Rows that repeat both are linked. Other columns are carried along by `drop_near_duplicates`.
+id in it. Rows that repeat both are linked. Other columns are carried along by `drop_near_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.llm.common import (
-    WordHashes, as_bytes, bounds, flat, in_parts, mix, odd_numbers, row_keys, runs_hash, signed, slices, sorted_groups)
+    WordHashes, as_bytes, bounds, flat, in_parts, mix, odd_numbers, row_keys, runs_hash, shelved, signed, slices, sorted_groups)
 from assayline.llm.components import components
 from assayline.session import settle
 
@@ -230,6 +230,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of `docs`: _k1, _k2 (its row keys), uid, doc_id, n_shingles, component_id."""
+    docs, _ = shelved(docs, ("doc_id", "text"))
     keyed = docs.select("doc_id", "text", *row_keys())
     rows = settle(keyed.select("text", "_k1", "_k2").mapInArrow(sketch_rows(width), SKETCH), "sketches")
     classes = settle(rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("node")), "classes")
@@ -280,5 +281,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     found = near_duplicates(docs, width, percent)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("x"))
     keys = first.select("x._k1", "x._k2").distinct()
+    docs, back = shelved(docs, ("doc_id", "text"))
     keyed = docs.select("*", *row_keys())
-    return keyed.join(keys, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    return keyed.join(keys, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*back)

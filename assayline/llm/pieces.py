@@ -10,7 +10,8 @@ pieces side by side, and each place is reached by one piece at most. The result
 Characters without a piece become byte pieces. Decoding puts the bytes of the pieces together, turns the blank sign into a
 blank and drops the first one, which encoding had put in front. Null and empty texts have no pieces; null and empty lists
 decode to the empty text. Broken UTF-8 decodes to replacement characters, unknown or control ids to nothing. Rows are
-independent; other columns are carried along; no text is cut, whatever its length.
+independent; no text is cut, whatever its length. Other columns are carried along, whatever their names; those named like the
+added one (`_pieces`, `_decoded`) are replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from assayline.llm.common import WORDS_KEPT, bounds, flat, mix, slices, take_ragged, with_columns, worker_cache
+from assayline.llm.common import (
+    WORDS_KEPT, bounds, flat, mix, shelved, slices, take_ragged, with_columns, with_fields, worker_cache)
 
 SPACE = "▁"
 NEVER = 1 << 60
+#: Letters that one suffix array holds, and pieces that are decoded at once; a longer unit or list stands alone.
+INDEXED = 1 << 19
+DECODED = 1 << 20
 
 
 class PieceModel:
@@ -235,9 +240,15 @@ class Units(dict):
         return i
 
     def settle(self) -> None:
-        if not self.waiting:
-            return
-        model, units = self.model, [u.replace(" ", SPACE) for u in self.waiting]
+        part = np.cumsum(np.fromiter(map(len, self.waiting), np.int64, len(self.waiting))) // INDEXED
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                self.settle_part([u.replace(" ", SPACE) for u in self.waiting[a:b]])
+        self.waiting = []
+
+    def settle_part(self, units: list[str]) -> None:
+        model = self.model
         odd = {i for i, u in enumerate(units) if u.startswith(SPACE * 2) or not model.letters.issuperset(u)}
         plain = [u for i, u in enumerate(units) if i not in odd]
         # Of the others, runs of known letters are encoded with the plain ones; blanks in front are seen to afterwards.
@@ -273,7 +284,6 @@ class Units(dict):
         for i, ids in special.items():
             out[ends[i] - len(ids) : ends[i]] = ids
         self.values, self.starts = np.concatenate([self.values, out]), np.concatenate([self.starts, self.starts[-1] + ends])
-        self.waiting = []
 
     def trim(self) -> None:
         if len(self) > WORDS_KEPT:
@@ -332,7 +342,8 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             values, starts = encode_texts(batch.column(text).to_pylist(), path)
             yield with_columns(batch, _pieces=pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values)))
 
-    return df.mapInArrow(run, _with(df, "_pieces", "array<int>"))
+    df, back = shelved(df, (text,), ("_pieces",))
+    return df.mapInArrow(run, with_fields(df, _pieces="array<int>")).select(*back, "_pieces")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -340,16 +351,16 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for off in range(0, batch.num_rows, 1000):
-                part = batch.slice(off, 1000)
+            if not batch.num_rows:
+                continue
+            sizes = np.array([n or 0 for n in batch.column("_pieces").value_lengths().to_pylist()], np.int64)
+            cuts = (np.flatnonzero(np.diff(np.cumsum(sizes) // DECODED)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
                 lists = part.column("_pieces").cast(pa.list_(pa.int32()))
-                sizes = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
-                starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                starts = np.concatenate([[0], np.cumsum(sizes[a:b])]).astype(np.int64)
                 values = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 yield with_columns(part, _decoded=pa.array(decode_ids(values, starts, path), pa.string()))
 
-    return df.mapInArrow(run, _with(df, "_decoded", "string"))
-
-
-def _with(df: DataFrame, name: str, kind: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{name}` {kind}"])
+    df, back = shelved(df, ("_pieces",), ("_decoded",))
+    return df.mapInArrow(run, with_fields(df, _decoded="string")).select(*back, "_decoded")

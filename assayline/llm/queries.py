@@ -60,7 +60,7 @@ from embeddings e join (select x, min(y) as component_id from r group by x) c on
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = token_store.write_tokens(docs, tokenizer_file("word_bpe_49k.json"), token_store.token_folder(docs))
-    return token_store.read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_store.read_tokens(files, with_ids=False)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from assayline.llm.common import slices
+from assayline.llm.common import shelved, slices
 
 #: Fixed values of the contract: the three patterns, shortest lengths, and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -182,6 +182,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                  pa.array([joined(every) for _, every in found], pa.string())],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
+    docs = shelved(docs, ("doc_id", "text"))[0]
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -5,7 +5,8 @@ Shards take turns and each claims the next free slot of its own order, so all ge
 when a shard is added or goes, few other slots change hands. A document's slot is the hash of its id modulo the size; the
 table (`SLOTS` rows, whatever the input) is broadcast, so placing needs no shuffle and constant time.
 
-A null id is placed as the text "null". Rows that repeat an id are in one shard. Other columns are carried along.
+A null id is placed as the text "null". Rows that repeat an id are in one shard. Other columns are carried along, whatever
+their names; those named `_slot` or `_shard` are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayline.llm.common import shuffle_parts
+from assayline.llm.common import shelved, shuffle_parts
 
 SLOTS = 65537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -53,8 +54,9 @@ def lookup(spark: SparkSession, shards: tuple[str, ...] = SHARDS, slots: int = S
 
 def place(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """All rows of `df` with `_slot` and `_shard`."""
+    df, back = shelved(df, (key,), ("_slot", "_shard"))
     at = df.withColumn("_slot", slot_of(F.col(key), slots))
-    return at.join(F.broadcast(lookup(df.sparkSession, shards, slots)), "_slot").select(*df.columns, "_slot", "_shard")
+    return at.join(F.broadcast(lookup(df.sparkSession, shards, slots)), "_slot").select(*back, "_slot", "_shard")
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> None:
@@ -65,5 +67,5 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: tuple[st
 
 
 def read_shards(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    kinds = T.StructType([*like.schema.fields, T.StructField("_slot", T.IntegerType()), T.StructField("_shard", T.StringType())])
+    kinds = T.StructType([*(f for f in like.schema.fields if f.name.lower() not in ("_slot", "_shard")), T.StructField("_slot", T.IntegerType()), T.StructField("_shard", T.StringType())])
     return spark.read.schema(kinds).parquet(path)

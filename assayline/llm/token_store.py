@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from assayline.llm.common import WORDS_KEPT, bounds, shuffle_parts, slices, take_ragged, worker_cache
+from assayline.llm.common import WORDS_KEPT, bounds, shelved, shuffle_parts, slices, take_ragged, worker_cache
 from assayline.session import scratch_path, settle
 
 #: Fixed value of the contract: the id that ends each document.
@@ -68,6 +68,7 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.cut = self.model.tokenize
         self.split = regex.compile(PRETOKEN).findall
         self.letters = dict(enumerate(byte_letters()))
         self.values, self.ends = array("I"), array("q", [0])
@@ -76,7 +77,9 @@ class WordIds(dict):
         if word.isascii() and (low := word.lower()) != word and SPECIAL not in word:
             i = self[word] = self[low]  # upper case gives the same ids
             return i
-        if word[:-1].isalpha() and word[-1:] in MARKS:  # letters and a mark are two pre-tokens, each met more often alone
+        if word.isalpha():  # ASCII letters in lower case: one pre-token as it stands
+            ids = [t.id for t in self.cut(word.decode("ascii"))]
+        elif word[:-1].isalpha() and word[-1:] in MARKS:  # letters and a mark are two pre-tokens, each met more often alone
             ids = self.of(self[word[:-1]]) + self.of(self[word[-1:]])
         else:
             ids = self.ids(word.decode("utf-8", "replace"))
@@ -94,7 +97,7 @@ class WordIds(dict):
         parts = [text.lower()] if text.isalpha() else self.split(text.lower())
         if not text.isascii():
             parts = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
-        return [t.id for part in parts for t in self.model.tokenize(part)]
+        return [t.id for part in parts for t in self.cut(part)]
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, without end ids, and where each text starts."""
@@ -231,6 +234,7 @@ def write_rows(tokenizer: str, folder: str, end_id: int):
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Writes the files below `folder` (a URI) and returns their table (path, part, seq, docs, n_tokens, start)."""
+    docs = shelved(docs, ("doc_id", "text"))[0]
     filesystem, place = fs.FileSystem.from_uri(folder)
     filesystem.create_dir(place, recursive=True)
     sorted_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_parts(docs), "doc_id")
@@ -240,29 +244,32 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, first in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-            files, place = fs.FileSystem.from_uri(path)
-            with files.open_input_file(place) as f:
-                file = TokenFile(f.read())
-            for a in range(0, file.docs, 500):
-                b = min(a + 500, file.docs)
-                starts = file.starts[a : b + 1]
-                run = file.tokens(int(starts[0]), int(starts[-1])).astype("<u4").tobytes()
-                ids = [run[4 * x : 4 * y] for x, y in zip((starts[:-1] - starts[0]).tolist(), (starts[1:] - starts[0]).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(file.doc_ids[a:b], mask=file.null[a:b].astype(bool)), pa.array(starts[:-1] + first),
-                     pa.array(np.diff(starts)), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                     pa.array(ids, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
-
-def read_tokens(files: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (binary)."""
-    parts = shuffle_parts(files)
-    return files.select("path", "start").repartition(parts).mapInArrow(
-        read_rows, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+def read_rows(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, first in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                files, place = fs.FileSystem.from_uri(path)
+                with files.open_input_file(place) as f:
+                    file = TokenFile(f.read())
+                for a in range(0, file.docs, 500):
+                    b = min(a + 500, file.docs)
+                    starts = file.starts[a : b + 1]
+                    raw = memoryview(file.tokens(int(starts[0]), int(starts[-1])).astype("<u4").tobytes())
+                    cuts = (4 * (starts - starts[0])).tolist()
+                    ids = [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+                    out = {
+                        "doc_id": pa.array(file.doc_ids[a:b], mask=file.null[a:b].astype(bool)), "start": pa.array(starts[:-1] + first),
+                        "n_tokens": pa.array(np.diff(starts)), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())}
+                    yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(map(bytes, ids), pa.binary())} if with_ids else {}))
+
+    return run
+
+
+def read_tokens(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and, if they are
+    asked for, ids (binary)."""
+    kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return files.select("path", "start").repartition(shuffle_parts(files)).mapInArrow(read_rows(with_ids), kinds)
 
 
 def token_folder(docs: DataFrame) -> str:

@@ -8,6 +8,7 @@ filter is broadcast; a longer list only lets more URLs through to the exact join
 
 A rule fits its host and all subdomains if the path starts with the rule's; the longest rule wins and comes before the list.
 Null URLs and those without "://" have empty host and path, fit no rule and are not listed. Repeated rows each get a verdict.
+Other columns are carried along, whatever their names; those named like the four added ones are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.common import ascii_lower
+from assayline.llm.common import ascii_lower, shelved
 from assayline.session import settle
 
 #: Fixed values of the contract: verdict and rule, host before the first slash and path from it.
@@ -88,6 +89,8 @@ def listed_keys(keys: DataFrame, listed: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """All columns of `pages` with _host, _path, _rule and _verdict. listed: (url), any spelling."""
+    listed = shelved(listed, ("url",))[0]
+    pages, back = shelved(pages, ("url",), ("_host", "_path", "_rule", "_verdict"))
     names = settle(listed.select(canonical(F.col("url")).alias("url")).where("url is not null").distinct(), "listed")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     known = pages.withColumns({"_host": host, "_path": path, "_canonical": canonical(F.col("url"))})
@@ -96,7 +99,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...
     bad = listed_keys(known.where("_rule is null").select(F.col("_canonical").alias("url")), names).withColumnRenamed("url", "_bad")
     out = known.join(bad, known["_canonical"] == bad["_bad"], "left")
     says = F.coalesce("_say", F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))
-    return out.select(*pages.columns, "_host", "_path", "_rule", says.alias("_verdict"))
+    return out.select(*back, "_host", "_path", "_rule", says.alias("_verdict"))
 
 
 def recrawled(pages: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ surroundings of a fingerprint are one row on the item side, with the items that
 share do not multiply. What is left is joined by Spark, which splits hot fingerprints.
 
 Null or empty texts, and texts without words, have no words and no hits. Items with a null id make words hit but are not
-listed. Rows with the same id and text get the same result. Other columns are carried along by `decontaminate`.
+listed. Rows with the same id and text get the same result. Other columns are carried along by `decontaminate`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.common import WordHashes, as_bytes, bounds, flat, row_keys, runs_hash, slices
+from assayline.llm.common import WordHashes, as_bytes, bounds, flat, row_keys, runs_hash, shelved, slices
 from assayline.session import settle
 
 #: Fixed value of the contract: words of a window.
@@ -158,6 +159,7 @@ def bitmap_of(contexts: DataFrame) -> bytes:
 
 def hit_documents(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per document: _k1, _k2, doc_id, n_words, hits), and (per document with hits: _k1, _k2, n_hit, item_ids sorted)."""
+    docs, items = shelved(docs, ("doc_id", "text"))[0], shelved(items, ("item_id", "text"))[0]
     lengths = item_lengths(items)
     contexts = item_contexts(items, lengths)
     base = settle(
@@ -204,5 +206,6 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` with no word hit, all columns as they are."""
     _, per_doc = hit_documents(docs, items)
+    docs, back = shelved(docs, ("doc_id", "text"))
     keyed = docs.select("*", *row_keys())
-    return keyed.join(per_doc.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    return keyed.join(per_doc.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti").select(*back)
