@@ -8,6 +8,11 @@ up for vectors that one code treats badly: of pairs at cosine 0.98 exactly, in 6
 cosine in double precision. `b` follows the square root of the number of vectors, so that a filter holds tens of them at
 any size.
 
+What the filters miss is completed exactly. A vector that exceeds some filter by so much that all vectors within the limit
+exceed it too has all its links there. A link is missed only if neither end is such a vector, so all others of a label are
+compared with each other, in blocks of `BLOCK`, and the links of pairs without a common filter are added. So no link is
+lost at any size; the price is that this part grows with the square of a label's distinct vectors.
+
 Equal vectors of a label are one node with a weight. Pairs never leave a task: a bucket gives one count of links per node
 (a link is counted in the smallest filter that both share, so once) and edges from each node to the least node it is
 connected with there. A bucket of more than `PART` nodes is cut into parts, and each pair of parts is a piece of work of its
@@ -37,8 +42,11 @@ COSINE = 0.98
 CODES = 2
 MEAN_LIST = 20
 PART = 512
+#: Vectors of a block of the completion, and how many of them are compared with another block at once.
+BLOCK = 2048
+STRIPE = 256
 NODE = "uid long, label long, dim int, w long, vec binary"
-WORK = "label long, dim int, filter int, node long, w long, vec binary, filters binary"
+WORK = "label long, dim int, filter int, node long, w long, vec binary, filters binary, open boolean"
 
 
 class ProductCode:
@@ -73,6 +81,14 @@ class ProductCode:
         return out
 
 
+    def is_open(self, unit: np.ndarray, cosine: float) -> np.ndarray:
+        """Whether no filter is sure to hold all vectors within `cosine` of a vector, so that links may be missed."""
+        a, b = self.scores(unit)
+        best = a.max(axis=1) + b.max(axis=1)  # a filter is no longer than the root of 2
+        least = cosine * best - np.sqrt(max(0.0, 1 - cosine * cosine) * np.maximum(0.0, 2 - best * best))
+        return (best <= 0) | (least < self.least + 1e-9)
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -86,7 +102,7 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen += batch.num_rows
 
 
-def decoded_rows(side: int, kind: str):
+def decoded_rows(side: int, kind: str, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, list[ProductCode]] = {}
         for big in batches:
@@ -103,22 +119,27 @@ def decoded_rows(side: int, kind: str):
                     lists = [np.concatenate([f + k * side * side for k, f in enumerate(x)]).astype(np.int32)
                              for x in zip(*(c.decode(unit) for c in codes[dim]), strict=True)]
                     sizes = np.array([len(x) for x in lists])
+                    first = np.zeros(sizes.sum(), bool)
+                    first[np.cumsum(sizes) - sizes] = np.logical_and.reduce([c.is_open(unit, cosine) for c in codes[dim]])
                     pick = pa.array(np.repeat(at, sizes))
                     own_bytes = pa.array([u.tobytes() for u in raw], pa.binary())
                     every = pa.array([x.tobytes() for x in lists], pa.binary())
                     own = pa.array(np.repeat(np.arange(len(at)), sizes))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("label").take(pick), batch.column("dim").take(pick), pa.array(np.concatenate(lists)),
-                         batch.column("node").take(pick), batch.column("w").take(pick), own_bytes.take(own), every.take(own)],
-                        names=["label", "dim", "filter", "node", "w", "vec", "filters"])
+                         batch.column("node").take(pick), batch.column("w").take(pick), own_bytes.take(own), every.take(own), pa.array(first)],
+                        names=["label", "dim", "filter", "node", "w", "vec", "filters", "open"])
 
     return run
 
 
 def local_components(linked: np.ndarray) -> np.ndarray:
     """The least index that each row of a symmetric link matrix reaches."""
-    out = np.arange(len(linked))
-    rows, cols = np.nonzero(linked)
+    return least_reached(len(linked), *np.nonzero(linked))
+
+
+def least_reached(size: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    out = np.arange(size)
     while len(rows):
         new = out.copy()
         np.minimum.at(new, rows, out[cols])
@@ -170,6 +191,65 @@ def linked_rows(kind: str, cosine: float):
     return run
 
 
+def without_common(filters: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) of rows have no filter in common."""
+    lists = [np.frombuffer(x, np.int32) for x in filters]
+    sizes = np.array([len(x) for x in lists])
+    starts, every = np.cumsum(sizes) - sizes, np.concatenate(lists).astype(np.int64)
+    known = np.sort(np.repeat(np.arange(len(lists)), sizes) << 32 | every)
+    left, k = np.arange(len(a)), 0
+    alone = []
+    while len(left):
+        over = sizes[a[left]] <= k
+        alone.append(left[over])
+        left = left[~over]
+        key = b[left] << 32 | every[starts[a[left]] + k]
+        left = left[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key]
+        k += 1
+    return np.sort(np.concatenate(alone)) if alone else left
+
+
+def missed_links(one_part: bool, p: int, part: np.ndarray, node: np.ndarray, w: np.ndarray, vecs: list, filters: list, kind: str, cosine: float):
+    """As bucket_links, of the pairs of a block or of two blocks that no filter holds."""
+    v = unit_rows(np.frombuffer(b"".join(vecs), kind).reshape(len(node), -1).astype(np.float64))
+    here, there = np.flatnonzero(part == p), np.flatnonzero((part == p) == one_part)
+    pairs = []
+    for off in range(0, len(here), STRIPE):
+        x, y = np.nonzero(v[here[off : off + STRIPE]] @ v[there].T >= cosine)
+        a, b = here[x + off], there[y]
+        if one_part:
+            a, b = a[a < b], b[a < b]
+        some = without_common(filters, a, b)
+        pairs.append((a[some], b[some]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (here, here)
+    if not len(a):
+        return None
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.argsort(node)
+    rank = np.argsort(order)
+    least = node[order][least_reached(len(node), rank[a], rank[b])][rank]
+    links = np.zeros(len(node), np.int64)
+    np.add.at(links, a, w[b])
+    some = np.unique(a)
+    return node[some], links[some], least[some]
+
+
+def completed_rows(kind: str, cosine: float):
+    """Rows come sorted by label and blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, ["label", "dim", "p", "q"]):
+            if t.num_rows < 2:
+                continue
+            p, q = (t.column(c)[0].as_py() for c in ("p", "q"))
+            got = missed_links(p == q, p, *(t.column(c).to_numpy() for c in ("part", "node", "w")), t.column("vec").to_pylist(),
+                               t.column("filters").to_pylist(), kind, cosine)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["node", "links", "least"])
+
+    return run
+
+
 def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row of `vectors` (vec_id, embedding, label): vec_id, n_links, component_id."""
     vectors = shelved(vectors, ("vec_id", "embedding", "label"))[0]
@@ -183,12 +263,18 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     nodes = rows.join(classes, rows["uid"] == classes["node"]).select("node", "label", "w", "embedding", F.size("embedding").alias("dim"))
     side = int(np.clip(np.ceil(np.sqrt(classes.count()) / 4), 32, 4096))
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"  # what the column holds, no less
-    work = nodes.select("node", "label", "dim", "w", "embedding").mapInArrow(decoded_rows(side, kind), WORK)
+    work = nodes.select("node", "label", "dim", "w", "embedding").mapInArrow(decoded_rows(side, kind, cosine), WORK)
     work = settle(work, "filters")
     bucket = ["label", "dim", "filter"]
+    loose = work.where("open").select("label", "dim", "node", "w", "vec", "filters")
+    work = work.drop("open")
     sizes = work.groupBy(*bucket).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     parts = sizes.select(*bucket, F.ceil(F.col("c") / PART).cast("int").alias("s"))
-    found = settle(in_parts(work, bucket, parts, "node").mapInArrow(linked_rows(kind, cosine), "node long, links long, least long"), "links")
+    found = in_parts(work, bucket, parts, "node").mapInArrow(linked_rows(kind, cosine), "node long, links long, least long")
+    blocks = loose.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    blocks = blocks.select("label", "dim", F.ceil(F.col("c") / BLOCK).cast("int").alias("s"))
+    missed = in_parts(loose, ["label", "dim"], blocks, "node").mapInArrow(completed_rows(kind, cosine), "node long, links long, least long")
+    found = settle(found.unionByName(missed), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = settle(components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()), "components")
     named = rows.select("uid", "vec_id").join(keyed, "uid", "left").join(classes, ["k1", "k2"], "left")

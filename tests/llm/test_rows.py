@@ -60,6 +60,26 @@ def test_recall_of_cap_filters():
     assert missed.mean() <= 0.004
 
 
+@pytest.mark.parametrize("block", [7, 2048])
+def test_links_that_no_filter_holds_are_found(spark, block, monkeypatch):
+    monkeypatch.setattr(cap_filters, "BLOCK", block)
+    codes, rng = [cap_filters.ProductCode(64, 32, k) for k in range(cap_filters.CODES)], np.random.default_rng(5)
+    x = cap_filters.unit_rows(rng.standard_normal((20_000, 64)))
+    other = rng.standard_normal(x.shape)
+    other = cap_filters.unit_rows(other - (other * x).sum(1, keepdims=True) * x)
+    y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * other
+    missed = np.ones(len(x), bool)
+    for code in codes:
+        missed &= [not set(p.tolist()) & set(q.tolist()) for p, q in zip(code.decode(x), code.decode(y), strict=True)]
+        surely = ~(code.is_open(x, 0.98) & code.is_open(y, 0.98))
+        assert surely.any() and not (missed & surely).any()
+    assert missed.sum() >= 5
+    rows = [(2 * i + k, v.tolist(), 1) for i, pair in enumerate(zip(x[missed], y[missed], strict=True)) for k, v in enumerate(pair)]
+    rows.append((len(rows), rows[0][1], 1))  # a copy counts with its weight
+    got = sorted(map(tuple, cap_filters.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == [(0, 2, 0), (1, 2, 0), *((i, 1, i - i % 2) for i in range(2, len(rows) - 1)), (len(rows) - 1, 2, 0)]
+
+
 def test_table_is_balanced_and_changes_little():
     names = tuple(f"s{i}" for i in range(7))
     table = sharding.fill(names, 1009)
