@@ -5,9 +5,11 @@ and its entry in the lexicon, if it has one; their learned weights, summed, say
 transitions say how readily the language changes from a word to the next. Forward-backward gives every word its posterior
 over languages; a text's language is the one with the largest sum, and its score is that sum per word.
 
-The model is fitted on the driver to a bounded sample of labelled rows: `PER_LANGUAGE` rows of each of the `LANGUAGES` most
-frequent languages, of texts up to `SAMPLE_CHARS`, chosen by hash; lines of different languages are put side by side, as
-the labels are per document and the chain has to learn changes. Prediction reads whole texts of all rows.
+The model is fitted on the driver to a bounded sample of labelled rows of all languages: `PER_LANGUAGE` distinct texts of
+each, chosen by hash, and of a text over `SAMPLE_CHARS` a stretch of that length, also chosen by hash. With more than
+`LANGUAGES` languages the rows of each and the stretches get shorter, so that the sample's size stays; every language keeps
+one text at least. Texts without a letter teach nothing and are not counted. Lines of different languages are put side by
+side, as the labels are per document and the chain has to learn changes. Prediction reads whole texts of all rows.
 
 A text that is null or has no letter is "und" with score 0; so is every text if no row is labelled. Ties go to the first
 language in order. Repeated rows get the same result. A line of any length is one chain. Other columns are carried along,
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,6 +46,8 @@ PENALTY = 1e-4
 SWITCH = 0.3
 #: Letters in a row are a word; a line feed ends the chain.
 WORD = re.compile(r"[^\W\d_]+|\n")
+#: A letter, in the patterns of Spark.
+LETTER = r"\p{L}"
 
 
 @dataclass
@@ -217,19 +221,31 @@ def predict_texts(texts: list[str | None], table: WordFits) -> tuple[list[str],
     return [table.model.languages[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist(), strict=True)], score
 
 
+def stretch(text: Column, chars: int) -> Column:
+    """`chars` letters of a longer text from a place chosen by hash, or from its first letter if that part has none."""
+    at = F.pmod(F.xxhash64(F.lit("stretch"), text), F.greatest(F.length(text) - chars, F.lit(0)) + 1).cast("int") + 1
+    part = F.substring(text, at, F.lit(chars))
+    return F.when(F.length(text) <= chars, text).when(part.rlike(LETTER), part).otherwise(
+        F.substring(F.regexp_replace(text, r"^\P{L}+", ""), F.lit(1), F.lit(chars)))
+
+
 def learn(rows: DataFrame) -> Model:
     """rows (text, lang): those that may be learned from. What reaches the driver is bounded by the sample's limits."""
-    good = shelved(rows, ("lang", "text"))[0].where("lang is not null")
-    counts = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    good = shelved(rows, ("lang", "text"))[0].where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    place = F.xxhash64(F.lit("sample"), "text")
+    counts = good.select("lang", place.alias("place")).distinct().groupBy("lang").count().collect()
+    none = Model([], np.zeros((1, 0), np.float32), np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 0)))
     if not counts:
-        return Model([], np.zeros((1, 0), np.float32), np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 0)))
+        return none
+    crowd = max(1.0, len(counts) / LANGUAGES)
+    most, chars = max(1, int(PER_LANGUAGE / crowd)), max(1, int(SAMPLE_CHARS / crowd))
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, 4 * PER_LANGUAGE / n)))])
-    place = F.xxhash64(F.lit("sample"), "text")
-    few = good.where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(place, F.lit(1_000_003)) / 1_000_003.0 <= share[F.col("lang")]))
+    few = good.where(F.pmod(place, F.lit(1_000_003)) / 1_000_003.0 <= share[F.col("lang")])
     few = few.select("lang", "text").distinct()
-    ranked = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(place, "text"))).where(F.col("r") <= PER_LANGUAGE)
-    sample = sorted((x.lang, x.text) for x in ranked.select("lang", "text").collect())
-    return fit(sample, sorted(lang for lang, _ in counts))
+    ranked = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(place, "text"))).where(F.col("r") <= most)
+    sample = sorted((x.lang, x.text) for x in ranked.select("lang", stretch(F.col("text"), chars).alias("text")).collect())
+    sample = [(lang, text) for lang, text in sample if any(map(str.isalpha, text.lower()))]
+    return fit(sample, sorted({lang for lang, _ in sample})) if sample else none
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

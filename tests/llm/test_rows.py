@@ -163,6 +163,20 @@ def test_language_query_on_held_out_rows(spark):
     assert all(0 <= x.score <= 1 for x in got)
 
 
+def test_all_languages_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(language, "fit", lambda rows, languages: (rows, languages))
+    rows = [(f"l{i:02}", f"word{'x' * i} {j}") for i in range(80) for j in range(200)]
+    rows += [("long", f"begin{j} " + "langes wort\n" * 2000) for j in range(3)] + [("late", "1" * 60_000 + "wort"), ("signs", "12 - 34")]
+    rows += [("rare", None)] * 3000 + [("rare", "copy")] * 3000 + [("rare", f"text {j}") for j in range(40)]
+    sample, languages = language.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert languages == sorted({*(f"l{i:02}" for i in range(80)), "long", "late", "rare"})
+    sizes = {x: sum(lang == x for lang, _ in sample) for x in languages}
+    assert sizes.pop("long") == 3 and sizes.pop("late") == 1 and sizes.pop("rare") == 41 and set(sizes.values()) == {int(120 * 64 / 83)}
+    assert all(len(text) <= int(20_000 * 64 / 83) and any(map(str.isalpha, text)) for _, text in sample)
+    nothing = language.learn(spark.createDataFrame([("signs", "12 - 34"), ("none", None)], "lang string, text string"))
+    assert nothing.languages == []
+
+
 def test_language_of_odd_rows(spark):
     rows = [("en", "the house and the garden of the people"), ("de", "das Haus und der Garten der Leute"), (None, "nothing")] * 10
     model = language.learn(spark.createDataFrame(rows, "lang string, text string"))
