@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each over all that its predecessor kept.
 
-Language ID drops documents without a letter or without a clear language; line dedup drops frequent lines; of near
+Language ID drops documents without a letter; line dedup drops frequent lines; of near
 duplicates one stays; documents with a passage of the benchmark go; what is left is encoded into pieces.
 """
 
@@ -23,14 +23,11 @@ from assayline.session import settle
 
 cloudpickle.register_pickle_by_value(assayline)
 
-#: Share of its words' posterior that a document's language must have.
-MIN_SCORE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.learn(docs.where(~held_out()).select("text", "lang"))
     judged = language.predict(docs, model)
-    return judged.where((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    return judged.where(F.col("_lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
