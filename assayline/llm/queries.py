@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.llm import (
-    cap_filters, language, line_dedup, near_dup, pieces, secrets, sharding, token_store, url_filter, winnowing)
+    cap_filters, collocations, language, line_dedup, near_dup, pieces, secrets, sharding, token_store, url_filter, winnowing)
 from assayline.session import scratch_path
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -177,12 +177,48 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+with p as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), {LETTERS}), '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as (select row_number() over () as id, lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+o as (select id, lang, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from w),
+t as (select lang, x, lead(x) over b as y, lead(x, 2) over b as z from o window b as (partition by id order by i)),
+g as (
+  select lang, 1 as k, x from t union all select lang, 2, x || ' ' || y from t where y is not null
+  union all select lang, 3, x || ' ' || y || ' ' || z from t where z is not null),
+f as materialized (select lang, k, x, count(*) as f from g group by lang, k, x),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as materialized (select lang, k, x, f as a, string_split(x, ' ') as w from f where k > 1 and f >= 10),
+parts as (
+  select lang, k, x, a, i, array_to_string(w[: i], ' ') as head, array_to_string(w[i + 1 :], ' ') as tail
+  from c, (select unnest([1, 2]) as i) where i < k),
+cuts as (
+  select p.lang, p.k, p.x, a, i, l.f as l, r.f as r, ((1000000::hugeint * a * a) // (l.f::hugeint * r.f))::bigint as score
+  from parts p join f l on l.lang = p.lang and l.x = head join f r on r.lang = p.lang and r.x = tail),
+best as (select * from cuts qualify row_number() over (partition by lang, x order by score, i) = 1),
+inside as (
+  select lang, x, max(a) as a from (
+    select lang, a, array_to_string(w[: 2], ' ') as x from c where k = 3 union all select lang, a, array_to_string(w[2 :], ' ') from c where k = 3)
+  group by lang, x),
+kept as (
+  select best.* from best left join inside on best.k = 2 and inside.lang = best.lang and inside.x = best.x
+  where inside.a is null or 100 * inside.a < 50 * best.a)
+select kept.lang, row_number() over (partition by kept.lang order by score desc, a desc, x) as rank, x as phrase, a, l, r, n, score
+from kept join n on n.lang = kept.lang qualify rank <= 2000"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_line_dedup, op2_embedding_dedup, op3_token_ids, op4_sentencepiece, op5_sharding, op6_url_filters,
-              op7_language_id, op8_decontamination, op9_minhash_dedup, op10_secrets)
+              op7_language_id, op8_decontamination, op9_minhash_dedup, op10_secrets,
+              op11_collocations)
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op6_url_filters": OP6_SQL, "op8_decontamination": OP8_SQL,
-    "op9_minhash_dedup": OP9_SQL,
+    "op9_minhash_dedup": OP9_SQL, "op11_collocations": OP11_SQL,
 }
