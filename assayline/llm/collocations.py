@@ -40,9 +40,9 @@ LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 NO_LANGUAGE = "und"
 #: Bits of a word's number in its chunk, and what closes a chunk: words in its dictionary, or words read.
 LOCAL_BITS = 21
-CHUNK_VOCABULARY, CHUNK_WORDS = 1 << 20, 1 << 22
+CHUNK_VOCABULARY, CHUNK_WORDS = 1 << 19, 1 << 20
 #: Bytes of text read at once, and keys that wait before they are counted.
-BLOCK, WAITING = 1 << 20, 1 << 20
+BLOCK, WAITING = 1 << 19, 1 << 19
 #: Ranges of quotients for each shuffle partition, and parts in which a language's phrases are ranked first.
 RANGES, RANKED_IN = 4, 64
 
@@ -120,14 +120,19 @@ class Chunk:
         for n, runs in self.waiting.items():
             ids = list(np.concatenate(runs, axis=1)) if runs else [np.zeros(0, np.int32)] * n
             left, right = quotient.permute(*quotient.packed(ids, LOCAL_BITS), LOCAL_BITS * n)
-            new = Counts.of(left, right, np.ones(len(left), np.int64), *quotient.halves(LOCAL_BITS * n))
+            new = Counts.of_each(left, right, *quotient.halves(LOCAL_BITS * n))
             old = self.counts[n]
             self.counts[n] = new if old is None else Counts.merged([old, new])
             self.waiting[n] = []
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.count()
-        size = len(self.names)
+        size, words = len(self.names), {}
+        for lang, table in self.tables.items():
+            words[lang] = int(self.f[np.fromiter(table.values(), np.int64, len(table))].sum() - self.f[0])
+        yield pa.RecordBatch.from_arrays([
+            pa.array([self.number] * len(words)), pa.array([0] * len(words), pa.int32()), pa.nulls(len(words), pa.int32()), pa.array(list(words), pa.string()),
+            pa.nulls(len(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.nulls(len(words), pa.binary())], schema=_SCHEMA)
         yield pa.RecordBatch.from_arrays([
             pa.array(np.full(size, self.number)), pa.array(np.ones(size, np.int32)), pa.array(np.arange(1, size + 1, dtype=np.int32)),
             pa.array(self.langs, pa.string()), pa.array(self.names, pa.binary()).cast(pa.string()), pa.array(self.f[1:]),
@@ -140,7 +145,8 @@ class Chunk:
 
 
 def count_chunks(docs: DataFrame, longest: int) -> DataFrame:
-    """Of docs (lang, text): per chunk, the words of its dictionary (n = 1: lid, lang, word, f) and its filters (n > 1: grams, f keys)."""
+    """Of docs (lang, text), per chunk: words of each language (n = 0: lang, f), its dictionary (n = 1: lid, lang, word, f), and
+    its filters (n > 1: grams with f keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -165,8 +171,8 @@ def count_chunks(docs: DataFrame, longest: int) -> DataFrame:
     return docs.mapInArrow(run, _COUNTED)
 
 
-def numbered(words: DataFrame) -> tuple[DataFrame, int]:
-    """The rows with `id`, whole numbers from 0 without gaps, and how many there are. One number per task of the writing reaches the driver."""
+def numbered(words: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The rows with a column of whole numbers from 0 without gaps, and how many there are. One number per task of the writing reaches the driver."""
     place = F.monotonically_increasing_id()
     kept = settle(words.select("*", F.spark_partition_id().alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "words")
     sizes, start, offsets = sorted(kept.groupBy("_part").count().collect()), 0, []
@@ -174,7 +180,7 @@ def numbered(words: DataFrame) -> tuple[DataFrame, int]:
         offsets.append((part, start))
         start += size
     table = kept.sparkSession.createDataFrame(offsets, "_part int, _start long")
-    return kept.join(F.broadcast(table), "_part").select(*words.columns, (F.col("_start") + F.col("_at")).alias("id")), start
+    return kept.join(F.broadcast(table), "_part").select(*words.columns, (F.col("_start") + F.col("_at")).alias(name)), start
 
 
 def repacked(grams: DataFrame, ids: DataFrame, bits: int, ranges: int) -> DataFrame:
@@ -241,21 +247,40 @@ def score_of(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", F.lit(1_000_000).cast("decimal(38,0)") * whole * whole, left.cast("decimal(38,0)") * right.cast("decimal(38,0)"))
 
 
-def best_cuts(phrases: DataFrame, counts: DataFrame) -> DataFrame:
-    """phrases (ids, f) with l, r and score of the cut that counts; counts (ids, f) has every part."""
-    cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)))
-    cuts = cuts.withColumns({"head": F.slice("ids", F.lit(1), F.col("k")), "tail": F.slice("ids", F.col("k") + 1, F.size("ids"))})
-    cuts = cuts.join(counts.select(F.col("ids").alias("head"), F.col("f").alias("l")), "head")
-    cuts = cuts.join(counts.select(F.col("ids").alias("tail"), F.col("f").alias("r")), "tail")
-    cut = F.struct(score_of(F.col("f"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r")
-    return cuts.groupBy("ids", "f").agg(F.min(cut).alias("cut")).select("ids", "f", "cut.l", "cut.r", "cut.score")
+def key_of(ids: Column, bits: int, words: int) -> Column:
+    """One value that names a phrase of up to `words` words: a whole number if they fit, else text."""
+    if (bits + 1) * words <= 63:  # no number is 0, so phrases of different length differ
+        return F.aggregate(ids, F.lit(0).cast("long"), lambda key, x: F.shiftleft(key, bits + 1).bitwiseOR(x + 1))
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+
+
+def best_cuts(phrases: DataFrame, words: DataFrame, bits: int, longest: int) -> DataFrame:
+    """phrases (phrase, ids, f), numbered by `phrase`, words (id, tongue, f): (phrase, f, tongue, l, r, score) of the cut that counts."""
 
+    def key(ids: Column) -> Column:
+        return key_of(ids, bits, longest - 1)
 
-def without_contained(phrases: DataFrame, candidates: DataFrame, share: int) -> DataFrame:
-    """The phrases that no longer candidate holds at least `share` per cent of the time."""
+    counts = words.select(key(F.array("id")).alias("key"), F.col("f").alias("part"), "tongue").unionByName(
+        phrases.where(F.size("ids") < longest).select(key(F.col("ids")).alias("key"), F.col("f").alias("part"), F.lit(None).cast("long").alias("tongue")))
+    cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ids") - 1))).select(
+        "phrase", "f", "k", key(F.slice("ids", F.lit(1), F.col("k"))).alias("head"), key(F.slice("ids", F.col("k") + 1, F.size("ids"))).alias("tail"))
+    cuts = cuts.join(counts.select(F.col("key").alias("head"), F.col("part").alias("l"), "tongue").hint("shuffle_hash"), "head")
+    cuts = cuts.join(counts.select(F.col("key").alias("tail"), F.col("part").alias("r")).hint("shuffle_hash"), "tail")
+    at = [F.col("k") == k for k in range(1, longest)]
+    whole = cuts.groupBy("phrase", "f").agg(
+        F.max("tongue").alias("tongue"), *[F.max(F.when(on, F.col(c))).alias(f"{c}{k}") for k, on in enumerate(at, 1) for c in "lr"])
+    each = [F.struct(score_of(F.col("f"), F.col(f"l{k}"), F.col(f"r{k}")).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, longest)]
+    there = F.filter(F.array(*each), lambda x: x["score"].isNotNull())
+    return whole.withColumn("cut", F.array_min(there)).select("phrase", "f", "tongue", "cut.l", "cut.r", "cut.score")
+
+
+def contained(phrases: DataFrame, share: int, bits: int, longest: int) -> DataFrame:
+    """The numbers of phrases that a longer one holds at least `share` per cent of the time."""
     inner = F.expr("flatten(transform(sequence(2, size(ids) - 1), m -> transform(sequence(1, size(ids) - m + 1), s -> slice(ids, s, m))))")
-    longer = candidates.where(F.size("ids") > 2).select("f", F.explode(inner).alias("ids")).groupBy("ids").agg(F.max("f").alias("longer"))
-    return phrases.join(longer, "ids", "left").where(F.expr(f"longer is null or 100 * longer < {int(share)} * f")).drop("longer")
+    longer = phrases.where(F.size("ids") > 2).select("f", F.explode(inner).alias("ids"))
+    longer = longer.select("f", key_of(F.col("ids"), bits, longest - 1).alias("key")).groupBy("key").agg(F.max("f").alias("longer"))
+    short = phrases.where(F.size("ids") < longest).select("phrase", "f", key_of(F.col("ids"), bits, longest - 1).alias("key"))
+    return short.join(longer, "key").where(F.expr(f"100 * longer >= {int(share)} * f")).select("phrase")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SHARE, top: int = TOP) -> DataFrame:
@@ -267,24 +292,31 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sh
     counted = settle(count_chunks(docs, longest), "chunks")
     known = counted.where("n = 1").select("chunk", "lid", "lang", "word", "f")
     often = known.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    words, size = numbered(often)
+    words, size = numbered(often, "id")
+    tongues = numbered(words.select("lang").distinct(), "tongue")[0]
     bits = max(1, (size - 1).bit_length())
     if bits * longest > 126:
         raise ValueError(f"{size} frequent words are too many for phrases of {longest} words")
     ranges = max(1, RANGES * shuffle_parts(docs) - 1).bit_length()
-    name = F.shiftleft(F.col("id"), LOCAL_BITS) + F.col("lid")
-    ids = known.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(name).alias("ids"))
+    name = F.shiftleft(F.col("id"), LOCAL_BITS).bitwiseOR(F.col("lid").cast("long"))
+    ids = known.select("chunk", "lid", "lang", "word").join(words.select("lang", "word", "id").hint("shuffle_hash"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(name).alias("ids"))
     grams = counted.where("n > 1").select("chunk", "n", "grams")
-    phrases = settle(merged_phrases(repacked(grams, ids, bits, ranges), bits, ranges, least), "phrases")
-
-    counts = words.select(F.array("id").alias("ids"), "f").unionByName(phrases)
-    scored = without_contained(best_cuts(phrases, counts), phrases, share)
-    spelled = scored.select("*", F.posexplode("ids").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
-    spelled = spelled.groupBy("ids", "f", "l", "r", "score").agg(
-        F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    merged = merged_phrases(repacked(grams, ids, bits, ranges), bits, ranges, least)
+    phrases = settle(merged.withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+
+    of_words = words.join(tongues, "lang").select("id", "tongue", "f")
+    scored = best_cuts(phrases, of_words, bits, longest).join(contained(phrases, share, bits, longest), "phrase", "left_anti")
+    # The best of each language with all ties, part by part, so that few phrases have to be spelled.
+    ahead = W.partitionBy("tongue", "part").orderBy(F.desc("score"), F.desc("f"))
+    scored = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_IN)))
+    scored = scored.withColumn("place", F.rank().over(ahead)).where(F.col("place") <= top).drop("part", "place")
+    spelled = scored.join(phrases.select("phrase", "ids"), "phrase").select("*", F.posexplode("ids").alias("at", "id"))
+    spelled = spelled.join(words.select("id", "lang", "word"), "id").groupBy("phrase", "f", "l", "r", "score").agg(
+        F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"))
+    spelled = spelled.withColumn("phrase", F.array_join(F.transform("words", lambda x: x["word"]), " "))
     order = [F.desc("score"), F.desc("f"), F.asc("phrase")]
     spelled = spelled.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_IN)))
     first = spelled.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     best = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    total = known.groupBy("lang").agg(F.sum("f").alias("n"))
+    total = counted.where("n = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     return best.join(total, "lang").select("lang", "rank", "phrase", F.col("f").alias("a"), "l", "r", "n", "score")

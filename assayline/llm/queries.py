@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.llm import (
-    cap_filters, collocations, language, line_dedup, near_dup, pieces, secrets, sharding, token_store, url_filter, winnowing)
+    cap_filters, collocations, language, line_dedup, near_dup, pieces, quality, secrets, sharding, simplex, token_store, url_filter, winnowing)
 from assayline.session import scratch_path
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -212,13 +212,87 @@ select kept.lang, row_number() over (partition by kept.lang order by score desc,
 from kept join n on n.lang = kept.lang qualify rank <= 2000"""
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+CLOSERS = quality.CLOSERS.replace("'", "''")
+
+
+OP12_SQL = rf"""
+with d as (select row_number() over () as id, doc_id, coalesce(text, '') as text from documents),
+w as (select id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d),
+o as (select id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from w),
+t as (select id, i, x || ' ' || lead(x) over b || ' ' || lead(x, 2) over b as g from o window b as (partition by id order by i)),
+m as (select id, i from t where g is not null qualify count(*) over (partition by id, g) >= 2),
+r as (select id, count(distinct p) as n_repeat_words from (select id, unnest([i, i + 1, i + 2]) as p from m) group by id),
+s as (select id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from d),
+l as (
+  select id, line, row_number() over (partition by id, line order by i) as copy,
+         len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n,
+         len(regexp_extract_all(line, '[#*$%&|<>]')) as symbols, len(regexp_extract_all(line, '[{quality.SEPARATORS}]')) as seps,
+         len(string_split(line, '!!')) + len(string_split(line, '??')) - 2 as shouts,
+         rtrim(rtrim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '{CLOSERS}') as tail
+  from s),
+f as (
+  select id, sum(n) as lost from l where n > 0 and (
+    seps >= 2 and n <= 8 * seps or 2 * symbols > n or n >= 5 and regexp_matches(line, '\p{{Lu}}') and not regexp_matches(line, '\p{{Ll}}') or shouts >= 3
+    or n <= 25 and regexp_matches(line, '(?i){"|".join(quality.BOILERPLATE)}') or tail = '' or not contains('{quality.MARKS}', right(tail, 1)))
+  group by id),
+c as (select id, count(*) as n_dup_lines from l where n > 0 and copy > 1 group by id),
+v as (
+  select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(lost, 0) as lost
+  from d join w using (id) left join r using (id) left join f using (id) left join c using (id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * lost <= 50 * n_words as kept
+from v"""
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds(rounds: int) -> str:
+    """Rounds of assignment and floored means; n(i) is the assignment before round i."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""n{i} as materialized (
+  select id, k, d from (select x.id, c.k, sum((x.x - c.x) * (x.x - c.x)) as d from x join c{i} c using (p) group by x.id, c.k)
+  qualify row_number() over (partition by id order by d, k) = 1)""")
+        if i < rounds:
+            out.append(f"""c{i + 1} as materialized (
+  select c.k, c.p, coalesce(m.x, c.x) as x from c{i} c left join (
+    select k, p, (s - ((s % n + n) % n)) // n as x from (select k, p, sum(x.x) as s, count(*) as n from n{i} join x using (id) group by k, p)) m
+  using (k, p))""")
+    return ",\n".join(out)
+
+
+OP13_SQL = f"""
+with v as materialized (
+  select row_number() over () as id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+x as materialized (select id, unnest(e) as x, unnest(range(1, 65)) as p from v),
+c0 as materialized (
+  select k, unnest(e) as x, unnest(range(1, 65)) as p from (
+    select row_number() over (order by sha256('3:' || vec_id::varchar) nulls last, e) - 1 as k, e from v qualify k < 8)),
+{_rounds(10)},
+h as (select k, sha256(string_agg(x::varchar, ',' order by p)) as centroid_sha256 from c10 group by k)
+select v.vec_id, k::int as cluster, d::bigint as distance, (sum(d) over (partition by k))::bigint as cluster_inertia,
+       (sum(d) over ())::bigint as inertia, centroid_sha256
+from n10 join v using (id) join h using (k)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_line_dedup, op2_embedding_dedup, op3_token_ids, op4_sentencepiece, op5_sharding, op6_url_filters,
               op7_language_id, op8_decontamination, op9_minhash_dedup, op10_secrets,
-              op11_collocations)
+              op11_collocations, op12_quality_rules, op13_centroid_clustering)
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op6_url_filters": OP6_SQL, "op8_decontamination": OP8_SQL,
-    "op9_minhash_dedup": OP9_SQL, "op11_collocations": OP11_SQL,
+    "op9_minhash_dedup": OP9_SQL, "op11_collocations": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_centroid_clustering": OP13_SQL,
 }

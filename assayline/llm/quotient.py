@@ -122,6 +122,16 @@ class Counts:
             left, right = left[new], right[new]
         return cls(left, right, np.add.reduceat(count[order].astype(np.int64), new), a, b)
 
+    @classmethod
+    def of_each(cls, left: np.ndarray, right: np.ndarray, a: int, b: int) -> Counts:
+        """From permuted keys in any order, each counted once for every time it is there."""
+        if a + b > 64 or not len(left):
+            return cls.of(left, right, np.ones(len(left), np.int64), a, b)
+        one = np.sort(left << U(b) | right)
+        new = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+        count, one = np.diff(new, append=len(one)), one[new]
+        return cls(one >> U(b), one & masked(b), count, a, b)
+
     @classmethod
     def merged(cls, parts: list[Counts]) -> Counts:
         left, right, count = (np.concatenate([getattr(p, x) for p in parts]) for x in ("left", "right", "count"))
