@@ -198,7 +198,8 @@ def acceptance_metrics(totals: DataFrame, excess: DataFrame, gaps: DataFrame,
                        quality: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """(metric, value) for the gates, out of finished audits; each input is a short table.
 
-    `near` is `duplicates.group_excess` of groups of near copies, found by whatever means; without it its gate is pending.
+    `near` is `near.near_duplicate_excess` of the corpus, or `duplicates.group_excess` of groups found otherwise; without it
+    its gate is pending.
     """
     worst = excess.agg(F.max(rate(F.col("excess"), F.col("rows"))).alias("exact_duplicate_rate"))
     parts = [

@@ -49,4 +49,16 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` once to the shared scratch folder and read it back: a stable input for a second pass."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes settled tables that nothing reads any more; other tables, and None, are left as they are."""
+    for table in tables:
+        path = getattr(table, "_settled_at", None)
+        if path:
+            context = table.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

@@ -12,7 +12,7 @@ from assayline.functions import patterns, predicates, text
 from assayline.functions.dates import iso_date
 from assayline.functions.html import html_to_text
 from assayline.functions.similarity import jaro_winkler, sequence_ratio
-from assayline.operators import coverage, delta, duplicates, landing, lineage, matching, profile, sampling, screening
+from assayline.operators import coverage, delta, duplicates, landing, lineage, matching, near, profile, sampling, screening
 from assayline.operators import verification
 from assayline.plans import audits
 from assayline.session import scratch_path, settle
@@ -1145,6 +1145,46 @@ def group_excess(spark, sf_dir):
     return duplicates.group_excess(table(spark, sf_dir, "documents").select(F.md5("text").alias("component_id")))
 
 
+_NEAR = (
+    "w AS (SELECT row_number() OVER () AS uid, id, list_filter(string_split(coalesce({norm}, ''), ' '), lambda x: x <> '') AS w FROM corpus), "
+    "s AS (SELECT uid, id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE "
+    "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM w), "
+    "x AS (SELECT uid, len(s) AS n, unnest(s) AS g FROM s), "
+    "p AS (SELECT a.uid AS x, b.uid AS y FROM x a JOIN x b ON a.g = b.g AND a.uid <> b.uid GROUP BY a.uid, b.uid, a.n, b.n "
+    "HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))), "
+    "r AS (SELECT uid AS x, uid AS y FROM s UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x), "
+    "c AS (SELECT x, min(y) AS root FROM r GROUP BY x), "
+    "near AS (SELECT s.id, len(s.s) AS shingles, c.root, min(s.id) OVER (PARTITION BY c.root) AS least FROM s JOIN c ON c.x = s.uid) ")
+
+
+def _near(body: str) -> str:
+    return "WITH RECURSIVE corpus AS (" + views.CTE["corpus"] + "), " + _NEAR.format(norm=_norm("text")) + body
+
+
+@register(_near("SELECT id, CAST(shingles AS INTEGER) AS shingles, CASE WHEN shingles > 0 THEN least END AS \"group\" FROM near"))
+def near_duplicates(spark, sf_dir):
+    """Every document with its group of near duplicates."""
+    return near.near_duplicates(corpus(spark, sf_dir)).select("id", "shingles", "group")
+
+
+@register(_near("SELECT count(*) AS rows, count(DISTINCT root) AS groups, count(*) - count(DISTINCT root) AS excess FROM near"))
+def near_duplicate_excess(spark, sf_dir):
+    return near.near_duplicate_excess(corpus(spark, sf_dir))
+
+
+@register(_near(
+    "SELECT 'near_duplicate_rate' AS metric, CAST(e AS DOUBLE) AS observed, CASE WHEN e < t.threshold THEN 'PASS' ELSE 'FAIL' END AS "
+    "state FROM (SELECT (count(*) - count(DISTINCT root)) / count(*) AS e FROM near) JOIN (VALUES "
+    + ", ".join(f"('{m}', CAST({t} AS DOUBLE))" for m, _, t in TARGETS) + ") t(metric, threshold) ON t.metric = 'near_duplicate_rate'"))
+def near_duplicate_gate(spark, sf_dir):
+    """The gate of near duplicates, with the value found in the documents themselves."""
+    df = corpus(spark, sf_dir)
+    totals = profile.cube_slice(profile.audit_cube(df), False, False)
+    excess = duplicates.column_excess(df, ("id", "document_id", "raw_sha256"))
+    metrics = audits.acceptance_metrics(totals, excess, coverage.internal_gaps(df), near=near.near_duplicate_excess(df))
+    return audits.acceptance(spark, metrics)["gates"].where("metric = 'near_duplicate_rate'").select("metric", "observed", "state")
+
+
 @register("SELECT doc_id, 'documents.parquet' AS file, 'r1' AS revision, 64 AS hash_chars, CAST(doc_id AS STRING) AS document, "
           "concat(lang, '/', source) AS key, 'read,traced' AS steps FROM documents")
 def with_lineage(spark, sf_dir):
