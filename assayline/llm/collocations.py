@@ -1,14 +1,16 @@
 """Phrase collocations per language, counted losslessly with counting quotient filters (`quotient`).
 
 Text is lower-cased in A-Z, cut into pieces at `. , ; : ! ?` and line ends, and pieces into words at blanks and tabs; a phrase is
-a run of words of one piece. Each task numbers the words of a chunk of texts, packs the numbers of every phrase into one
-whole number, and counts these in filters of its own. Words that occur often enough get numbers for the whole corpus (a
-word of two languages gets two, so a number also names its language); they travel back to the chunks by a join on the
-chunk, which is as large as the chunk's own vocabulary. A chunk's filters are then packed anew with these numbers - phrases
-with a rarer word can never be candidates and end here - and cut into ranges of quotients. Ranges of all chunks are merged,
-one by one, and what is frequent is unpacked. Texts are read once and never shuffled; a very frequent phrase is one counter
-per chunk; no dictionary or table is broadcast or collected. Memory of a task is bounded by a chunk, or by a range of the
-quotients, of which there are four times as many as shuffle partitions.
+a run of words of one piece. A first pass counts words. Only words with `least` occurrences can stand in a candidate; they
+get numbers for the whole corpus (a word of two languages gets two, so a number also names its language), and a bitmap
+of at most `MOST_BITS` bits, which passes all of them and few others, goes to the tasks of the second pass. There each task
+numbers the words that pass it within a chunk of texts, packs the numbers of every phrase into one whole number, and counts
+these in filters of its own. The corpus's numbers travel to the chunks by a join on the chunk, which is as large as the
+chunk's own vocabulary. A chunk's filters are then packed anew with these numbers - what the bitmap let through by
+mistake ends here - and cut into ranges of quotients. Ranges of all chunks are merged, one by one, and what is frequent is
+unpacked. Texts are never shuffled; a very frequent phrase is one counter per chunk; no dictionary is broadcast or
+collected. Memory of a task is bounded by a chunk, or by a range of the quotients, of which there are four times as many as
+shuffle partitions.
 
 Candidates are phrases of 2 to `longest` words with at least `least` occurrences a. A cut after the first k words has
 l = occurrences of the first part, r = of the rest, and score floor(1000000 * a * a / (l * r)) (in decimals of 38 digits); the
@@ -22,10 +24,12 @@ blocks. Columns other than the two named are not read, whatever their names.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,15 +38,17 @@ from pyspark.sql import functions as F
 from assayline.llm import quotient
 from assayline.llm.common import as_bytes, shelved, shuffle_parts, slices
 from assayline.llm.quotient import Counts, U
-from assayline.session import settle
+from assayline.session import discard, settle
 
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 NO_LANGUAGE = "und"
 #: Bits of a word's number in its chunk, and what closes a chunk: words in its dictionary, or words read.
 LOCAL_BITS = 21
-CHUNK_VOCABULARY, CHUNK_WORDS = 1 << 19, 1 << 20
-#: Bytes of text read at once, and keys that wait before they are counted.
-BLOCK, WAITING = 1 << 19, 1 << 19
+CHUNK_VOCABULARY, CHUNK_WORDS = 1 << 18, 1 << 20
+#: Bytes of text read at once, keys that wait before they are counted, and the first bits by which a chunk's filter is cut.
+BLOCK, WAITING, CUT = 1 << 19, 1 << 18, 3
+#: Size of the bitmap of frequent words.
+BITS_PER_WORD, MOST_BITS = 16, 1 << 26
 #: Ranges of quotients for each shuffle partition, and parts in which a language's phrases are ranked first.
 RANGES, RANKED_IN = 4, 64
 
@@ -50,8 +56,8 @@ RANGES, RANKED_IN = 4, 64
 END = b"\xff"
 _MARKS = bytes.maketrans(b"\t.,;:!?\n\x0b\x0c\r", b" " + END * 10)
 _GAP = b" \t.,;:!?\n\x0b\x0c\r"
-_COUNTED = "chunk long, n int, lid int, lang string, word string, f long, grams binary"
-_SCHEMA = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("lid", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("grams", pa.binary())])
+_COUNTED = "chunk long, n int, part int, lid int, lang string, word string, grams binary"
+_SCHEMA = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("part", pa.int32()), ("lid", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("grams", pa.binary())])
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -72,47 +78,108 @@ def blocks(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
+def texts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], bool]]:
+    """(language, words, whether the block goes on where the last one ended) of the rows of (lang, text)."""
+    for batch in slices(batches, limit=BLOCK):
+        by_lang: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            if text:
+                by_lang.setdefault(lang, []).append(text)
+        for lang, texts in by_lang.items():
+            for i, part in enumerate(blocks(texts[0] if len(texts) == 1 else END.join(texts))):
+                yield lang, words_of(part), i > 0
+
+
+def word_counts(docs: DataFrame, least: int) -> DataFrame:
+    """docs (lang, text): (lang, word, f) of the words with f >= least, and of all words together, with a null word."""
+
+    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, found in counts.items():
+            total = sum(found.values())
+            words, f = [None, *found], [total, *found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], names=["lang", "word", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+        for lang, words, _ in texts_by_language(batches):
+            of = counts.setdefault(lang, Counter())
+            of.update(words)
+            del of[END]
+            if sum(map(len, counts.values())) > CHUNK_VOCABULARY:
+                yield from rows(counts)
+                counts = {}
+        yield from rows(counts)
+
+    counted = docs.mapInArrow(run, "lang string, word string, f long")
+    return counted.groupBy("lang", "word").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("word").isNull())
+
+
+def bitmap(words: DataFrame, size: int) -> np.ndarray:
+    """The bitmap of words (lang, word), as 64-bit numbers; its length follows their number `size` up to MOST_BITS."""
+    length = min(MOST_BITS, max(64, 1 << (size * BITS_PER_WORD - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags = [tag_of(lang) for lang in batch.column("lang").to_pylist()]
+            at = np.array([place_of(tag, w) & (length - 1) for tag, w in zip(tags, as_bytes(batch.column("word")), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], names=["at", "bits"])
+
+    out = np.zeros(length >> 6, np.int64)
+    for row in words.select("lang", "word").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
+        out[row.at] = row.bits
+    return out
+
+
+def tag_of(lang: str) -> bytes:
+    return lang.encode() + END
+
+
+def place_of(tag: bytes, word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(tag + word)
+
+
 class _Words(dict):
-    """Numbers of one language's words in a chunk, from 1; 0 is the end of a piece."""
+    """Numbers of one language's words in a chunk, from 1; 0 is the end of a piece, and a word outside the bitmap."""
 
     def __init__(self, chunk: Chunk, lang: str) -> None:
-        self.chunk, self.lang = chunk, lang
+        self.chunk, self.lang, self.tag = chunk, lang, tag_of(lang)
         self[END] = 0
 
     def __missing__(self, word: bytes) -> int:
-        self.chunk.names.append(word)
-        self.chunk.langs.append(self.lang)
-        i = self[word] = len(self.chunk.names)
+        often, i = self.chunk.often, 0
+        at = place_of(self.tag, word) & ((len(often) << 6) - 1)
+        if int(often[at >> 6]) >> (at & 63) & 1:
+            self.chunk.names.append(word)
+            self.chunk.langs.append(self.lang)
+            i = len(self.chunk.names)
+        self[word] = i
         return i
 
 
 class Chunk:
-    def __init__(self, number: int, longest: int) -> None:
-        self.number, self.longest, self.read = number, longest, 0
+    def __init__(self, number: int, longest: int, often: np.ndarray) -> None:
+        self.number, self.longest, self.often, self.read = number, longest, often, 0
         self.names: list[bytes] = []
         self.langs: list[str] = []
         self.tables: dict[str, _Words] = {}
-        self.f = np.zeros(1, np.int64)
         self.waiting: dict[int, list[np.ndarray]] = {n: [] for n in range(2, longest + 1)}
         self.counts: dict[int, Counts | None] = dict.fromkeys(self.waiting)
 
     def full(self) -> bool:
-        return self.read >= CHUNK_WORDS or len(self.names) >= CHUNK_VOCABULARY
+        return self.read >= CHUNK_WORDS or sum(map(len, self.tables.values())) >= CHUNK_VOCABULARY
 
     def add(self, lang: str, words: list[bytes], before: list[bytes]) -> None:
-        """Counts `words` and the phrases that end in them; `before` are the words in front, counted earlier."""
+        """Counts the phrases that end in `words`; `before` are the words in front, counted earlier."""
         table = self.tables.get(lang)
         if table is None:
             table = self.tables[lang] = _Words(self, lang)
-        ids = np.fromiter(map(table.__getitem__, before + words), np.int64, len(before) + len(words))
-        f = np.bincount(ids[len(before) :], minlength=len(self.names) + 1)
-        f[: len(self.f)] += self.f
-        self.f, self.read = f, self.read + len(words)
+        ids = np.fromiter(map(table.__getitem__, before + words), np.int32, len(before) + len(words))
+        self.read += len(words)
         for n in self.waiting:
             first = max(len(before) - n + 1, 0)
-            runs = [ids[first + i : len(ids) - n + 1 + i] for i in range(n)]
-            whole = np.logical_and.reduce([r > 0 for r in runs]) if len(runs[0]) else np.zeros(0, bool)
-            self.waiting[n].append(np.stack([r[whole] for r in runs]).astype(np.int32))
+            runs = [ids[first + i : max(len(ids) - n + 1 + i, 0)] for i in range(n)]
+            whole = np.logical_and.reduce([r[: len(runs[-1])] > 0 for r in runs])
+            self.waiting[n].append(np.stack([r[: len(runs[-1])][whole] for r in runs]))
         if sum(x.shape[1] for x in self.waiting[2]) >= WAITING:
             self.count()
 
@@ -126,47 +193,33 @@ class Chunk:
             self.waiting[n] = []
 
     def rows(self) -> Iterator[pa.RecordBatch]:
+        """Its dictionary (n = 1: lid, lang, word), and its filters in parts (n > 1: part, grams)."""
         self.count()
-        size, words = len(self.names), {}
-        for lang, table in self.tables.items():
-            words[lang] = int(self.f[np.fromiter(table.values(), np.int64, len(table))].sum() - self.f[0])
-        yield pa.RecordBatch.from_arrays([
-            pa.array([self.number] * len(words)), pa.array([0] * len(words), pa.int32()), pa.nulls(len(words), pa.int32()), pa.array(list(words), pa.string()),
-            pa.nulls(len(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.nulls(len(words), pa.binary())], schema=_SCHEMA)
+        size = len(self.names)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(size, self.number)), pa.array(np.ones(size, np.int32)), pa.array(np.arange(1, size + 1, dtype=np.int32)),
-            pa.array(self.langs, pa.string()), pa.array(self.names, pa.binary()).cast(pa.string()), pa.array(self.f[1:]),
-            pa.nulls(size, pa.binary())], schema=_SCHEMA)
+            pa.array(np.full(size, self.number)), pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.int32()), pa.array(np.arange(1, size + 1, dtype=np.int32)),
+            pa.array(self.langs, pa.string()), pa.array(self.names, pa.binary()).cast(pa.string()), pa.nulls(size, pa.binary())], schema=_SCHEMA)
         for n, counts in self.counts.items():
-            if counts is not None and len(counts):
+            for part, few in counts.ranges(CUT) if counts is not None and len(counts) else ():
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([self.number]), pa.array([n], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()),
-                    pa.array([len(counts)], pa.int64()), pa.array([counts.to_bytes()], pa.binary())], schema=_SCHEMA)
+                    pa.array([self.number]), pa.array([n], pa.int32()), pa.array([part], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()),
+                    pa.array([few.to_bytes()], pa.binary())], schema=_SCHEMA)
 
 
-def count_chunks(docs: DataFrame, longest: int) -> DataFrame:
-    """Of docs (lang, text), per chunk: words of each language (n = 0: lang, f), its dictionary (n = 1: lid, lang, word, f), and
-    its filters (n > 1: grams with f keys)."""
+def count_chunks(docs: DataFrame, longest: int, often: np.ndarray) -> DataFrame:
+    """docs (lang, text): the rows of all chunks."""
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        chunk = Chunk(number, longest)
-        for batch in slices(batches, limit=BLOCK):
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                if text:
-                    by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                before: list[bytes] = []
-                for part in blocks(texts[0] if len(texts) == 1 else END.join(texts)):
-                    words = words_of(part)
-                    chunk.add(lang, words, before)
-                    before = (before + words)[1 - longest :]
-                    if chunk.full():
-                        yield from chunk.rows()
-                        chunk = Chunk(chunk.number + 1, longest)
-        if chunk.names:
-            yield from chunk.rows()
+        chunk, before = Chunk(TaskContext.get().partitionId() << 32, longest, sent.value), []
+        for lang, words, goes_on in texts_by_language(batches):
+            before = before if goes_on else []
+            chunk.add(lang, words, before)
+            before = (before + words)[1 - longest :]
+            if chunk.full():
+                yield from chunk.rows()
+                chunk = Chunk(chunk.number + 1, longest, sent.value)
+        yield from chunk.rows()
 
     return docs.mapInArrow(run, _COUNTED)
 
@@ -183,29 +236,33 @@ def numbered(words: DataFrame, name: str) -> tuple[DataFrame, int]:
     return kept.join(F.broadcast(table), "_part").select(*words.columns, (F.col("_start") + F.col("_at")).alias(name)), start
 
 
+def renumbered(local: Counts, part: int, known: np.ndarray, n: int, bits: int) -> Counts:
+    """One part of a chunk's filter with the corpus's numbers; `known` has both numbers of the chunk's frequent words."""
+    lid = known & ((1 << LOCAL_BITS) - 1)
+    names = np.full(int(lid.max()) + 1, -1, np.int64)
+    names[lid] = known >> LOCAL_BITS
+    left = local.left | U(part) << U(quotient.halves(LOCAL_BITS * n)[0] - CUT)
+    old = quotient.unpacked(*quotient.restore(left, local.right, LOCAL_BITS * n), LOCAL_BITS, n)
+    stays = np.logical_and.reduce([x < len(names) for x in old])
+    new = [names[np.where(stays, x, 0)] for x in old]
+    stays &= np.logical_and.reduce([x >= 0 for x in new])
+    left, right = quotient.permute(*quotient.packed([x[stays] for x in new], bits), bits * n)
+    return Counts.of(left, right, local.count[stays], *quotient.halves(bits * n))
+
+
 def repacked(grams: DataFrame, ids: DataFrame, bits: int, ranges: int) -> DataFrame:
     """The chunks' filters with the corpus's numbers, cut into 2**ranges ranges: (n, part, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                n, known = batch.column("n")[i].as_py(), batch.column("ids").slice(i, 1).flatten().to_numpy()
-                lid = known & ((1 << LOCAL_BITS) - 1)
-                names = np.full(int(lid.max()) + 1, -1, np.int64)
-                names[lid] = known >> LOCAL_BITS
-                local = Counts.from_bytes(batch.column("grams")[i].as_py())
-                old = quotient.unpacked(*quotient.restore(local.left, local.right, LOCAL_BITS * n), LOCAL_BITS, n)
-                stays = np.logical_and.reduce([x < len(names) for x in old])
-                new = [names[np.where(stays, x, 0)] for x in old]
-                stays &= np.logical_and.reduce([x >= 0 for x in new])
-                halves = quotient.halves(bits * n)
-                left, right = quotient.permute(*quotient.packed([x[stays] for x in new], bits), bits * n)
-                parts = Counts.of(left, right, local.count[stays], *halves).ranges(min(ranges, halves[0])) if stays.any() else []
+            for n, part, raw, ids in zip(batch.column("n").to_pylist(), batch.column("part").to_pylist(), batch.column("grams"), batch.column("ids"), strict=True):
+                counts = renumbered(Counts.from_bytes(raw.as_buffer()), part, ids.values.to_numpy(), n, bits)
+                parts = counts.ranges(min(ranges, counts.a)) if len(counts) else []
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(parts), n, np.int32)), pa.array([k for k, _ in parts], pa.int64()),
                     pa.array([part.to_bytes() for _, part in parts], pa.binary())], names=["n", "part", "grams"])
 
-    return grams.join(ids, "chunk").select("n", "grams", "ids").mapInArrow(run, "n int, part long, grams binary")
+    return grams.join(ids, "chunk").select("n", "part", "grams", "ids").mapInArrow(run, "n int, part long, grams binary")
 
 
 def merged_phrases(parts: DataFrame, bits: int, ranges: int, least: int) -> DataFrame:
@@ -289,20 +346,21 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sh
     if not 2 <= longest <= 126 // LOCAL_BITS:
         raise ValueError(f"longest must be from 2 to {126 // LOCAL_BITS}")
     docs = shelved(docs, ("lang", "text"))[0].select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
-    counted = settle(count_chunks(docs, longest), "chunks")
-    known = counted.where("n = 1").select("chunk", "lid", "lang", "word", "f")
-    often = known.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    words, size = numbered(often, "id")
+    counted = settle(word_counts(docs, least), "counts")
+    words, size = numbered(counted.where("word IS NOT NULL"), "id")
     tongues = numbered(words.select("lang").distinct(), "tongue")[0]
     bits = max(1, (size - 1).bit_length())
     if bits * longest > 126:
         raise ValueError(f"{size} frequent words are too many for phrases of {longest} words")
     ranges = max(1, RANGES * shuffle_parts(docs) - 1).bit_length()
+    chunks = settle(count_chunks(docs, longest, bitmap(words, size)), "chunks")
     name = F.shiftleft(F.col("id"), LOCAL_BITS).bitwiseOR(F.col("lid").cast("long"))
-    ids = known.select("chunk", "lid", "lang", "word").join(words.select("lang", "word", "id").hint("shuffle_hash"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(name).alias("ids"))
-    grams = counted.where("n > 1").select("chunk", "n", "grams")
+    local = chunks.where("n = 1").select("chunk", "lid", "lang", "word")
+    ids = local.join(words.select("lang", "word", "id").hint("shuffle_hash"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(name).alias("ids"))
+    grams = chunks.where("n > 1").select("chunk", "n", "part", "grams")
     merged = merged_phrases(repacked(grams, ids, bits, ranges), bits, ranges, least)
     phrases = settle(merged.withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+    discard(chunks)
 
     of_words = words.join(tongues, "lang").select("id", "tongue", "f")
     scored = best_cuts(phrases, of_words, bits, longest).join(contained(phrases, share, bits, longest), "phrase", "left_anti")
@@ -318,5 +376,5 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sh
     spelled = spelled.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_IN)))
     first = spelled.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     best = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    total = counted.where("n = 0").groupBy("lang").agg(F.sum("f").alias("n"))
+    total = counted.where("word IS NULL").select("lang", F.col("f").alias("n"))
     return best.join(total, "lang").select("lang", "rank", "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
