@@ -17,6 +17,7 @@ from assayline.operators import coverage, duplicates, gates, landing, matching,
 from assayline.operators import verification
 from assayline.session import settle
 from assayline.sources import files
+from assayline.sources.identity import AMBIGUOUS
 from assayline.sources.outputs import to_long
 from assayline.vocabulary import CONTEXT_SAMPLE, ENTITY_SAMPLE, METADATA_KEY
 
@@ -32,6 +33,7 @@ def verify_source(spark: SparkSession, manifest_path: str, *globs: str) -> Table
     summary = matched.agg(
         F.count("*").alias("expected_files"), F.count_if("file_exists").alias("found_files"),
         F.count_if(F.col("size_matches") & F.col("sha256_matches")).alias("verified_files"),
+        F.count_if(F.col("state") == AMBIGUOUS).alias("ambiguous_files"),
     ).withColumn("verified", F.col("expected_files") == F.col("verified_files"))
     return {"files": matched, "summary": summary}
 

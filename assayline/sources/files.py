@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayline.sources.identity import MISSING, match_paths
 from assayline.spec import MANIFEST
 
 _CHUNK = 8 << 20
@@ -94,8 +95,8 @@ def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with _open(uri) as handle:
                 while block := handle.read(_CHUNK):
                     digest.update(block)
-            rows.append((name, size, digest.hexdigest()))
-        yield pd.DataFrame(rows, columns=["file", "size_bytes", "sha256"])
+            rows.append((uri, name, size, digest.hexdigest()))
+        yield pd.DataFrame(rows, columns=["path", "file", "size_bytes", "sha256"])
 
 
 def file_inventory(spark: SparkSession, *globs: str) -> DataFrame:
@@ -130,9 +131,9 @@ def schemas_identical(schemas: DataFrame) -> DataFrame:
 
 
 def file_hash(spark: SparkSession, *globs: str) -> DataFrame:
-    """file, size_bytes, sha256. Files are streamed in chunks, so size has no limit."""
+    """path, file, size_bytes, sha256. Files are streamed in chunks, so size has no limit."""
     return spread(list_files(spark, *globs)).mapInPandas(
-        _hashes, "file string, size_bytes bigint, sha256 string"
+        _hashes, "path string, file string, size_bytes bigint, sha256 string"
     )
 
 
@@ -165,10 +166,18 @@ def manifest_shards(manifest: DataFrame) -> DataFrame:
 
 
 def match_manifest(files: DataFrame, shards: DataFrame) -> DataFrame:
-    """Expected shards with what was found. A missing file stays visible; both sides hold one row per file."""
-    return shards.join(files, "file", "left").select(
+    """Expected shards with what was found: file, file_exists, size_matches, sha256_matches, state.
+
+    A shard and a file are the same if the ends of their paths say so (`identity.match_paths`), below whatever folders they
+    were listed. A missing file stays visible; so does one that several could be (`state` is `ambiguous`), as not found.
+    """
+    meant = match_paths(shards, files)
+    seen = files.select(F.col("path").alias("found"), "size_bytes", "sha256").dropDuplicates(["found"])
+    met = shards.join(meant, shards["path"] == meant["wanted"], "left").drop("path").join(seen, "found", "left")
+    return met.select(
         "file",
         F.col("sha256").isNotNull().alias("file_exists"),
         F.coalesce(F.col("size_bytes") == F.col("expected_size"), F.lit(False)).alias("size_matches"),
         F.coalesce(F.col("sha256") == F.col("expected_sha256"), F.lit(False)).alias("sha256_matches"),
+        F.coalesce("state", F.lit(MISSING)).alias("state"),
     )

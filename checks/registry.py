@@ -117,7 +117,7 @@ def schemas_identical(spark, sf_dir):
 
 @register()
 def file_hash(spark, sf_dir):
-    return files.file_hash(spark, f"{sf_dir}/*.parquet")
+    return files.file_hash(spark, f"{sf_dir}/*.parquet").drop("path")
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> str:
@@ -147,17 +147,54 @@ def read_manifest(spark, sf_dir):
     return shards.select("file", "path", "revision")
 
 
-@register("SELECT f || '.parquet' AS file, f <> 'ghost' AS file_exists, f NOT IN ('ghost', 'region') AS size_matches, "
-          "f NOT IN ('ghost', 'nation') AS sha256_matches FROM (VALUES "
-          + ", ".join(f"({quote(t)})" for t in (*TABLES, "ghost")) + ") v(f)")
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """All documents as files below a folder for each language and source, and a manifest of them as (revision, shards).
+
+    The manifest names shards below another folder. One source's sizes and one language's hashes are wrong in it, and to each
+    language it adds a file that is not there.
+    """
+    root = scratch_path(spark, "tree")
+    docs = table(spark, sf_dir, "documents")
+    docs.repartition("lang", "source").write.partitionBy("lang", "source").parquet(root)
+    found = files.file_hash(spark, f"{root}/*/*/*.parquet")
+    lang, source = (F.regexp_extract("file", f"{c}=([^/]*)", 1) for c in ("lang", "source"))
+    shard = found.select(
+        lang.alias("lang"), F.concat(F.lit("mirror/train/"), "file").alias("path"),
+        F.when(source == "src1", F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"),
+        F.when(lang == "fr", F.reverse("sha256")).otherwise(F.col("sha256")).alias("lfs_sha256"))
+    ghost = shard.groupBy("lang").agg(F.lit(1).cast("bigint").alias("size_bytes")).select(
+        "lang", F.concat(F.lit("mirror/train/lang="), "lang", F.lit("/ghost.parquet")).alias("path"), "size_bytes", F.lit("0").alias("lfs_sha256"))
+    manifest = scratch_path(spark, "manifest")
+    shard.unionByName(ghost).agg(F.lit("r1").alias("revision"), F.collect_list(F.struct("path", "size_bytes", "lfs_sha256")).alias("shards")).write.json(manifest)
+    return root, manifest
+
+
+_TREE = ("SELECT DISTINCT 'lang=' || lang || '/source=' || source AS folder, true AS file_exists, "
+         "source <> 'src1' AS size_matches, lang <> 'fr' AS sha256_matches, 'matched' AS state FROM documents UNION ALL SELECT DISTINCT "
+         "'lang=' || lang, false, false, false, 'missing' FROM documents")
+
+
+@register(_TREE)
 def match_manifest(spark, sf_dir):
-    return audits.verify_source(spark, _manifest(spark, sf_dir), f"{sf_dir}/*.parquet")["files"]
+    root, manifest = _tree(spark, sf_dir)
+    found = audits.verify_source(spark, manifest, root)["files"]
+    return found.withColumn("folder", F.regexp_replace("file", "/[^/]*$", "")).drop("file")
 
 
-@register("SELECT CAST(15 AS BIGINT) AS expected_files, CAST(14 AS BIGINT) AS found_files, "
-          "CAST(12 AS BIGINT) AS verified_files, false AS verified")
+@register(f"SELECT count(*) AS expected_files, count(*) FILTER (WHERE file_exists) AS found_files, count(*) FILTER (WHERE size_matches AND "
+          f"sha256_matches) AS verified_files, CAST(0 AS BIGINT) AS ambiguous_files, false AS verified FROM ({_TREE})")
 def verify_source(spark, sf_dir):
-    return audits.verify_source(spark, _manifest(spark, sf_dir), f"{sf_dir}/*.parquet")["summary"]
+    root, manifest = _tree(spark, sf_dir)
+    return audits.verify_source(spark, manifest, f"{root}/*/*/*.parquet")["summary"]
+
+
+@register("SELECT doc_id, 'lang=' || lang || '/source=' || source AS folder, 'r1' AS revision FROM documents")
+def lineage_by_folder(spark, sf_dir):
+    """All documents, in files of equal depth below many folders, with the shard that the manifest calls theirs."""
+    root, manifest = _tree(spark, sf_dir)
+    shards = files.manifest_shards(files.read_manifest(spark, manifest))
+    traced = lineage.with_lineage(spark.read.parquet(root), shards, root, (), "doc_id", ("lang", "source"))
+    return traced.select("doc_id", F.regexp_replace("lineage.file", "/[^/]*$", "").alias("folder"), "lineage.revision")
 
 
 _SEVERITY = (f"CASE WHEN {_any(['deneme karar metni'])} THEN 0 WHEN {_any(['ilgilicezamahadi'])} THEN 1 "

@@ -381,7 +381,7 @@ def test_files_against_manifest(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"revision": "r", "expected_rows": 10, "expected_shard_count": 1,
                                                  "shards": shards}, indent=1))
     out = audits.verify_source(spark, str(tmp_path / "m.json"), str(tmp_path / "d" / "*.parquet"))
-    assert rows(out["files"]) == sorted([(part.name, True, True, True), ("other.parquet", False, False, False)], key=repr)
+    assert rows(out["files"]) == sorted([(part.name, True, True, True, "matched"), ("other.parquet", False, False, False, "missing")], key=repr)
     assert not out["summary"].first()["verified"]
     whole = audits.file_integrity(spark, str(tmp_path / "m.json"), str(tmp_path / "d" / "*.parquet")).first()
     assert whole["rows_match"] and whole["files_match"] and whole["schemas_identical"] and whole["row_groups"] == 1
@@ -461,7 +461,8 @@ def test_equal_names_in_two_folders_are_two_files(spark, tmp_path):
         "revision string, shards array<struct<path:string,size_bytes:bigint,lfs_sha256:string>>")
     found = files.match_manifest(hashes, files.manifest_shards(shards)).orderBy("file").collect()
     assert [tuple(x) for x in found] == [
-        ("k=1/part-0.parquet", True, True, True), ("k=2/part-0.parquet", True, True, False), ("k=3/part-0.parquet", False, False, False)]
+        ("k=1/part-0.parquet", True, True, True, "matched"), ("k=2/part-0.parquet", True, True, False, "matched"),
+        ("k=3/part-0.parquet", False, False, False, "missing")]
 
 
 def test_end_of_page_is_kept():
