@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 from assayline.functions.predicates import in_years
 from assayline.functions.text import court_group, let, lower_tr, stable_hash
+from assayline.operators.late import ADDRESS, addressed, as_scan, fetch, narrow_first
 from assayline.session import settle
 from assayline.vocabulary import (
     MIDDLE, MIDDLE_PER_YEAR, MIDDLE_YEARS, MODERN, MODERN_PER_YEAR, MODERN_YEARS, OLD, OLD_TOTAL, PLACEHOLDERS,
     REVIEW_COLUMNS, SAMPLE_SEED, SHORT_LIMITS, SHORT_TEXT, VERIFY_ALLOCATION,
 )
 
+#: The wide column of a corpus: it is fetched for picked rows, never ranked.
+TEXT = "text"
+_LISTED = ("id", "document_id", "court", "esas_no", "karar_no", "karar_tarihi", "year")
 FAN_IN = 256
 PREFIX = 4
 
@@ -77,26 +81,34 @@ def hash_of(hashed: Column) -> Column:
 
 
 def ranked_sample(df: DataFrame, group: str, limits: Limits, id_column: str = "id", rank: str = "_rn") -> DataFrame:
-    """First rows of each group in hash order of the id, ties by id, NULL ids last, with their rank."""
+    """First rows of each group in hash order of the id, ties by id, NULL ids last, with their rank. Give it narrow rows."""
     hashed = df.withColumn("_h", hash_of(stable_hash(F.col(id_column))))
     cut = hash_cut(hashed, group, limits)
     return top_n_per_group(cut, group, limits, F.col("_h"), F.col(id_column).asc_nulls_last(), rank=rank).drop("_h")
 
 
 def top_n_per_year(df: DataFrame, n: int, years: tuple[int, int], id_column: str = "id") -> DataFrame:
+    def pick(rows: DataFrame) -> DataFrame:
+        grouped = rows.where(in_years("year", years)).withColumn("_group", F.col("year").cast("int"))
+        return ranked_sample(grouped, "_group", limits, id_column).drop("_group", "_rn")
+
     limits = {y: n for y in range(years[0], years[1] + 1)}
-    rows = df.where(in_years("year", years)).withColumn("_group", F.col("year").cast("int"))
-    return ranked_sample(rows, "_group", limits, id_column).drop("_group", "_rn")
+    return narrow_first(df, pick, TEXT)
 
 
 def top_n_global(df: DataFrame, n: int, id_column: str = "id") -> DataFrame:
-    rows = df.withColumn("_group", F.lit(0))
-    return ranked_sample(rows, "_group", {0: n}, id_column).drop("_group", "_rn")
+    def pick(rows: DataFrame) -> DataFrame:
+        return ranked_sample(rows.withColumn("_group", F.lit(0)), "_group", {0: n}, id_column).drop("_group", "_rn")
+
+    return narrow_first(df, pick, TEXT)
 
 
 def top_n_per_stratum(df: DataFrame, limits: Limits, id_column: str = "id") -> DataFrame:
     """`modern` is 1 inside the modern years, else 0 (a missing year counts as historical)."""
-    return ranked_sample(df.withColumn("modern", modern_flag()), "modern", limits, id_column).drop("_rn")
+    def pick(rows: DataFrame) -> DataFrame:
+        return ranked_sample(rows.withColumn("modern", modern_flag()), "modern", limits, id_column).drop("_rn")
+
+    return narrow_first(df, pick, TEXT)
 
 
 def modern_flag() -> Column:
@@ -113,17 +125,20 @@ def stratified_sample(df: DataFrame, id_column: str = "id") -> DataFrame:
     One pass serves the three strata: older rows are one group next to the years.
     """
     year = F.col("year").cast("int")
+
+    def pick(df: DataFrame) -> DataFrame:
+        rows = df.where(F.col("year") <= MODERN_YEARS[1]).withColumn(
+            "_group", F.when(year < MIDDLE_YEARS[0], 0).otherwise(year))
+        return ranked_sample(rows, "_group", limits, id_column).drop("_group", "_rn").withColumns({
+            "stratum": F.when(in_years(year, MODERN_YEARS), MODERN).when(in_years(year, MIDDLE_YEARS), MIDDLE)
+            .otherwise(OLD),
+            "court_group": court_group(F.col("court")),
+        })
+
     limits = {0: OLD_TOTAL}
     limits |= {y: MIDDLE_PER_YEAR for y in range(MIDDLE_YEARS[0], MIDDLE_YEARS[1] + 1)}
     limits |= {y: MODERN_PER_YEAR for y in range(MODERN_YEARS[0], MODERN_YEARS[1] + 1)}
-    rows = df.where(F.col("year") <= MODERN_YEARS[1]).withColumn(
-        "_group", F.when(year < MIDDLE_YEARS[0], 0).otherwise(year))
-    picked = ranked_sample(rows, "_group", limits, id_column).drop("_group", "_rn")
-    return picked.withColumns({
-        "stratum": F.when(in_years(year, MODERN_YEARS), MODERN).when(in_years(year, MIDDLE_YEARS), MIDDLE)
-        .otherwise(OLD),
-        "court_group": court_group(F.col("court")),
-    })
+    return narrow_first(df, pick, TEXT)
 
 
 def sample_order(id_column: str = "id") -> tuple[Column, ...]:
@@ -135,14 +150,17 @@ def reservoir_sample(df: DataFrame, n: int = 100, seed: int = SAMPLE_SEED, id_co
     """`n` rows, all equally likely over seeds, the same for one seed."""
     drawn = hash_of(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string"))))
     limits = {0: n}
-    rows = df.withColumns({"_group": F.lit(0), "_h": drawn})
-    cut = hash_cut(rows, "_group", limits)
-    return top_n_per_group(cut, "_group", limits, F.col("_h"), F.col(id_column).asc_nulls_last()).drop("_group", "_h", "_rn")
+
+    def pick(rows: DataFrame) -> DataFrame:
+        cut = hash_cut(rows.withColumns({"_group": F.lit(0), "_h": drawn}), "_group", limits)
+        return top_n_per_group(cut, "_group", limits, F.col("_h"), F.col(id_column).asc_nulls_last()).drop("_group", "_h", "_rn")
+
+    return narrow_first(df, pick, TEXT)
 
 
 def shortest_texts(df: DataFrame, k: int = 200, limit: int = SHORT_TEXT) -> DataFrame:
     """The shortest texts with what the table has of the listed columns; ties by id if there is one, then by text."""
-    listed = [c for c in ("id", "document_id", "court", "esas_no", "karar_no", "karar_tarihi", "year") if c in df.columns]
+    listed = [c for c in _LISTED if c in df.columns]
     short = df.where(F.length("text") < limit).select(*listed, F.length("text").alias("chars"), "text")
     ties = [F.col(c).asc_nulls_last() for c in ("id", "text") if c in short.columns]
     return top_k(short, k, F.col("chars"), *ties)
@@ -167,20 +185,28 @@ def suspicious_order() -> tuple[Column, ...]:
 
 
 def suspicious_rows(df: DataFrame) -> DataFrame:
-    """All suspicious rows with their severity."""
-    return df.select(
-        "id", "document_id", "court", "esas_no", "karar_no", "karar_tarihi", "year",
-        F.length("text").alias("chars"), "text", severity(F.col("text"), F.col("court")).alias("severity"),
-    ).where(F.col("severity").isNotNull())
+    """All suspicious rows with their severity, which is worked out once a row: it is expanded, not filtered."""
+    rank = F.explode(F.array_compact(F.array(severity(F.col("text"), F.col("court")))))
+    return df.select(*_LISTED, F.length("text").alias("chars"), "text", rank.alias("severity"))
 
 
 def suspicious_top(df: DataFrame, k: int = 1000) -> DataFrame:
-    return top_k(suspicious_rows(df), k, *suspicious_order())
+    """The first `k` suspicious rows, in order. Texts are looked at once to judge them and fetched for the listed rows."""
+    scan = as_scan(df)
+    rank = F.explode(F.array_compact(F.array(severity(F.col("text"), F.col("court")))))
+    narrow = addressed(scan).select(*ADDRESS, *_LISTED, F.length("text").alias("chars"), rank.alias("severity"))
+    picked = settle(top_k(narrow, k, *suspicious_order()), "picked")
+    listed = fetch(picked, scan, "text").select(*_LISTED, "chars", "text", "severity").orderBy(*suspicious_order())
+    listed._late = (picked, scan)
+    return listed
 
 
 def first_k(listed: DataFrame, k: int = 12) -> DataFrame:
-    """Head of a suspicious list."""
-    return listed.orderBy(*suspicious_order()).limit(k)
+    """Head of a suspicious list, in order."""
+    def pick(rows: DataFrame) -> DataFrame:
+        return rows.orderBy(*suspicious_order()).limit(k)
+
+    return narrow_first(listed, pick, TEXT).orderBy(*suspicious_order())
 
 
 def global_rank(df: DataFrame, *order: Column, rank: str = "rn") -> DataFrame:
@@ -223,21 +249,25 @@ def evenly_pick(df: DataFrame, allocation: Mapping[str, int] = VERIFY_ALLOCATION
     Positions come from the stratum's size alone; `sample_index` counts over the strata in the order of `allocation`.
     """
     order = order or sample_order()
-    ranked = global_rank(df.where(F.col(stratum).isin(list(allocation))), F.col(stratum), *order, rank="_rank")
-    ranked = ranked.drop("_total")
-    sizes = ranked.groupBy(stratum).agg(F.min("_rank").alias("_first"), F.count("*").alias("_size"))
-    want = _limit_of(stratum, allocation)
-    at = F.when(F.col("_size") <= want, F.sequence(F.lit(0).cast("bigint"), F.col("_size") - 1)).when(
-        want == 1, F.array(F.floor(F.col("_size") / 2))).otherwise(
-        F.transform(F.sequence(F.lit(0), want - 1),
-                    lambda i: F.bround(i * (F.col("_size") - 1) / (want - 1), 0).cast("bigint")))
-    turn = F.array_position(F.array(*[F.lit(s) for s in allocation]), F.col(stratum))
-    spots = sizes.where(want > 0).select(
-        stratum, turn.alias("_turn"), "_first", F.posexplode(at).alias("_k", "_at")
-    ).select("_turn", "_k", (F.col("_first") + F.col("_at")).alias("_rank"))
-    picked = ranked.join(F.broadcast(spots), "_rank")  # as many rows as the allocation asks for
-    place = F.row_number().over(W.orderBy("_turn", "_k"))
-    return picked.withColumn("sample_index", place).drop("_turn", "_k", "_rank")
+
+    def pick(rows: DataFrame) -> DataFrame:
+        ranked = global_rank(rows.where(F.col(stratum).isin(list(allocation))), F.col(stratum), *order, rank="_rank")
+        ranked = ranked.drop("_total")
+        sizes = ranked.groupBy(stratum).agg(F.min("_rank").alias("_first"), F.count("*").alias("_size"))
+        want = _limit_of(stratum, allocation)
+        at = F.when(F.col("_size") <= want, F.sequence(F.lit(0).cast("bigint"), F.col("_size") - 1)).when(
+            want == 1, F.array(F.floor(F.col("_size") / 2))).otherwise(
+            F.transform(F.sequence(F.lit(0), want - 1),
+                        lambda i: F.bround(i * (F.col("_size") - 1) / (want - 1), 0).cast("bigint")))
+        turn = F.array_position(F.array(*[F.lit(s) for s in allocation]), F.col(stratum))
+        spots = sizes.where(want > 0).select(
+            stratum, turn.alias("_turn"), "_first", F.posexplode(at).alias("_k", "_at")
+        ).select("_turn", "_k", (F.col("_first") + F.col("_at")).alias("_rank"))
+        picked = ranked.join(F.broadcast(spots), "_rank")  # as many rows as the allocation asks for
+        place = F.row_number().over(W.orderBy("_turn", "_k"))
+        return picked.withColumn("sample_index", place).drop("_turn", "_k", "_rank")
+
+    return narrow_first(df, pick, TEXT)
 
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:

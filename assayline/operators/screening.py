@@ -54,12 +54,11 @@ def pii_totals(by_year: DataFrame) -> DataFrame:
 
 
 def drawn(df: DataFrame, limits: dict[int, int] | None) -> DataFrame:
-    """A sample with its texts, spread again: it leaves the ranking in as many parts as there are strata. None: all rows."""
+    """A sample with its texts, which come from the tasks that scan them. None: all rows."""
     rows = df.select("id", "year", "text")
     if limits is None:
         return rows.withColumn("modern", modern_flag())
-    sample = top_n_per_stratum(rows, limits)
-    return sample.repartition(df.sparkSession.sparkContext.defaultParallelism, "id")
+    return top_n_per_stratum(rows, limits)
 
 
 def contextual_sample(df: DataFrame, limits: dict[int, int] | None = CONTEXT_SAMPLE) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.similarity import sequence_ratio
 from assayline.functions.text import contains_norm, length_ratio, lower_tr, normalize_text, preview, ratio
+from assayline.operators.late import is_scan, narrow_first
 from assayline.vocabulary import PLACEHOLDERS, RATIO_LIMITS
 
 
@@ -17,10 +18,16 @@ def attach_official_text(sample: DataFrame, official: DataFrame) -> DataFrame:
     `official` is cut to the sampled ids first; of several responses for one id the best and then the first counts.
     """
     ids = sample.select("document_id").distinct()
-    wanted = official.join(ids, "document_id", "left_semi")
-    w = W.partitionBy("document_id").orderBy(
-        F.when(F.col("status") == "ok", 0).otherwise(1), "raw_bytes", F.xxhash64("official_text"))
-    one = wanted.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    w = W.partitionBy("document_id").orderBy(F.when(F.col("status") == "ok", 0).otherwise(1), "raw_bytes", "_tie")
+
+    def best(rows: DataFrame) -> DataFrame:
+        wanted = rows.join(ids, "document_id", "left_semi")
+        return wanted.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_tie")
+
+    hashed = official.withColumn("_tie", F.xxhash64("official_text"))
+    if not is_scan(official):  # cut to the sample before it is written
+        hashed = hashed.join(ids, "document_id", "left_semi")
+    one = narrow_first(hashed, best, "official_text")
     return sample.join(one, "document_id", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
 
 

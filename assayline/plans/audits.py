@@ -15,27 +15,27 @@ from assayline.functions.predicates import project_present
 from assayline.functions.text import rate, text_windows
 from assayline.operators import coverage, duplicates, gates, landing, matching, profile, sampling, screening
 from assayline.operators import verification
-from assayline.session import settle
+from assayline.plans.tables import Tables
 from assayline.sources import files
 from assayline.sources.identity import AMBIGUOUS
 from assayline.sources.outputs import to_long
 from assayline.vocabulary import CONTEXT_SAMPLE, ENTITY_SAMPLE, METADATA_KEY
 
-Tables = dict[str, DataFrame]
-
 SAMPLE_COLUMNS = ("id", "document_id", "source", "court", "esas_no", "karar_no", "karar_tarihi", "year", "text_len")
 
 
 def verify_source(spark: SparkSession, manifest_path: str, *globs: str) -> Tables:
     """Sizes and hashes of all shards against the manifest."""
+    out = Tables()
     shards = files.manifest_shards(files.read_manifest(spark, manifest_path))
-    matched = files.match_manifest(files.file_hash(spark, *globs), shards)
-    summary = matched.agg(
+    matched = out.shared(lambda: files.match_manifest(files.file_hash(spark, *globs), shards), "matched")
+    out.add("files", matched)
+    out.add("summary", lambda: matched().agg(
         F.count("*").alias("expected_files"), F.count_if("file_exists").alias("found_files"),
         F.count_if(F.col("size_matches") & F.col("sha256_matches")).alias("verified_files"),
         F.count_if(F.col("state") == AMBIGUOUS).alias("ambiguous_files"),
-    ).withColumn("verified", F.col("expected_files") == F.col("verified_files"))
-    return {"files": matched, "summary": summary}
+    ).withColumn("verified", F.col("expected_files") == F.col("verified_files")))
+    return out
 
 
 def file_integrity(spark: SparkSession, manifest_path: str, *globs: str) -> DataFrame:
@@ -53,75 +53,80 @@ def file_integrity(spark: SparkSession, manifest_path: str, *globs: str) -> Data
 def profile_shard(df: DataFrame) -> Tables:
     """All checks that the columns of one file allow."""
     has = set(df.columns)
-    out: Tables = {"nulls": profile.null_profile(df)}
+    out = Tables(nulls=lambda: profile.null_profile(df))
     if "text" in has:
-        out["text"] = profile.text_profile(df)
-        out["markers"] = profile.marker_profile(df)
+        out.add("text", lambda: profile.text_profile(df))
+        out.add("markers", lambda: profile.marker_profile(df))
     unique = [c for c in ("id", "document_id", "raw_sha256") if c in has]
     if unique:
-        out["uniqueness"] = duplicates.column_excess(df, tuple(unique), skip_null=True)
+        out.add("uniqueness", lambda: duplicates.column_excess(df, tuple(unique), skip_null=True))
     if set(METADATA_KEY) <= has:
-        out["key_excess"] = duplicates.key_dup_excess(df)
+        out.add("key_excess", lambda: duplicates.key_dup_excess(df))
     if "year" in has:
-        out["by_year"] = df.groupBy("year").agg(F.count("*").alias("decisions"))
-        out["year_range"] = df.agg(F.min("year").alias("min_year"), F.max("year").alias("max_year"))
+        out.add("by_year", lambda: df.groupBy("year").agg(F.count("*").alias("decisions")))
+        out.add("year_range", lambda: df.agg(F.min("year").alias("min_year"), F.max("year").alias("max_year")))
     if "court" in has:
-        out["by_court"] = df.groupBy("court").agg(F.count("*").alias("decisions"))
+        out.add("by_court", lambda: df.groupBy("court").agg(F.count("*").alias("decisions")))
     if "text" in has:
-        out["short_texts"] = sampling.shortest_texts(df)
+        out.add("short_texts", lambda: sampling.shortest_texts(df))
     listed = project_present(df, SAMPLE_COLUMNS)
     if "id" in has:
-        out["sample"] = sampling.reservoir_sample(listed)
+        out.add("sample", lambda: sampling.reservoir_sample(listed))
     elif listed.columns:  # without ids, rows are drawn by what they hold
-        drawn = sampling.reservoir_sample(listed.withColumn("_row", F.to_json(F.struct(*listed.columns))), id_column="_row")
-        out["sample"] = drawn.drop("_row")
+        whole = listed.withColumn("_row", F.to_json(F.struct(*listed.columns)))
+        out.add("sample", lambda: sampling.reservoir_sample(whole, id_column="_row").drop("_row"))
     return out
 
 
 def full_audit(df: DataFrame, source_name: str | None = None) -> Tables:
     """Structure, quality and coverage from one text scan, duplicates from narrow scans, two samples.
 
-    The cube is small (one row per year and court), so it is kept for the tables cut from it.
+    The cube is small (one row per year and court); it is written once for the tables cut from it.
     """
-    cube = profile.audit_cube(df, source_name).persist()
-    return {
-        "cube": cube,
-        "totals": profile.cube_slice(cube, False, False).drop("year", "court"),
-        "by_year": profile.cube_slice(cube, True, False).select(
-            "year", F.col("rows").alias("decisions"), F.col("lt_300_chars").alias("lt_300"),
-            F.col("any_known_placeholder").alias("known_placeholder")),
-        "by_court": profile.cube_slice(cube, False, True).select(
-            "court", F.col("rows").alias("decisions"), F.col("lt_300_chars").alias("lt_300")),
-        "by_year_court": profile.cube_slice(cube, True, True).select(
-            "year", "court", F.col("rows").alias("decisions"), "median_chars", F.col("lt_300_chars").alias("lt_300")),
-        "duplicates": duplicates.column_excess(df, ("id", "document_id", "raw_sha256")),
-        "key_excess": duplicates.key_dup_excess(df),
-        "suspicious": sampling.suspicious_top(df),
-        "verification_sample": sampling.stratified_sample(df),
-    }
+    out = Tables()
+    cube = out.shared(lambda: profile.audit_cube(df, source_name), "cube")
+    out.add("cube", cube)
+    out.add("totals", lambda: profile.cube_slice(cube(), False, False).drop("year", "court"))
+    out.add("by_year", lambda: profile.cube_slice(cube(), True, False).select(
+        "year", F.col("rows").alias("decisions"), F.col("lt_300_chars").alias("lt_300"),
+        F.col("any_known_placeholder").alias("known_placeholder")))
+    out.add("by_court", lambda: profile.cube_slice(cube(), False, True).select(
+        "court", F.col("rows").alias("decisions"), F.col("lt_300_chars").alias("lt_300")))
+    out.add("by_year_court", lambda: profile.cube_slice(cube(), True, True).select(
+        "year", "court", F.col("rows").alias("decisions"), "median_chars", F.col("lt_300_chars").alias("lt_300")))
+    out.add("duplicates", lambda: duplicates.column_excess(df, ("id", "document_id", "raw_sha256")))
+    out.add("key_excess", lambda: duplicates.key_dup_excess(df))
+    out.add("suspicious", lambda: sampling.suspicious_top(df))
+    out.add("verification_sample", lambda: sampling.stratified_sample(df))
+    return out
 
 
 def coverage_audit(df: DataFrame) -> Tables:
-    return {
-        "by_year": df.groupBy("year").agg(F.count("*").alias("decisions")),
-        "by_year_court": coverage.coverage_stored_length(df),
-    }
+    return Tables(
+        by_year=lambda: df.groupBy("year").agg(F.count("*").alias("decisions")),
+        by_year_court=lambda: coverage.coverage_stored_length(df))
 
 
 def gap_audit(df: DataFrame) -> Tables:
-    return {"gaps": coverage.internal_gaps(df), "active_labels": coverage.active_labels_by_year(df)}
+    return Tables(gaps=lambda: coverage.internal_gaps(df), active_labels=lambda: coverage.active_labels_by_year(df))
 
 
 def pii_audit(df: DataFrame, mode: str = "re2") -> Tables:
     """Per year and in total; the text is scanned once for both."""
-    by_year = screening.pii_by_year(df, mode).persist()
-    return {"by_year": by_year, "totals": screening.pii_totals(by_year)}
+    out = Tables()
+    by_year = out.shared(lambda: screening.pii_by_year(df, mode), "pii")
+    out.add("by_year", by_year)
+    out.add("totals", lambda: screening.pii_totals(by_year()))
+    return out
 
 
 def contextual_audit(df: DataFrame, limits: dict[int, int] | None = CONTEXT_SAMPLE, mode: str = "re2") -> Tables:
     """Context signals in a sample; `limits=None` reads all rows."""
-    counts = screening.signal_counts(screening.contextual_sample(df, limits), mode).persist()
-    return {"sample": counts.select("rows_sampled", "modern_rows"), "signals": screening.signal_rates(counts)}
+    out = Tables()
+    counts = out.shared(lambda: screening.signal_counts(screening.contextual_sample(df, limits), mode), "signals")
+    out.add("sample", lambda: counts().select("rows_sampled", "modern_rows"))
+    out.add("signals", lambda: screening.signal_rates(counts()))
+    return out
 
 
 def entity_audit(df: DataFrame, detector: screening.Detector | None = None,
@@ -130,22 +135,23 @@ def entity_audit(df: DataFrame, detector: screening.Detector | None = None,
 
     Without a detector the direct-identifier patterns stand in for one.
     """
-    chunks = screening.windowed_chunks(screening.entity_sample(df, limits), windows)
-    found = screening.detect_entities(chunks, detector) if detector else screening.detect_direct(chunks)
-    found = found.persist()
-    return {
-        "detections": found,
-        "entities": screening.entity_counts(found),
-        "documents": screening.documents_with_entities(found),
-        "quality": screening.entity_run_quality(found),
-    }
+    def detected() -> DataFrame:
+        chunks = screening.windowed_chunks(screening.entity_sample(df, limits), windows)
+        return screening.detect_entities(chunks, detector) if detector else screening.detect_direct(chunks)
+
+    out = Tables()
+    found = out.shared(detected, "detections")
+    out.add("detections", found)
+    out.add("entities", lambda: screening.entity_counts(found()))
+    out.add("documents", lambda: screening.documents_with_entities(found()))
+    out.add("quality", lambda: screening.entity_run_quality(found()))
+    return out
 
 
 def cross_source_audit(cand: DataFrame, ext: DataFrame) -> Tables:
-    return {
-        "metrics": matching.cross_source_metrics(cand, ext),
-        "by_year": matching.cross_source_by_year(cand, ext),
-    }
+    return Tables(
+        metrics=lambda: matching.cross_source_metrics(cand, ext),
+        by_year=lambda: matching.cross_source_by_year(cand, ext))
 
 
 def reconcile(cand: DataFrame, ext: DataFrame, require_same_number: bool = False) -> Tables:
@@ -154,46 +160,55 @@ def reconcile(cand: DataFrame, ext: DataFrame, require_same_number: bool = False
     The residual, the name pairs and the summary per id feed several results, so each is written once.
     """
     c, e = matching.reconcile_candidate(cand), matching.reconcile_external(ext)
-    residual = settle(matching.exact_residual(e, c), "residual")
-    pairs = settle(matching.label_matches(residual, c, require_same_number), "pairs")
-    by_id = settle(matching.residual_by_id(residual, c, pairs), "by_id")
-    return {
-        "summary": matching.distinct_matches(by_id),
-        "aliases": matching.alias_top(matching.alias_pairs(pairs)),
-        "alias_pairs": matching.alias_pairs(pairs),
-        "left_over": matching.residual_after_fuzzy(residual, by_id),
-    }
+    out = Tables()
+    residual = out.shared(lambda: matching.exact_residual(e, c), "residual")
+    pairs = out.shared(lambda: matching.label_matches(residual(), c, require_same_number), "pairs")
+    by_id = out.shared(lambda: matching.residual_by_id(residual(), c, pairs()), "by_id")
+    out.add("summary", lambda: matching.distinct_matches(by_id()))
+    out.add("aliases", lambda: matching.alias_top(matching.alias_pairs(pairs())))
+    out.add("alias_pairs", lambda: matching.alias_pairs(pairs()))
+    out.add("left_over", lambda: matching.residual_after_fuzzy(residual(), by_id()))
+    return out
 
 
 def verify_texts(sample: DataFrame, official: DataFrame) -> Tables:
     """Sampled rows against official texts, row by row and in sum."""
-    pairs = verification.attach_official_text(sample, official)
-    spread = pairs.repartition(sample.sparkSession.sparkContext.defaultParallelism)  # few rows, much work on each
-    results = verification.compare_texts(spread).persist()
-    return {"results": results, "quality": verification.match_quality(results)}
+    def compared() -> DataFrame:
+        pairs = verification.attach_official_text(sample, official)
+        spread = pairs.repartition(sample.sparkSession.sparkContext.defaultParallelism)  # few rows, much work on each
+        return verification.compare_texts(spread)
+
+    out = Tables()
+    results = out.shared(compared, "compared")
+    out.add("results", results)
+    out.add("quality", lambda: verification.match_quality(results()))
+    return out
 
 
 def probe_suspicious(suspicious: DataFrame, official: DataFrame, k: int = 12) -> Tables:
     """Head of the suspicious list: does the official copy carry the same placeholder?"""
-    pairs = verification.attach_official_text(sampling.first_k(suspicious, k), official)
-    results = verification.compare_placeholders(verification.compare_texts(pairs.withColumns({
-        "_text": F.col("text"), "_official": F.col("official_text")})).withColumnsRenamed(
-        {"_text": "text", "_official": "official_text"})).drop("text", "official_text").persist()
-    return {"results": results, "quality": verification.placeholder_quality(results)}
+    def compared() -> DataFrame:
+        pairs = verification.attach_official_text(sampling.first_k(suspicious, k), official)
+        return verification.compare_placeholders(verification.compare_texts(pairs.withColumns({
+            "_text": F.col("text"), "_official": F.col("official_text")})).withColumnsRenamed(
+            {"_text": "text", "_official": "official_text"})).drop("text", "official_text")
+
+    out = Tables()
+    results = out.shared(compared, "compared")
+    out.add("results", results)
+    out.add("quality", lambda: verification.placeholder_quality(results()))
+    return out
 
 
 def coverage_vs_reference_totals(counts: DataFrame, totals: DataFrame) -> Tables:
     compared = coverage.coverage_vs_totals(counts, totals)
-    return {"by_year": compared, "complete_years": coverage.complete_period_ratio(compared)}
+    return Tables(by_year=lambda: compared, complete_years=lambda: coverage.complete_period_ratio(compared))
 
 
 def delta_page_audit(pages: DataFrame) -> Tables:
-    return {
-        "pages": landing.page_facts(pages),
-        "overlap": landing.page_overlap(pages),
-        "repeated": landing.repeated_documents(pages),
-        "summary": landing.page_summary(pages),
-    }
+    return Tables(
+        pages=lambda: landing.page_facts(pages), overlap=lambda: landing.page_overlap(pages),
+        repeated=lambda: landing.repeated_documents(pages), summary=lambda: landing.page_summary(pages))
 
 
 def acceptance_metrics(totals: DataFrame, excess: DataFrame, gaps: DataFrame,
@@ -218,8 +233,11 @@ def acceptance_metrics(totals: DataFrame, excess: DataFrame, gaps: DataFrame,
 
 
 def acceptance(spark: SparkSession, metrics: DataFrame, soft: tuple[str, ...] = ()) -> Tables:
-    judged = gates.evaluate_gates(metrics, gates.targets_table(spark, soft=soft)).persist()
-    return {"gates": judged, "decision": gates.final_state(judged)}
+    out = Tables()
+    judged = out.shared(lambda: gates.evaluate_gates(metrics, gates.targets_table(spark, soft=soft)), "gates")
+    out.add("gates", judged)
+    out.add("decision", lambda: gates.final_state(judged()))
+    return out
 
 
 AUDITS: dict[str, Callable[..., object]] = {
