@@ -9,7 +9,7 @@ these in filters of its own. The corpus's numbers travel to the chunks by a join
 chunk's own vocabulary. A chunk's filters are then packed anew with these numbers - what the bitmap let through by
 mistake ends here - and cut into ranges of quotients. Ranges of all chunks are merged, one by one, and what is frequent is
 unpacked. Texts are never shuffled; a very frequent phrase is one counter per chunk; no dictionary is broadcast or
-collected. Memory of a task is bounded by a chunk, or by a range of the quotients, of which there are four times as many as
+collected. Memory of a task is bounded by a chunk, or by a range of the quotients, of which there are twice as many as
 shuffle partitions.
 
 Candidates are phrases of 2 to `longest` words with at least `least` occurrences a. A cut after the first k words has
@@ -43,14 +43,14 @@ from assayline.session import discard, settle
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 NO_LANGUAGE = "und"
 #: Bits of a word's number in its chunk, and what closes a chunk: words in its dictionary, or words read.
-LOCAL_BITS = 21
+LOCAL_BITS = 19
 CHUNK_VOCABULARY, CHUNK_WORDS = 1 << 18, 1 << 20
 #: Bytes of text read at once, keys that wait before they are counted, and the first bits by which a chunk's filter is cut.
 BLOCK, WAITING, CUT = 1 << 19, 1 << 18, 3
 #: Size of the bitmap of frequent words.
 BITS_PER_WORD, MOST_BITS = 16, 1 << 26
 #: Ranges of quotients for each shuffle partition, and parts in which a language's phrases are ranked first.
-RANGES, RANKED_IN = 4, 64
+RANGES, RANKED_IN = 2, 16
 
 #: 0xFF is in no UTF-8 text: it stands for the end of a piece.
 END = b"\xff"
@@ -253,14 +253,23 @@ def renumbered(local: Counts, part: int, known: np.ndarray, n: int, bits: int) -
 def repacked(grams: DataFrame, ids: DataFrame, bits: int, ranges: int) -> DataFrame:
     """The chunks' filters with the corpus's numbers, cut into 2**ranges ranges: (n, part, grams)."""
 
+    def rows(n: int, held: list[Counts]) -> pa.RecordBatch:
+        counts = Counts.merged(held)
+        parts = counts.ranges(min(ranges, counts.a)) if len(counts) else []
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(parts), n, np.int32)), pa.array([k for k, _ in parts], pa.int64()),
+            pa.array([part.to_bytes() for _, part in parts], pa.binary())], names=["n", "part", "grams"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[Counts]] = {}
         for batch in batches:
             for n, part, raw, ids in zip(batch.column("n").to_pylist(), batch.column("part").to_pylist(), batch.column("grams"), batch.column("ids"), strict=True):
-                counts = renumbered(Counts.from_bytes(raw.as_buffer()), part, ids.values.to_numpy(), n, bits)
-                parts = counts.ranges(min(ranges, counts.a)) if len(counts) else []
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(parts), n, np.int32)), pa.array([k for k, _ in parts], pa.int64()),
-                    pa.array([part.to_bytes() for _, part in parts], pa.binary())], names=["n", "part", "grams"])
+                of = held.setdefault(n, [])
+                of.append(renumbered(Counts.from_bytes(raw.as_buffer()), part, ids.values.to_numpy(), n, bits))
+                if sum(map(len, of)) >= 2 * WAITING:
+                    yield rows(n, held.pop(n))
+        for n, of in held.items():
+            yield rows(n, of)
 
     return grams.join(ids, "chunk").select("n", "part", "grams", "ids").mapInArrow(run, "n int, part long, grams binary")
 
