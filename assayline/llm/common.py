@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -73,6 +74,14 @@ def worker_cache(name: str) -> dict:
     return sys.__dict__.setdefault("_assayline_kept", {}).setdefault(name, {})
 
 
+def give_back() -> None:
+    """Hands memory that is free again to the system: a worker lives on for other tasks, next to the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, at least 2 (0 and 1 are padding); forgets all words when there are too many."""
 

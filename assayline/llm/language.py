@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from assayline.llm.common import WORDS_KEPT, bounds, flat, mix, shelved, slices, with_columns, with_fields
+from assayline.llm.common import WORDS_KEPT, bounds, flat, give_back, mix, shelved, slices, with_columns, with_fields
 
 UNKNOWN = "und"
 PER_LANGUAGE = 120
@@ -192,7 +192,7 @@ class WordFits(dict):
             self.waiting = []
 
     def trim(self) -> None:
-        if len(self) > WORDS_KEPT // 2:
+        if len(self) > WORDS_KEPT // 4:
             self.clear()
             self["\n"] = 0
             self.fits, self.letters = self.fits[:1], self.letters[:1]
@@ -259,5 +259,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, limit=limit):
             lang, score = predict_texts(batch.column("text").to_pylist(), table)
             yield with_columns(batch, _lang_pred=pa.array(lang, pa.string()), _score=pa.array(score))
+        table.clear()
+        give_back()
 
     return docs.mapInArrow(run, with_fields(docs, _lang_pred="string", _score="double")).select(*back, "_lang_pred", "_score")

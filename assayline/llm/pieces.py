@@ -7,7 +7,7 @@ in it by binary search, which gives the range of its occurrences; these are the
 They are then relaxed from left to right: an edge extends the path that ends where it starts if merging would leave the two
 pieces side by side, and each place is reached by one piece at most. The result is that of merging best pairs first.
 
-Characters without a piece become byte pieces. Decoding puts the bytes of the pieces together, turns the blank sign into a
+The blank sign in a text is a blank. Characters without a piece become byte pieces. Decoding puts the bytes of the pieces together, turns the blank sign into a
 blank and drops the first one, which encoding had put in front. Null and empty texts have no pieces; null and empty lists
 decode to the empty text. Broken UTF-8 decodes to replacement characters, unknown or control ids to nothing. Rows are
 independent; no text is cut, whatever its length. Other columns are carried along, whatever their names; those named like the
@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from assayline.llm.common import (
-    WORDS_KEPT, bounds, flat, mix, shelved, slices, take_ragged, with_columns, with_fields, worker_cache)
+    bounds, flat, give_back, mix, shelved, slices, take_ragged, with_columns, with_fields, worker_cache)
 
 SPACE = "▁"
 NEVER = 1 << 60
 #: Letters that one suffix array holds, and pieces that are decoded at once; a longer unit or list stands alone.
 INDEXED = 1 << 19
 DECODED = 1 << 20
+#: Units that a task remembers before it starts afresh.
+UNITS_KEPT = 150_000
 
 
 class PieceModel:
@@ -285,40 +287,41 @@ class Units(dict):
             out[ends[i] - len(ids) : ends[i]] = ids
         self.values, self.starts = np.concatenate([self.values, out]), np.concatenate([self.starts, self.starts[-1] + ends])
 
-    def trim(self) -> None:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-            self.values, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    def forget(self) -> None:
+        self.clear()
+        self.values, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
 
 #: A unit: blanks and what follows up to the next blank or line feed. Blanks alone at an end, and line feeds, are units too.
 UNIT = re.compile(" *[^ \n]+|\n| +")
 
 
-def model_at(path: str) -> tuple[PieceModel, Units]:
+def model_at(path: str) -> PieceModel:
+    """The piece file, read once by a worker. What tasks learn of their texts is not kept beyond them."""
     kept = worker_cache("pieces")
     if path not in kept:
-        model = PieceModel(path)
-        kept[path] = (model, Units(model))
+        kept[path] = PieceModel(path)
     return kept[path]
 
 
-def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all texts one after the other, and where each text's start (one more for the end)."""
-    _, units = model_at(path)
-    found = [UNIT.findall(" " + t) if t else [] for t in texts]
+def encode_texts(texts: list[str | None], path: str, units: Units | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all texts one after the other, and where each text's start (one more for the end). `units` are known from before."""
+    if units is None:
+        units = Units(model_at(path))
+    found = [UNIT.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
     starts = bounds(found)
     index = np.fromiter(map(units.__getitem__, flat(found)), np.int64, starts[-1])
     units.settle()
     values, lengths = take_ragged(units.values, units.starts, index)
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    units.trim()
+    if len(units) > UNITS_KEPT:
+        units.forget()
     return values, ends[starts]
 
 
 def decode_ids(values: np.ndarray, starts: np.ndarray, path: str) -> list[str]:
     """Texts of lists of ids that stand one after the other."""
-    model, _ = model_at(path)
+    model = model_at(path)
     kept = worker_cache("piece bytes")
     if path not in kept:
         kept[path] = (np.frombuffer(b"".join(model.content), np.uint8), bounds(model.content))
@@ -338,9 +341,12 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All rows and columns of `df` with `_pieces array<int>`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(model_at(path))
         for batch in slices(batches, text):
-            values, starts = encode_texts(batch.column(text).to_pylist(), path)
+            values, starts = encode_texts(batch.column(text).to_pylist(), path, units)
             yield with_columns(batch, _pieces=pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values)))
+        units.forget()
+        give_back()
 
     df, back = shelved(df, (text,), ("_pieces",))
     return df.mapInArrow(run, with_fields(df, _pieces="array<int>")).select(*back, "_pieces")
@@ -361,6 +367,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(sizes[a:b])]).astype(np.int64)
                 values = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 yield with_columns(part, _decoded=pa.array(decode_ids(values, starts, path), pa.string()))
+        give_back()
 
     df, back = shelved(df, ("_pieces",), ("_decoded",))
     return df.mapInArrow(run, with_fields(df, _decoded="string")).select(*back, "_decoded")

@@ -81,6 +81,33 @@ def test_pieces_equal_the_library():
     assert pieces.decode_ids(broken, np.array([0, 5]), PIECES) == ["\x02�"]
 
 
+def test_blank_sign_in_texts():
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rnd = random.Random(6)
+    texts = ["▁", "▁▁", " ▁", "▁ ", "a▁b", "a ▁ b", "▁a", "a▁", "\n▁", "▁\n ▁", "é▁日▁ ", "▁▁▁▁▁▁▁▁▁"] + [
+        "".join(rnd.choice("aeinst ▁▁ .\né日") for _ in range(rnd.randint(1, 60))) for _ in range(6000)]
+    units = pieces.Units(pieces.model_at(PIECES))
+    for some in (texts[:3000], texts[3000:]):
+        values, starts = pieces.encode_texts(some, PIECES, units)
+        for i, t in enumerate(some):
+            assert values[starts[i] : starts[i + 1]].tolist() == library.encode(t), t
+        assert pieces.decode_ids(values, starts, PIECES) == [t.replace("▁", " ") for t in some]
+
+
+def test_nothing_is_kept_beyond_a_task(spark):
+    """What a worker holds between tasks does not grow with the texts it has met."""
+    docs = spark.range(4000).selectExpr("id", "concat_ws(' ', sha2(cast(id as string), 256), sha2(cast(-id as string), 512)) as text")
+    assert pieces.encode(docs, PIECES).count() == 4000
+
+    def held(_):
+        import sys
+
+        kept = getattr(sys, "_assayline_kept", {}).get("pieces", {})
+        yield max([0, *(len(x) if isinstance(x, dict) else 0 for x in kept.values())])
+
+    assert max(spark.sparkContext.parallelize(range(8), 8).mapPartitions(held).collect()) == 0
+
+
 def test_piece_frames(spark):
     df = spark.createDataFrame([(1, "a b", "k"), (2, None, None), (3, "", "k"), (3, "", "k")], "doc_id int, text string, `pieces x` string")
     done = pieces.decode(pieces.encode(df, PIECES), PIECES)
