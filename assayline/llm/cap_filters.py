@@ -2,16 +2,15 @@
 
 Filter directions are a structured random product code: a rotated vector is cut into two blocks, each block has a random
 code of `b` directions, and every pair (i, j) of them is one of b * b filters. A vector is list-decoded to all filters
-whose summed inner product exceeds a threshold, about `MEAN_LIST` of them. `CODES` such codes, each turned another way, make
-up for vectors that one code treats badly: of pairs at cosine 0.98 exactly, in 64 dimensions, one code misses about 3 in
-100 and two together about 1 in 1,000; of nearer pairs fewer. Vectors of a label are joined on filters and verified by
-cosine in double precision. `b` follows the square root of the number of vectors, so that a filter holds tens of them at
-any size.
+whose summed inner product exceeds a threshold, about `list_length(b)` of them. `CODES` such codes, each turned another way,
+make up for vectors that one code treats badly. Vectors of a label are joined on filters and verified by cosine in double
+precision. `b` follows the square root of the number of vectors, so that a filter holds tens of them at any size, and the
+lists grow with `b` so that the share of pairs without a common filter stays the same: in 64 dimensions, of pairs at cosine
+0.98 exactly, one code misses about one in ten at any size, and all six together about 1 in a million; of nearer pairs fewer.
 
-What the filters miss is completed exactly. A vector that exceeds some filter by so much that all vectors within the limit
-exceed it too has all its links there. A link is missed only if neither end is such a vector, so all others of a label are
-compared with each other, in blocks of `BLOCK`, and the links of pairs without a common filter are added. So no link is
-lost at any size; the price is that this part grows with the square of a label's distinct vectors.
+`complete=True` adds the links that no filter holds, exactly: vectors that exceed no filter by so much that all vectors within
+the limit exceed it too are compared with each other, in blocks of `BLOCK`. That part grows with the square of a label's distinct
+vectors and finds, for most tables, nothing.
 
 Equal vectors of a label are one node with a weight. Pairs never leave a task: a bucket gives one count of links per node
 (a link is counted in the smallest filter that both share, so once) and edges from each node to the least node it is
@@ -20,7 +19,8 @@ own, so a hot bucket is spread over tasks and is still compared as a whole.
 
 Vectors that are null, zero, or hold null or non-finite components, and vectors without a label, are linked with nothing.
 Vectors of different lengths are not compared. Rows that repeat an id are separate vectors; the component's name is the
-smallest id in it.
+smallest id in it. Pairs whose cosine rounds to the limit are linked if the double is not below it. An empty table gives no
+rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ from assayline.session import settle
 
 #: Fixed value of the contract.
 COSINE = 0.98
-CODES = 2
-MEAN_LIST = 20
+CODES = 6
+#: Mean length of a vector's list of filters for 32 directions a block, and how it grows with more.
+MEAN_LIST, GROWTH = 8, 0.25
 PART = 512
 #: Vectors of a block of the completion, and how many of them are compared with another block at once.
 BLOCK = 2048
@@ -49,6 +50,10 @@ NODE = "uid long, label long, dim int, w long, vec binary"
 WORK = "label long, dim int, filter int, node long, w long, vec binary, filters binary, open boolean"
 
 
+def list_length(side: int) -> float:
+    return MEAN_LIST * max(1.0, side / 32) ** GROWTH
+
+
 class ProductCode:
     """The filters for vectors of one length; the same on all workers."""
 
@@ -60,10 +65,18 @@ class ProductCode:
         for size in (self.cut, dim - self.cut):
             c = rng.standard_normal((side, max(size, 1)))
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-        probe = rng.standard_normal((max(8, min(400, 40_000_000 // side**2)), dim))
-        a, b = self.scores(probe / np.linalg.norm(probe, axis=1, keepdims=True))
-        sums = np.concatenate([(x[:, None] + y[None, :]).ravel() for x, y in zip(a[:200], b[:200], strict=True)])
-        self.least = float(np.quantile(sums, max(0.0, 1 - MEAN_LIST / side**2)))
+        probe = rng.standard_normal((100, dim))
+        self.least = self.threshold(probe / np.linalg.norm(probe, axis=1, keepdims=True), list_length(side))
+
+    def threshold(self, probe: np.ndarray, wanted: float) -> float:
+        """What `wanted` filters exceed on average, found by halving; no table of all filters is made."""
+        left, right = (np.sort(x, axis=1) for x in self.scores(probe))
+        low, high = -2.0, 2.0
+        for _ in range(30):
+            middle = (low + high) / 2
+            above = sum(len(b) * len(a) - np.searchsorted(b, middle - a).sum() for a, b in zip(left, right, strict=True))
+            low, high = (middle, high) if above > wanted * len(probe) else (low, middle)
+        return high
 
     def scores(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         turned = unit @ self.turn
@@ -80,7 +93,6 @@ class ProductCode:
             out.append((found if len(found) else np.array([a.argmax() * self.side + b.argmax()])).astype(np.int32))
         return out
 
-
     def is_open(self, unit: np.ndarray, cosine: float) -> np.ndarray:
         """Whether no filter is sure to hold all vectors within `cosine` of a vector, so that links may be missed."""
         a, b = self.scores(unit)
@@ -102,7 +114,7 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen += batch.num_rows
 
 
-def decoded_rows(side: int, kind: str, cosine: float):
+def decoded_rows(side: int, kind: str, cosine: float, complete: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, list[ProductCode]] = {}
         for big in batches:
@@ -120,7 +132,8 @@ def decoded_rows(side: int, kind: str, cosine: float):
                              for x in zip(*(c.decode(unit) for c in codes[dim]), strict=True)]
                     sizes = np.array([len(x) for x in lists])
                     first = np.zeros(sizes.sum(), bool)
-                    first[np.cumsum(sizes) - sizes] = np.logical_and.reduce([c.is_open(unit, cosine) for c in codes[dim]])
+                    if complete:
+                        first[np.cumsum(sizes) - sizes] = np.logical_and.reduce([c.is_open(unit, cosine) for c in codes[dim]])
                     pick = pa.array(np.repeat(at, sizes))
                     own_bytes = pa.array([u.tobytes() for u in raw], pa.binary())
                     every = pa.array([x.tobytes() for x in lists], pa.binary())
@@ -250,7 +263,7 @@ def completed_rows(kind: str, cosine: float):
     return run
 
 
-def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def embedding_links(vectors: DataFrame, cosine: float = COSINE, complete: bool = False) -> DataFrame:
     """Per row of `vectors` (vec_id, embedding, label): vec_id, n_links, component_id."""
     vectors = shelved(vectors, ("vec_id", "embedding", "label"))[0]
     raw = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -263,24 +276,28 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     nodes = rows.join(classes, rows["uid"] == classes["node"]).select("node", "label", "w", "embedding", F.size("embedding").alias("dim"))
     side = int(np.clip(np.ceil(np.sqrt(classes.count()) / 4), 32, 4096))
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"  # what the column holds, no less
-    work = nodes.select("node", "label", "dim", "w", "embedding").mapInArrow(decoded_rows(side, kind, cosine), WORK)
+    work = nodes.select("node", "label", "dim", "w", "embedding").mapInArrow(decoded_rows(side, kind, cosine, complete), WORK)
     work = settle(work, "filters")
     bucket = ["label", "dim", "filter"]
-    loose = work.where("open").select("label", "dim", "node", "w", "vec", "filters")
+    loose = work.where("open").select("label", "dim", "node", "w", "vec", "filters") if complete else None
     work = work.drop("open")
     sizes = work.groupBy(*bucket).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     parts = sizes.select(*bucket, F.ceil(F.col("c") / PART).cast("int").alias("s"))
     found = in_parts(work, bucket, parts, "node").mapInArrow(linked_rows(kind, cosine), "node long, links long, least long")
-    blocks = loose.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    blocks = blocks.select("label", "dim", F.ceil(F.col("c") / BLOCK).cast("int").alias("s"))
-    missed = in_parts(loose, ["label", "dim"], blocks, "node").mapInArrow(completed_rows(kind, cosine), "node long, links long, least long")
-    found = settle(found.unionByName(missed), "links")
+    if loose is not None:
+        blocks = loose.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        blocks = blocks.select("label", "dim", F.ceil(F.col("c") / BLOCK).cast("int").alias("s"))
+        missed = in_parts(loose, ["label", "dim"], blocks, "node").mapInArrow(completed_rows(kind, cosine), "node long, links long, least long")
+        found = found.unionByName(missed)
+    found = settle(found, "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = settle(components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()), "components")
-    named = rows.select("uid", "vec_id").join(keyed, "uid", "left").join(classes, ["k1", "k2"], "left")
-    named = named.withColumn("node", F.coalesce("node", "uid")).join(counts, "node", "left").join(joined, "node", "left")
-    named = settle(named.select(
+    # Rows that link with nothing have no key and stay out of the joins.
+    linkable = rows.select("uid", "vec_id").join(keyed, "uid").join(classes, ["k1", "k2"])
+    linkable = linkable.join(counts, "node", "left").join(joined, "node", "left")
+    alone = rows.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.col("uid").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    named = settle(linkable.select(
         "vec_id", F.coalesce("component", "node").alias("component"),
-        (F.coalesce("w", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")), "named")
+        (F.col("w") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")).unionByName(alone), "named")
     least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     return named.join(least, "component").select("vec_id", "n_links", "component_id")

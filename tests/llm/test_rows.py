@@ -16,8 +16,8 @@ from assayline.llm import cap_filters, language, queries, secrets, sharding, url
 FOLDER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("part", [8, 512])
-def test_embedding_links_equal_plain_version(spark, part, monkeypatch):
+@pytest.mark.parametrize(("part", "complete"), [(8, False), (512, False), (512, True)])
+def test_embedding_links_equal_plain_version(spark, part, complete, monkeypatch):
     monkeypatch.setattr(cap_filters, "PART", part)
     rng = np.random.default_rng(part)
     rows = []
@@ -43,11 +43,31 @@ def test_embedding_links_equal_plain_version(spark, part, monkeypatch):
     for k, c in comp.items():
         least[c] = min(least.get(c, 10**9), rows[k][0])
     want = sorted((rows[k][0], sum(k in x for x in links), least[c]) for k, c in comp.items())
-    got = cap_filters.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    got = cap_filters.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), complete=complete)
     assert sorted(map(tuple, got.collect())) == want
     assert cap_filters.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("side", [32, 128, 400, 1000])
+def test_recall_does_not_depend_on_size(side):
+    """Pairs at the limit without a common filter: about one in ten a code, at any number of directions."""
+    rng, n = np.random.default_rng(side), 1500
+    x = cap_filters.unit_rows(rng.standard_normal((n, 64)))
+    other = rng.standard_normal((n, 64))
+    other = cap_filters.unit_rows(other - (other * x).sum(1, keepdims=True) * x)
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * other
+    rates, all_miss, lengths = [], np.ones(n, bool), []
+    for k in range(cap_filters.CODES):
+        code = cap_filters.ProductCode(64, side, k)
+        a, b = code.decode(x), code.decode(y)
+        miss = np.array([not set(p.tolist()) & set(q.tolist()) for p, q in zip(a, b, strict=True)])
+        rates.append(miss.mean())
+        all_miss &= miss
+        lengths.append(np.mean([len(p) for p in a]))
+    assert np.prod(rates) <= 2e-5 and not all_miss.any()
+    assert 0.6 <= np.mean(lengths) / cap_filters.list_length(side) <= 1.6
+
+
 def test_recall_of_cap_filters():
     codes, rng = [cap_filters.ProductCode(64, 60, k) for k in range(cap_filters.CODES)], np.random.default_rng(3)
     x = cap_filters.unit_rows(rng.standard_normal((2000, 64)))
