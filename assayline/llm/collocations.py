@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayline.llm import quotient
-from assayline.llm.common import as_bytes, shelved, shuffle_parts, slices
+from assayline.llm.common import as_bytes, give_back, shelved, shuffle_parts, slices
 from assayline.llm.quotient import Counts, U
 from assayline.session import discard, settle
 
@@ -44,7 +44,7 @@ LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 NO_LANGUAGE = "und"
 #: Bits of a word's number in its chunk, and what closes a chunk: words in its dictionary, or words read.
 LOCAL_BITS = 19
-CHUNK_VOCABULARY, CHUNK_WORDS = 1 << 18, 1 << 20
+CHUNK_VOCABULARY, CHUNK_WORDS = 1 << 18, 3 << 18
 #: Bytes of text read at once, keys that wait before they are counted, and the first bits by which a chunk's filter is cut.
 BLOCK, WAITING, CUT = 1 << 19, 1 << 18, 3
 #: Size of the bitmap of frequent words.
@@ -109,6 +109,8 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
                 yield from rows(counts)
                 counts = {}
         yield from rows(counts)
+        counts.clear()
+        give_back()
 
     counted = docs.mapInArrow(run, "lang string, word string, f long")
     return counted.groupBy("lang", "word").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("word").isNull())
@@ -219,7 +221,10 @@ def count_chunks(docs: DataFrame, longest: int, often: np.ndarray) -> DataFrame:
             if chunk.full():
                 yield from chunk.rows()
                 chunk = Chunk(chunk.number + 1, longest, sent.value)
+                give_back()
         yield from chunk.rows()
+        del chunk, before
+        give_back()
 
     return docs.mapInArrow(run, _COUNTED)
 
@@ -266,10 +271,12 @@ def repacked(grams: DataFrame, ids: DataFrame, bits: int, ranges: int) -> DataFr
             for n, part, raw, ids in zip(batch.column("n").to_pylist(), batch.column("part").to_pylist(), batch.column("grams"), batch.column("ids"), strict=True):
                 of = held.setdefault(n, [])
                 of.append(renumbered(Counts.from_bytes(raw.as_buffer()), part, ids.values.to_numpy(), n, bits))
-                if sum(map(len, of)) >= 2 * WAITING:
+                if sum(map(len, of)) >= WAITING:
                     yield rows(n, held.pop(n))
         for n, of in held.items():
             yield rows(n, of)
+        held.clear()
+        give_back()
 
     return grams.join(ids, "chunk").select("n", "part", "grams", "ids").mapInArrow(run, "n int, part long, grams binary")
 
@@ -299,10 +306,12 @@ def merged_phrases(parts: DataFrame, bits: int, ranges: int, least: int) -> Data
                     key, held, fresh = (n, part), [], 0
                 held.append(Counts.from_bytes(raw.as_py()))
                 fresh += len(held[-1])
-                if fresh >= 2 * WAITING and fresh > len(held[0]):  # as many new keys as old ones: merging stays linear
+                if fresh >= WAITING and fresh > len(held[0]):  # as many new keys as old ones: merging stays linear
                     held, fresh = [Counts.merged(held)], 0
         if held:
             yield rows_of(key, held)
+        held.clear()
+        give_back()
 
     return parts.repartition("n", "part").sortWithinPartitions("n", "part").mapInArrow(run, "ids array<long>, f long")
 

@@ -109,18 +109,21 @@ class Counts:
         if not len(left):
             return cls(left, right, count.astype(np.int64), a, b)
         if a + b <= 64:  # one number orders like both halves
-            one = left << U(b) | right if b else left
-            order = np.argsort(one, kind="stable")
-            one = one[order]
-            new = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
-            one = one[new]
-            left, right = (one >> U(b), one & masked(b)) if b else (one, np.zeros_like(one))
-        else:
-            order = np.lexsort((right, left))
-            left, right = left[order], right[order]
-            new = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
-            left, right = left[new], right[new]
-        return cls(left, right, np.add.reduceat(count[order].astype(np.int64), new), a, b)
+            return cls._of_one(left << U(b) | right if b else left, count, a, b)
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        new = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+        return cls(left[new], right[new], np.add.reduceat(count[order].astype(np.int64), new), a, b)
+
+    @classmethod
+    def _of_one(cls, one: np.ndarray, count: np.ndarray, a: int, b: int) -> Counts:
+        """From keys as one number each."""
+        order = np.argsort(one, kind="stable")
+        one, count = one[order], count[order].astype(np.int64, copy=False)
+        del order
+        new = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+        one, count = one[new], np.add.reduceat(count, new)
+        return cls(one >> U(b) if b else one, one & masked(b), count, a, b)
 
     @classmethod
     def of_each(cls, left: np.ndarray, right: np.ndarray, a: int, b: int) -> Counts:
@@ -134,8 +137,14 @@ class Counts:
 
     @classmethod
     def merged(cls, parts: list[Counts]) -> Counts:
-        left, right, count = (np.concatenate([getattr(p, x) for p in parts]) for x in ("left", "right", "count"))
-        return cls.of(left, right, count, parts[0].a, parts[0].b)
+        a, b = parts[0].a, parts[0].b
+        parts = [p for p in parts if len(p)] or parts[:1]
+        if len(parts) == 1:
+            return parts[0]
+        count = np.concatenate([p.count for p in parts])
+        if a + b <= 64:
+            return cls._of_one(np.concatenate([p.left << U(b) | p.right if b else p.left for p in parts]), count, a, b)
+        return cls.of(*(np.concatenate([getattr(p, x) for p in parts]) for x in ("left", "right")), count, a, b)
 
     def ranges(self, bits: int) -> list[tuple[int, Counts]]:
         """(number, part) for each of the 2**bits ranges of quotients that has keys; a part's keys lose these first bits."""
