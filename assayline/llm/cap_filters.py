@@ -6,7 +6,7 @@ whose summed inner product exceeds a threshold, about `list_length(b)` of them.
 make up for vectors that one code treats badly. Vectors of a label are joined on filters and verified by cosine in double
 precision. `b` follows the square root of the number of vectors, so that a filter holds tens of them at any size, and the
 lists grow with `b` so that the share of pairs without a common filter stays the same: in 64 dimensions, of pairs at cosine
-0.98 exactly, one code misses about one in ten at any size, and all six together about 1 in a million; of nearer pairs fewer.
+0.98 exactly, one code misses about one in ten at any size, and all five together about 1 in 100,000; of nearer pairs fewer.
 
 `complete=True` adds the links that no filter holds, exactly: vectors that exceed no filter by so much that all vectors within
 the limit exceed it too are compared with each other, in blocks of `BLOCK`. That part grows with the square of a label's distinct
@@ -39,7 +39,7 @@ from assayline.session import settle
 
 #: Fixed value of the contract.
 COSINE = 0.98
-CODES = 6
+CODES = 5
 #: Mean length of a vector's list of filters for 32 directions a block, and how it grows with more.
 MEAN_LIST, GROWTH = 8, 0.25
 PART = 512
@@ -136,11 +136,12 @@ def decoded_rows(side: int, kind: str, cosine: float, complete: bool):
                         first[np.cumsum(sizes) - sizes] = np.logical_and.reduce([c.is_open(unit, cosine) for c in codes[dim]])
                     pick = pa.array(np.repeat(at, sizes))
                     own_bytes = pa.array([u.tobytes() for u in raw], pa.binary())
-                    every = pa.array([x.tobytes() for x in lists], pa.binary())
+                    # A row needs the filters below its own; the completion all of them.
+                    below = [x.tobytes() if complete else x[:k].tobytes() for x in lists for k in range(len(x))]
                     own = pa.array(np.repeat(np.arange(len(at)), sizes))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("label").take(pick), batch.column("dim").take(pick), pa.array(np.concatenate(lists)),
-                         batch.column("node").take(pick), batch.column("w").take(pick), own_bytes.take(own), every.take(own), pa.array(first)],
+                         batch.column("node").take(pick), batch.column("w").take(pick), own_bytes.take(own), pa.array(below, pa.binary()), pa.array(first)],
                         names=["label", "dim", "filter", "node", "w", "vec", "filters", "open"])
 
     return run
@@ -174,17 +175,15 @@ def bucket_links(filt: int, one_part: bool, side: np.ndarray, node: np.ndarray,
         return None
     some = linked.any(1)
     node, w, linked = node[some], w[some], linked[np.ix_(some, some)]
-    smaller = [x[x < filt] for x, s in zip((np.frombuffer(b, np.int32) for b in lists), some, strict=True) if s]
-    names, inverse = np.unique(np.concatenate(smaller), return_inverse=True)
-    counted = linked
-    if len(names):
-        has = np.zeros((len(node), len(names)), np.float32)
-        has[np.repeat(np.arange(len(node)), [len(x) for x in smaller]), inverse] = 1
-        counted = linked & (has @ has.T == 0)
+    smaller = [(x := np.frombuffer(b, np.int32))[x < filt].tobytes() for b, s in zip(lists, some, strict=True) if s]
+    x, y = np.nonzero(np.triu(linked))
+    first = without_common(smaller, x, y)
+    x, y = x[first], y[first]
+    links = np.bincount(x, w[y], len(node)).astype(np.int64) + np.bincount(y, w[x], len(node)).astype(np.int64)
     order = np.argsort(node)
     least = np.empty(len(node), np.int64)
     least[order] = node[order][local_components(linked[np.ix_(order, order)])]
-    return node, counted @ w, least
+    return node, links, least
 
 
 def linked_rows(kind: str, cosine: float):
@@ -209,6 +208,8 @@ def without_common(filters: list[bytes], a: np.ndarray, b: np.ndarray) -> np.nda
     lists = [np.frombuffer(x, np.int32) for x in filters]
     sizes = np.array([len(x) for x in lists])
     starts, every = np.cumsum(sizes) - sizes, np.concatenate(lists).astype(np.int64)
+    if not len(every):
+        return np.arange(len(a))
     known = np.sort(np.repeat(np.arange(len(lists)), sizes) << 32 | every)
     left, k = np.arange(len(a)), 0
     alone = []

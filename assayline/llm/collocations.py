@@ -36,8 +36,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayline.llm import quotient
-from assayline.llm.common import as_bytes, give_back, shelved, shuffle_parts, slices
-from assayline.llm.quotient import Counts, U
+from assayline.llm.common import as_bytes, give_back, rows_per_batch, shelved, shuffle_parts, slices
+from assayline.llm.quotient import Counts, Pile, U
 from assayline.session import discard, settle
 
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
@@ -47,6 +47,10 @@ LOCAL_BITS = 19
 CHUNK_VOCABULARY, CHUNK_WORDS = 1 << 18, 3 << 18
 #: Bytes of text read at once, keys that wait before they are counted, and the first bits by which a chunk's filter is cut.
 BLOCK, WAITING, CUT = 1 << 19, 1 << 18, 3
+#: A range is merged in 2^PILED parts.
+PILED = 4
+#: Texts and filters that are sent to Python at once.
+TEXTS, FILTERS = 1000, 16
 #: Size of the bitmap of frequent words.
 BITS_PER_WORD, MOST_BITS = 16, 1 << 26
 #: Ranges of quotients for each shuffle partition, and parts in which a language's phrases are ranked first.
@@ -284,33 +288,26 @@ def repacked(grams: DataFrame, ids: DataFrame, bits: int, ranges: int) -> DataFr
 def merged_phrases(parts: DataFrame, bits: int, ranges: int, least: int) -> DataFrame:
     """(ids array<long>, f): phrases with f >= least, from the filters of all chunks, merged range by range."""
 
-    def rows_of(key: tuple[int, int], held: list[Counts]) -> pa.RecordBatch:
-        n, part = key
-        a, b = quotient.halves(bits * n)
-        known = min(ranges, a)
-        counts = Counts.merged(held)
-        often = counts.count >= least
-        left = counts.left[often] | (U(part) << U(a - known))
-        ids = quotient.unpacked(*quotient.restore(left, counts.right[often], bits * n), bits, n)
-        flat = np.stack(ids, axis=1).reshape(-1)
-        starts = np.arange(0, len(flat) + 1, n, dtype=np.int32)
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)), pa.array(counts.count[often])], names=["ids", "f"])
+    def rows_of(key: tuple[int, int], held: Pile) -> Iterator[pa.RecordBatch]:
+        for counts in held.merged():
+            n, part = key
+            a = quotient.halves(bits * n)[0]
+            often = counts.count >= least
+            left = counts.left[often] | (U(part) << U(a - min(ranges, a)))
+            ids = quotient.unpacked(*quotient.restore(left, counts.right[often], bits * n), bits, n)
+            flat = np.stack(ids, axis=1).reshape(-1)
+            starts = np.arange(0, len(flat) + 1, n, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)), pa.array(counts.count[often])], names=["ids", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, fresh = None, [], 0
+        key, held = None, Pile(PILED)
         for batch in batches:
             for n, part, raw in zip(batch.column("n").to_pylist(), batch.column("part").to_pylist(), batch.column("grams"), strict=True):
                 if (n, part) != key:
-                    if held:
-                        yield rows_of(key, held)
-                    key, held, fresh = (n, part), [], 0
-                held.append(Counts.from_bytes(raw.as_py()))
-                fresh += len(held[-1])
-                if fresh >= WAITING and fresh > len(held[0]):  # as many new keys as old ones: merging stays linear
-                    held, fresh = [Counts.merged(held)], 0
-        if held:
-            yield rows_of(key, held)
-        held.clear()
+                    yield from rows_of(key, held)
+                    key, held = (n, part), Pile(PILED)
+                held.add(Counts.from_bytes(raw.as_buffer()))
+        yield from rows_of(key, held)
         give_back()
 
     return parts.repartition("n", "part").sortWithinPartitions("n", "part").mapInArrow(run, "ids array<long>, f long")
@@ -364,20 +361,25 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sh
     if not 2 <= longest <= 126 // LOCAL_BITS:
         raise ValueError(f"longest must be from 2 to {126 // LOCAL_BITS}")
     docs = shelved(docs, ("lang", "text"))[0].select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
-    counted = settle(word_counts(docs, least), "counts")
+    spark = docs.sparkSession
+    with rows_per_batch(spark, TEXTS):
+        counted = settle(word_counts(docs, least), "counts")
     words, size = numbered(counted.where("word IS NOT NULL"), "id")
     tongues = numbered(words.select("lang").distinct(), "tongue")[0]
     bits = max(1, (size - 1).bit_length())
     if bits * longest > 126:
         raise ValueError(f"{size} frequent words are too many for phrases of {longest} words")
     ranges = max(1, RANGES * shuffle_parts(docs) - 1).bit_length()
-    chunks = settle(count_chunks(docs, longest, bitmap(words, size)), "chunks")
+    often = bitmap(words, size)
+    with rows_per_batch(spark, TEXTS):
+        chunks = settle(count_chunks(docs, longest, often), "chunks")
     name = F.shiftleft(F.col("id"), LOCAL_BITS).bitwiseOR(F.col("lid").cast("long"))
     local = chunks.where("n = 1").select("chunk", "lid", "lang", "word")
     ids = local.join(words.select("lang", "word", "id").hint("shuffle_hash"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(name).alias("ids"))
     grams = chunks.where("n > 1").select("chunk", "n", "part", "grams")
     merged = merged_phrases(repacked(grams, ids, bits, ranges), bits, ranges, least)
-    phrases = settle(merged.withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+    with rows_per_batch(spark, FILTERS):
+        phrases = settle(merged.withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     discard(chunks)
 
     of_words = words.join(tongues, "lang").select("id", "tongue", "f")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import ctypes
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +83,18 @@ def give_back() -> None:
         trim(0)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written meanwhile sends so many rows at a time to Python: for rows that are large themselves."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, at least 2 (0 and 1 are padding); forgets all words when there are too many."""
 

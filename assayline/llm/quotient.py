@@ -10,6 +10,7 @@ a range of quotients of many filters can be merged without looking at the rest.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -193,3 +194,30 @@ class Counts:
         count = np.frombuffer(take(n), np.uint8).astype(np.int64)
         count[count == 255] = np.frombuffer(take(8 * int((count == 255).sum())), "<i8")
         return cls(quotient << U(bits) | rest if bits < 64 else rest, right, count, a, b)
+
+
+class Pile:
+    """Filters of one range that wait to be merged, cut into 2**cut smaller ranges: nine bytes a key or so, not decoded ones."""
+
+    def __init__(self, cut: int) -> None:
+        self.cut, self.parts = cut, {}
+        self.a = self.b = 0
+
+    def add(self, counts: Counts) -> None:
+        self.a, self.b = counts.a, counts.b
+        for k, part in counts.ranges(min(self.cut, counts.a)):
+            small = part.count.astype(np.min_scalar_type(int(part.count.max())))
+            keys = (part.left << U(part.b) | part.right if part.b else part.left,) if part.a + part.b <= 64 else (part.left, part.right)
+            self.parts.setdefault(k, []).append((keys, small))
+
+    def merged(self) -> Iterator[Counts]:
+        """The sums, one smaller range after the other; each is forgotten as it is given."""
+        cut = min(self.cut, self.a)
+        a, b = self.a - cut, self.b
+        for k in sorted(self.parts):
+            held = self.parts.pop(k)
+            count = np.concatenate([c.astype(np.int64) for _, c in held])
+            keys = [np.concatenate(x) for x in zip(*(x for x, _ in held), strict=True)]
+            del held
+            sums = Counts._of_one(keys[0], count, a, b) if len(keys) == 1 else Counts.of(*keys, count, a, b)
+            yield Counts(sums.left | (U(k) << U(a) if a < 64 else U(0)), sums.right, sums.count, self.a, b)
