@@ -37,6 +37,7 @@ def with_lineage(scan: DataFrame, shards: DataFrame, root: str, steps: Iterable[
     manifest does not list, or not without doubt, stay, with NULL revision and hash. Columns of `scan` that are called
     `lineage` are replaced, all others are carried along.
     """
+    shards = shards if "path" in shards.columns else shards.withColumn("path", F.col("file"))
     meant = match_paths(shards, scanned_paths(scan)).where(F.col("found").isNotNull())
     known = meant.join(shards, meant["wanted"] == shards["path"]).groupBy(F.col("found").alias("_path")).agg(
         F.min(F.struct("file", "revision", "expected_sha256")).alias("_shard"))

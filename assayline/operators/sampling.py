@@ -119,6 +119,15 @@ def stratum_sizes(sample: DataFrame, stratum: str = "modern") -> DataFrame:
     return sample.groupBy(stratum).agg(F.count("*").alias("rows"))
 
 
+def with_strata(rows: DataFrame) -> DataFrame:
+    """The stratum of a sampled row's year, and the group of its court."""
+    year = F.col("year").cast("int")
+    return rows.withColumns({
+        "stratum": F.when(in_years(year, MODERN_YEARS), MODERN).when(in_years(year, MIDDLE_YEARS), MIDDLE).otherwise(OLD),
+        "court_group": court_group(F.col("court")),
+    })
+
+
 def stratified_sample(df: DataFrame, id_column: str = "id") -> DataFrame:
     """A fixed number per modern year and per middle year, and a fixed number of all older rows, tagged by stratum.
 
@@ -129,11 +138,7 @@ def stratified_sample(df: DataFrame, id_column: str = "id") -> DataFrame:
     def pick(df: DataFrame) -> DataFrame:
         rows = df.where(F.col("year") <= MODERN_YEARS[1]).withColumn(
             "_group", F.when(year < MIDDLE_YEARS[0], 0).otherwise(year))
-        return ranked_sample(rows, "_group", limits, id_column).drop("_group", "_rn").withColumns({
-            "stratum": F.when(in_years(year, MODERN_YEARS), MODERN).when(in_years(year, MIDDLE_YEARS), MIDDLE)
-            .otherwise(OLD),
-            "court_group": court_group(F.col("court")),
-        })
+        return with_strata(ranked_sample(rows, "_group", limits, id_column).drop("_group", "_rn"))
 
     limits = {0: OLD_TOTAL}
     limits |= {y: MIDDLE_PER_YEAR for y in range(MIDDLE_YEARS[0], MIDDLE_YEARS[1] + 1)}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from assayline.functions.predicates import project_present
 from assayline.functions.text import rate, text_windows
 from assayline.operators import coverage, duplicates, gates, landing, matching, profile, sampling, screening
-from assayline.operators import verification
+from assayline.operators import state, verification
 from assayline.plans.tables import Tables
 from assayline.sources import files
 from assayline.sources.identity import AMBIGUOUS
@@ -78,13 +78,7 @@ def profile_shard(df: DataFrame) -> Tables:
     return out
 
 
-def full_audit(df: DataFrame, source_name: str | None = None) -> Tables:
-    """Structure, quality and coverage from one text scan, duplicates from narrow scans, two samples.
-
-    The cube is small (one row per year and court); it is written once for the tables cut from it.
-    """
-    out = Tables()
-    cube = out.shared(lambda: profile.audit_cube(df, source_name), "cube")
+def _cube_tables(out: Tables, cube: Callable[[], DataFrame]) -> None:
     out.add("cube", cube)
     out.add("totals", lambda: profile.cube_slice(cube(), False, False).drop("year", "court"))
     out.add("by_year", lambda: profile.cube_slice(cube(), True, False).select(
@@ -94,6 +88,16 @@ def full_audit(df: DataFrame, source_name: str | None = None) -> Tables:
         "court", F.col("rows").alias("decisions"), F.col("lt_300_chars").alias("lt_300")))
     out.add("by_year_court", lambda: profile.cube_slice(cube(), True, True).select(
         "year", "court", F.col("rows").alias("decisions"), "median_chars", F.col("lt_300_chars").alias("lt_300")))
+
+
+def full_audit(df: DataFrame, source_name: str | None = None) -> Tables:
+    """Structure, quality and coverage from one text scan, duplicates from narrow scans, two samples.
+
+    The cube is small (one row per year and court); it is written once for the tables cut from it.
+    """
+    out = Tables()
+    cube = out.shared(lambda: profile.audit_cube(df, source_name), "cube")
+    _cube_tables(out, cube)
     out.add("duplicates", lambda: duplicates.column_excess(df, ("id", "document_id", "raw_sha256")))
     out.add("key_excess", lambda: duplicates.key_dup_excess(df))
     out.add("suspicious", lambda: sampling.suspicious_top(df))
@@ -101,6 +105,21 @@ def full_audit(df: DataFrame, source_name: str | None = None) -> Tables:
     return out
 
 
+def audit_from_state(kept: state.State) -> Tables:
+    """The tables of `full_audit` from the state of its batches alone (`state.load_state`), no row of the corpus being read.
+
+    Quantiles and distinct values are exact up to the sizes that `state` names, and within its errors beyond.
+    """
+    out = Tables()
+    _cube_tables(out, out.shared(lambda: state.state_cube(kept), "cube"))
+    excess = out.shared(lambda: state.state_excess(kept), "excess")
+    out.add("duplicates", lambda: excess().where(F.col("column") != state.KEY))
+    out.add("key_excess", lambda: excess().where(F.col("column") == state.KEY).select("excess", "distinct_error"))
+    out.add("suspicious", lambda: kept["suspicious"])
+    out.add("verification_sample", lambda: sampling.with_strata(kept["sample"]))
+    return out
+
+
 def coverage_audit(df: DataFrame) -> Tables:
     return Tables(
         by_year=lambda: df.groupBy("year").agg(F.count("*").alias("decisions")),
@@ -242,7 +261,7 @@ def acceptance(spark: SparkSession, metrics: DataFrame, soft: tuple[str, ...] =
 
 AUDITS: dict[str, Callable[..., object]] = {
     f.__name__: f for f in (
-        verify_source, file_integrity, profile_shard, full_audit, coverage_audit, gap_audit, pii_audit,
+        verify_source, file_integrity, profile_shard, full_audit, audit_from_state, coverage_audit, gap_audit, pii_audit,
         contextual_audit, entity_audit, cross_source_audit, reconcile, verify_texts, probe_suspicious,
         coverage_vs_reference_totals, delta_page_audit, acceptance,
     )

@@ -13,7 +13,7 @@ from assayline.functions.dates import iso_date
 from assayline.functions.html import html_to_text
 from assayline.functions.similarity import jaro_winkler, sequence_ratio
 from assayline.operators import coverage, delta, duplicates, landing, lineage, matching, near, profile, sampling, screening
-from assayline.operators import verification
+from assayline.operators import state, verification
 from assayline.plans import audits
 from assayline.session import scratch_path, settle
 from assayline.sources import files, landed, outputs
@@ -488,6 +488,28 @@ def duplicate_audit(spark, sf_dir):
     return duplicates.duplicate_audit(corpus(spark, sf_dir))
 
 
+def _state(spark: SparkSession, sf_dir: str):
+    """The state of all documents, as it stands after a batch for each language was audited on its own."""
+    df, path = corpus(spark, sf_dir), scratch_path(spark, "state")
+    for (lang,) in sorted(table(spark, sf_dir, "documents").select("lang").distinct().collect()):
+        named = df.where(F.col("source") == (" " if lang == "es" else lang))
+        state.save_state(state.audit_state(named, "en"), path, lang)
+    return audits.audit_from_state(state.load_state(spark, path))
+
+
+@register(REGISTRY["audit_cube"][1])
+def state_cube(spark, sf_dir):
+    """The cube of all documents, merged from the states of the languages."""
+    return _state(spark, sf_dir)["cube"]
+
+
+@register(of_corpus(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS distinct_values, "
+    f"count(*) - count(DISTINCT {c}) AS excess, CAST(0 AS DOUBLE) AS distinct_error FROM corpus" for c in ("id", "document_id", "raw_sha256"))))
+def state_duplicates(spark, sf_dir):
+    return _state(spark, sf_dir)["duplicates"]
+
+
 # --- coverage ------------------------------------------------------------------------------------------------
 
 
@@ -689,6 +711,17 @@ def shortest_texts(spark, sf_dir):
     return listed.select(*[c for c in listed.columns if c != "text"], F.md5("text").alias("text_md5"))
 
 
+@register(of_corpus(f"SELECT {_LISTED}, severity FROM ({_SUSPICIOUS}) ORDER BY severity, chars, id LIMIT 1000"))
+def state_suspicious(spark, sf_dir):
+    return _state(spark, sf_dir)["suspicious"].drop("text")
+
+
+@register(of_corpus(f"SELECT id, year, court, stratum, {_GROUP}, md5(text) AS text_md5 FROM ({_STRATA})"))
+def state_sample(spark, sf_dir):
+    picked = _state(spark, sf_dir)["verification_sample"]
+    return picked.select("id", "year", "court", "stratum", "court_group", F.md5("text").alias("text_md5"))
+
+
 @register(of_corpus(f"SELECT {_LISTED}, severity FROM ({_SUSPICIOUS}) ORDER BY severity, chars, id LIMIT 1000"))
 def suspicious_top(spark, sf_dir):
     return sampling.suspicious_top(corpus(spark, sf_dir)).drop("text")
