@@ -8,9 +8,13 @@ in page order stays. Rows with NULL ids or keys are taken out before the joins,
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assayline.functions.dates import local_date
 from assayline.operators.matching import absent
@@ -48,15 +52,73 @@ def merge_delta(snapshot: DataFrame, records: DataFrame, keys: tuple[str, ...] =
     return snapshot.unionByName(new_records(snapshot, records, keys))
 
 
+def page_place() -> Column:
+    """`_order` as text that sorts in page order: pages without a start last, then start, position, and the record itself."""
+    start, position = (F.coalesce(F.col(f"_order.{c}"), F.lit(-1)).cast("bigint") + 1 for c in ("start", "position"))
+    return F.concat(F.when(F.col("_order.start").isNull(), "1").otherwise("0"), F.lpad(start.cast("string"), 19, "0"),
+                    F.lpad(position.cast("string"), 19, "0"), F.to_json(F.struct("document_id", "court", "esas_no", "karar_no", "karar_tarihi")))
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start meanwhile keep their state in RocksDB, on disk and not on the heap."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class _OncePerKey(StatefulProcessor):
+    """Remembers which values of a key were there; lets through the rows of a key that was not there before their batch.
+
+    With `first`, only the first of these rows by page order.
+    """
+
+    def __init__(self, first: bool) -> None:
+        self.first = first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "known boolean")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        self.known.update((True,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)  # the rows of one key that landed together
+        if batch.empty or self.known.exists():  # a key of the initial state alone comes without rows
+            return
+        self.known.update((True,))
+        yield batch.sort_values("page_place", kind="stable").head(1) if self.first else batch
+
+    def close(self) -> None:
+        pass
+
+
+def _once(records: DataFrame, keys: tuple[str, ...], known: DataFrame, first: bool) -> DataFrame:
+    """The streamed records whose key is in no earlier batch and not among the rows of `known`; those without a whole key all."""
+    whole = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    kept = records.where(whole).groupBy(*keys).transformWithStateInPandas(
+        _OncePerKey(first), records.schema, "Append", "None",
+        initialState=known.select(*keys).where(whole).distinct().groupBy(*keys))
+    return kept.unionByName(records.where(f"NOT ({whole})"))
+
+
 def delta_stream(spark: SparkSession, landed: str, snapshot: DataFrame, sink: str, checkpoint: str, source: str,
                  keys: tuple[str, ...] = METADATA_KEY, zone: str = "Europe/Istanbul") -> DataFrame:
     """Reads the pages landed since the last run, adds what is new to `sink` (Parquet) and returns the sink.
 
-    Each batch is checked against the snapshot and the sink by joins. It has a folder of its own in the sink, named by
+    Ids and keys that were there are remembered in the stream's own state (a RocksDB state store in `checkpoint`, cut by key
+    over the shuffle partitions), so a batch costs what its own rows cost, however much has landed before: snapshot and sink
+    are read once, when a checkpoint is new, to fill the state. Each batch has a folder of its own in the sink, named by
     `checkpoint` and its number, which a batch that is run again after a failure replaces, so nothing is added twice.
-    Pages that land together give the rows of `new_records`; of later pages, those not known by then. With a new
-    `checkpoint`, all pages come again, and rows without id and whole key are added once more.
-    `checkpoint` and `sink` must be in folders that all executors reach.
+
+    Of items that repeat an id the first one counts, in page order within a batch; if its key was there in an earlier batch
+    or the snapshot, none of them is added. Pages that land together give the rows of `new_records`. With a new
+    `checkpoint`, all pages come again, and rows without id and whole key are added once more. The schema of `sink` is that
+    of the snapshot. `checkpoint` and `sink` must be in folders that all executors reach.
     """
     mark = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     spark.createDataFrame([], snapshot.schema).write.mode("overwrite").parquet(f"{sink}/batch=none")
@@ -64,14 +126,18 @@ def delta_stream(spark: SparkSession, landed: str, snapshot: DataFrame, sink: st
     def held() -> DataFrame:
         return spark.read.schema(snapshot.schema).parquet(sink)
 
+    columns = snapshot.columns
+    records = landed_records(spark.readStream.schema(SEARCH_PAGE).json(landed), source, zone)
+    # What this checkpoint itself has written is in its state; a first batch that is run again must not find its own rows.
+    others = held().where(~F.startswith("batch", F.lit(f"{mark}-")))
+    known = snapshot.select("document_id", *keys).unionByName(others.select("document_id", *keys))
+    fresh = _once(_once(records.withColumn("page_place", page_place()).drop("_order"), ("document_id",), known, True), keys, known, False)
+
     def add(batch: DataFrame, number: int) -> None:
-        name = f"{mark}-{number}"
-        before = held().where(F.col("batch") != name)
-        known = snapshot.select("document_id", *keys).unionByName(before.select("document_id", *keys))
-        fresh = new_records(known, landed_records(batch, source, zone), keys)
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch={name}")
-
-    query = (spark.readStream.schema(SEARCH_PAGE).json(landed).writeStream.foreachBatch(add)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return held().select(*snapshot.columns)
+        batch.select(*columns).write.mode("overwrite").parquet(f"{sink}/batch={mark}-{number}")
+
+    with state_store(spark):
+        query = (fresh.writeStream.outputMode("append").foreachBatch(add)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query.awaitTermination()
+    return held().select(*columns)

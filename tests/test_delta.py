@@ -92,3 +92,30 @@ def test_text_overlap(spark):
     assert [x for x in got if x[0] in n] == [(2, 0), (3, 0), (5, 0)]
     assert [x for x in got if x[0] == 1] == [(1, 3), (1, 3)]
     assert duplicates.text_overlap(left.limit(0), right).count() == 0
+
+
+def test_a_batch_costs_what_its_own_rows_cost(spark, snapshot, tmp_path):
+    """Many landings: what is scanned for a batch is the batch; neither snapshot nor sink is read again."""
+    folder, sink, marks = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "marks")
+    folder.mkdir()
+    base = str(tmp_path / "snapshot")
+    snapshot.write.parquet(base)
+    known = spark.read.parquet(base)
+    reads = []
+    for k in range(5):
+        land(folder, [page(k, (f"n{k}", f"k{k}", f"9/{k}"), ("n0", "x", f"8/{k}"), (f"m{k}", "k0", "9/0"))], f"{k}.json")
+        out = delta.delta_stream(spark, str(folder), known, sink, marks, "s", KEYS)
+        state = sorted((tmp_path / "marks" / "state").glob("*"))
+        assert len(state) >= 2
+        reads.append(out.count())
+    # Of each landing the first item is new; the id of the second, and the key of the third, were there from the first on.
+    assert [b - a for a, b in zip(reads, reads[1:], strict=False)] == [1] * 4
+
+
+def test_a_batch_run_again_adds_nothing_twice(spark, snapshot, tmp_path):
+    folder, sink, marks = land(tmp_path / "in", PAGES), str(tmp_path / "sink"), str(tmp_path / "marks")
+    first = rows(delta.delta_stream(spark, folder, snapshot, sink, marks, "s", KEYS), "document_id", *KEYS)
+    (tmp_path / "marks" / "commits" / "0").unlink()  # lost between the write and its commit
+    for crc in (tmp_path / "marks" / "commits").glob(".0.crc"):
+        crc.unlink()
+    assert rows(delta.delta_stream(spark, folder, snapshot, sink, marks, "s", KEYS), "document_id", *KEYS) == first
