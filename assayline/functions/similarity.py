@@ -6,6 +6,8 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
@@ -113,6 +115,20 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
+def jaro_winkler_bound(a: Column, b: Column) -> Column:
+    """What the Jaro-Winkler similarity of two texts cannot pass, from built-in functions: bytes that both have, counted with
+    repeats, are the most that can match, none of them swapped, after a prefix of full weight."""
+    def of(both: Column) -> Column:
+        left, right = both["left"], both["right"]
+        shared = F.aggregate(F.array_distinct(left), F.lit(0), lambda n, x: n + F.least(
+            F.size(F.filter(left, lambda y: y == x)), F.size(F.filter(right, lambda y: y == x))))
+        jaro = (shared / F.size(left) + shared / F.size(right) + 1) / 3
+        return F.when((F.size(left) == 0) | (F.size(right) == 0) | (shared == 0), 0.0).otherwise(jaro + 0.4 * (1 - jaro))
+
+    one = F.struct(F.regexp_extract_all(F.hex(a), F.lit("(..)")).alias("left"), F.regexp_extract_all(F.hex(b), F.lit("(..)")).alias("right"))
+    return F.transform(F.array(one), of)[0]
+
+
 @pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio without the popularity heuristic; NULL if a side is NULL."""

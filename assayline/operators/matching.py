@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions.dates import dotted_date, iso_date
 from assayline.functions.predicates import all_not_null, not_castable
-from assayline.functions.similarity import jaro_winkler
+from assayline.functions.similarity import jaro_winkler, jaro_winkler_bound
 from assayline.functions.text import canonical_name, exact_name, key_number, key_year
 from assayline.operators.coverage import compare_year_counts
 from assayline.operators.duplicates import distinct_tuples
@@ -58,12 +58,16 @@ def ids_not_in(left: DataFrame, right: DataFrame) -> DataFrame:
     return absent(left, right, ("id_num",))
 
 
+def _dealt(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows with `_spread`: 0 where all keys are known, else a number of the row's own. Joined on as well, it deals rows
+    that cannot match over all tasks, which NULL keys alone would send to one; the rows are scanned once."""
+    return rows.withColumn("_spread", F.when(all_not_null(*keys), F.lit(0).cast("bigint")).otherwise(F.monotonically_increasing_id() + 1))
+
+
 def absent(rows: DataFrame, others: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Rows whose keys `others` does not have. Rows with a NULL key match nothing and skip the join, where they would
-    all meet in one task."""
-    whole = all_not_null(*keys)
-    met = rows.where(whole).join(distinct_rows(others.where(whole), *keys), list(keys), "left_anti")
-    return met.select(*rows.columns).unionByName(rows.where(~whole))
+    """Rows whose keys `others` does not have. A NULL key matches nothing."""
+    known = distinct_rows(others.where(all_not_null(*keys)), *keys).withColumn("_spread", F.lit(0).cast("bigint"))
+    return _dealt(rows, keys).join(known, [*keys, "_spread"], "left_anti").select(*rows.columns)
 
 
 def key_present(rows: DataFrame, keyed: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
@@ -92,10 +96,9 @@ def id_metrics(ext: DataFrame, cand: DataFrame) -> DataFrame:
 
 def key_metrics(ext: DataFrame, cand: DataFrame) -> DataFrame:
     """Distinct keys of both sides and the split of rows without their id, from one full join of counts per key."""
-    known = distinct_rows(cand.where(F.col("id_num").isNotNull()), "id_num").withColumn("_known", F.lit(True))
-    has_id = F.col("id_num").isNotNull()
-    flagged = ext.where(has_id).join(known, "id_num", "left").unionByName(
-        ext.where(~has_id).withColumn("_known", F.lit(None).cast("boolean")))
+    known = distinct_rows(cand.where(F.col("id_num").isNotNull()), "id_num").withColumns(
+        {"_known": F.lit(True), "_spread": F.lit(0).cast("bigint")})
+    flagged = _dealt(ext, ("id_num",)).join(known, ["id_num", "_spread"], "left")
     e = flagged.groupBy(*KEY).agg(F.count("*").alias("n_e"), F.count_if(F.col("_known").isNull()).alias("n_absent"))
     both = e.join(_per(cand, *KEY, name="n_c"), list(KEY), "full")
     n_e, n_c, zero = F.col("n_e"), F.col("n_c"), F.lit(0)
@@ -161,7 +164,8 @@ def exact_residual(ext: DataFrame, cand: DataFrame) -> DataFrame:
 
 
 def label_matches(residual: DataFrame, cand: DataFrame, require_same_number: bool = False) -> DataFrame:
-    """Per numeric key: pairs of court names with the number of row pairs behind them, and their similarity.
+    """Per numeric key: pairs of court names with the number of row pairs behind them, and their similarity (NULL for NULL names
+    and for names that cannot reach the lowest limit).
 
     Both sides are counted per (numeric key, name) first: rows that share both are one row here.
     """
@@ -176,7 +180,25 @@ def label_matches(residual: DataFrame, cand: DataFrame, require_same_number: boo
     if require_same_number:
         number = [F.regexp_extract(side, "[0-9]+", 0) for side in ("ext_canon", "cand_canon")]
         pairs = pairs.where(number[0] == number[1])
-    return pairs.withColumn("similarity", jaro_winkler("ext_canon", "cand_canon"))
+    return pairs.join(scored_names(pairs), ["ext_canon", "cand_canon"], "left")
+
+
+def scored_names(pairs: DataFrame, least: float = SIMILARITY_LIMITS[-1]) -> DataFrame:
+    """(ext_canon, cand_canon, similarity): every distinct pair of names that meets under some key, scored once.
+
+    Equal or empty names need no scoring. Names that cannot reach `least`, which no result asks about, are not scored either and
+    have a NULL similarity; NULL names are left out.
+    """
+    names = distinct_rows(pairs.where(all_not_null("ext_canon", "cand_canon")), "ext_canon", "cand_canon")
+    empty = (F.length("ext_canon") == 0) | (F.length("cand_canon") == 0)
+    bound = jaro_winkler_bound(F.col("ext_canon"), F.col("cand_canon"))
+    state = F.when(empty, "empty").when(F.col("ext_canon") == F.col("cand_canon"), "equal").when(bound < least - 1e-9, "far").otherwise("open")
+    judged = names.withColumn("_state", state)
+    known = judged.where("_state <> 'open'").select(
+        "ext_canon", "cand_canon", F.when(F.col("_state") == "equal", 1.0).when(F.col("_state") == "empty", 0.0).alias("similarity"))
+    scored = judged.where("_state = 'open'").select(
+        "ext_canon", "cand_canon", jaro_winkler("ext_canon", "cand_canon").alias("similarity"))
+    return known.unionByName(scored)
 
 
 def residual_by_id(residual: DataFrame, cand: DataFrame, pairs: DataFrame) -> DataFrame:
