@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.functions.text import normalize_text
+from assayline.functions.text import let, normalize_text
 from assayline.vocabulary import METADATA_KEY
 
 
@@ -88,18 +88,20 @@ def group_excess(rows: DataFrame, group: str = "component_id") -> DataFrame:
 
 
 def text_key(column: str = "text") -> Column:
-    """Hash of the normal form; NULL for texts that have none left."""
-    norm = normalize_text(F.col(column))
-    return F.when(F.length(norm) > 0, F.sha2(norm, 256))
+    """Hash of the normal form, which is worked out once; NULL for texts that have none left."""
+    return let(normalize_text(F.col(column)), lambda norm: F.when(F.length(norm) > 0, F.sha2(norm, 256)))
 
 
 def text_overlap(left: DataFrame, right: DataFrame, column: str = "text", name: str = "in_other") -> DataFrame:
     """`left` with the number of rows of `right` that have the same normal form; texts without a normal form meet nothing.
 
     Only hashes meet, and `right` is counted per hash before, so a text that a third of both sides hold makes no row pairs.
+    Rows without a hash get a number of their own to be joined on, so they are dealt over all tasks and meet nothing.
     """
-    there = right.select(text_key(column).alias("_key")).where("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias(name))
+    zero = F.lit(0).cast("bigint")
+    one = F.explode(F.array_compact(F.array(text_key(column)))).alias("_key")  # expanded: a filter would work it out again
+    there = right.select(one).groupBy("_key").agg(F.count("*").alias(name)).withColumn("_spread", zero)
     keyed = left.withColumn("_key", text_key(column))
-    met = keyed.where("_key IS NOT NULL").join(there, "_key", "left").unionByName(
-        keyed.where("_key IS NULL").withColumn(name, F.lit(None).cast("bigint")))
+    dealt = keyed.withColumn("_spread", F.when(F.col("_key").isNotNull(), zero).otherwise(F.monotonically_increasing_id() + 1))
+    met = dealt.join(there, ["_key", "_spread"], "left")
     return met.select(*left.columns, F.coalesce(name, F.lit(0)).cast("bigint").alias(name))

@@ -49,3 +49,16 @@ def test_each_distinct_pair_is_scored_once(spark):
     assert any(s is None for s in got.values())
     every = matching.scored_names(pairs, 0.0)
     assert all(r.similarity == jaro_winkler_of(r.ext_canon, r.cand_canon) for r in every.collect())
+
+
+def test_normal_form_is_worked_out_once_a_side(spark, tmp_path):
+    from assayline.operators import duplicates
+
+    for side in "lr":
+        spark.createDataFrame([(i, f"Metin {i % 5}" if i % 4 else None) for i in range(40)], "id int, text string").write.parquet(str(tmp_path / side))
+    left, right = (spark.read.parquet(str(tmp_path / side)) for side in "lr")
+    found = duplicates.text_overlap(left, right).select("id", "in_other")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert scans(found) == 2 and len([x for x in plan.split("\n") if "regexp_replace(" in x]) == 2
+    counts = {k: sum(i % 5 == k and i % 4 > 0 for i in range(40)) for k in range(5)}
+    assert rows(found) == sorted(((i, counts[i % 5] if i % 4 else 0) for i in range(40)), key=repr)
