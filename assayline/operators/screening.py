@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from assayline.functions.patterns import context_flags, direct_flags, mask_pii, needle_form
 from assayline.functions.predicates import changed, is_masked
 from assayline.functions.text import rate, text_windows
-from assayline.operators.sampling import modern_flag, top_n_per_stratum
+from assayline.operators.sampling import modern_flag, top_k, top_n_per_stratum
 from assayline.vocabulary import (
     CONTEXT_PATTERNS, CONTEXT_SAMPLE, DIRECT_PATTERNS, ENTITY_SAMPLE, ENTITY_THRESHOLDS, MASK_TOKENS,
 )
@@ -130,24 +132,69 @@ Detector = Callable[[str], list[tuple[str, float]]]
 DETECTIONS = "id string, chunk_no int, label string, score double, failed boolean"
 
 
-def detect_entities(chunks: DataFrame, detector: Detector) -> DataFrame:
-    """Runs a detector (text -> [(label, score)]) over all chunks, inside the tasks.
+#: What a batch detector's set-up gives: texts in, for each of them its (label, score) pairs out.
+BatchDetector = Callable[[list[str]], list[list[tuple[str, float]]]]
 
-    Each chunk leaves at least one row: a chunk without entity has a NULL label, a failed one is marked.
+ATTEMPTS = DETECTIONS + ", error string"
+
+
+def _tried(detect: BatchDetector, texts: list[str]) -> list[list[tuple[str, float]] | Exception]:
+    """Results of all texts; a batch that fails is halved until only the texts that cause it have failed."""
+    try:
+        found = detect(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} results for {len(texts)} texts")
+        return found
+    except Exception as error:
+        if len(texts) == 1:
+            return [error]
+        half = len(texts) // 2
+        return _tried(detect, texts[:half]) + _tried(detect, texts[half:])
+
+
+def detect_batches(chunks: DataFrame, setup: Callable[[], BatchDetector], size: int = 64) -> DataFrame:
+    """Runs a detector over all chunks, `size` texts at a time: `DETECTIONS` and the `error` of a failed chunk.
+
+    `setup` makes the detector (loads a model, say). It is called once in each Python worker, which keeps what it gives for
+    later tasks of the same run. Each chunk leaves at least one row, as with `detect_entities`.
     """
+    run_name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = sys.__dict__.setdefault("_assayline_detectors", {})
+        if run_name not in kept:
+            kept.clear()  # a worker holds one detector at a time
+            kept[run_name] = setup()
         for batch in batches:
             rows = []
-            for doc, no, chunk in zip(batch["id"], batch["chunk_no"], batch["chunk"]):
-                try:
-                    found = detector(chunk) or [(None, None)]
-                    rows += [(doc, no, label, score, False) for label, score in found]
-                except Exception:
-                    rows.append((doc, no, None, None, True))
-            yield pd.DataFrame(rows, columns=["id", "chunk_no", "label", "score", "failed"])
-
-    return chunks.select("id", "chunk_no", "chunk").mapInPandas(run, DETECTIONS)
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at : at + size]
+                results = _tried(kept[run_name], part["chunk"].tolist())
+                for doc, no, found in zip(part["id"], part["chunk_no"], results):
+                    if isinstance(found, Exception):
+                        rows.append((doc, no, None, None, True, f"{type(found).__name__}: {found}"))
+                    else:
+                        rows += [(doc, no, label, score, False, None) for label, score in found or [(None, None)]]
+            yield pd.DataFrame(rows, columns=["id", "chunk_no", "label", "score", "failed", "error"])
+
+    return chunks.select("id", "chunk_no", "chunk").mapInPandas(run, ATTEMPTS)
+
+
+def detect_entities(chunks: DataFrame, detector: Detector) -> DataFrame:
+    """Runs a detector (text -> [(label, score)]) over all chunks, inside the tasks.
+
+    Each chunk leaves at least one row: a chunk without entity has a NULL label, a failed one is marked.
+    """
+    def setup() -> BatchDetector:
+        return lambda texts: [detector(t) or [] for t in texts]
+
+    return detect_batches(chunks, setup, size=1).drop("error")
+
+
+def entity_errors(detections: DataFrame, k: int = 20) -> DataFrame:
+    """(error, chunks): the most frequent failures of `detect_batches`."""
+    counts = detections.where("failed").groupBy("error").agg(F.count("*").alias("chunks"))
+    return top_k(counts, k, F.desc("chunks"), F.col("error").asc_nulls_last())
 
 
 def detect_direct(chunks: DataFrame, mode: str = "re2", score: float = 1.0) -> DataFrame:

@@ -149,13 +149,17 @@ def contextual_audit(df: DataFrame, limits: dict[int, int] | None = CONTEXT_SAMP
 
 
 def entity_audit(df: DataFrame, detector: screening.Detector | None = None,
-                 limits: dict[int, int] | None = ENTITY_SAMPLE, windows: Callable[[Column], Column] = text_windows) -> Tables:
+                 limits: dict[int, int] | None = ENTITY_SAMPLE, windows: Callable[[Column], Column] = text_windows,
+                 setup: Callable[[], screening.BatchDetector] | None = None) -> Tables:
     """Entities in windows over the whole texts of a sample; `limits=None` reads all rows.
 
-    Without a detector the direct-identifier patterns stand in for one.
+    A detector is a function of one text, or `setup` makes one of a batch of texts, once per worker; then `errors` has the
+    most frequent failures. Without either the direct-identifier patterns stand in for one.
     """
     def detected() -> DataFrame:
         chunks = screening.windowed_chunks(screening.entity_sample(df, limits), windows)
+        if setup:
+            return screening.detect_batches(chunks, setup)
         return screening.detect_entities(chunks, detector) if detector else screening.detect_direct(chunks)
 
     out = Tables()
@@ -164,6 +168,8 @@ def entity_audit(df: DataFrame, detector: screening.Detector | None = None,
     out.add("entities", lambda: screening.entity_counts(found()))
     out.add("documents", lambda: screening.documents_with_entities(found()))
     out.add("quality", lambda: screening.entity_run_quality(found()))
+    if setup:
+        out.add("errors", lambda: screening.entity_errors(found()))
     return out
 
 
