@@ -4,7 +4,7 @@ Filter directions are a structured random product code: a rotated vector is cut
 code of `b` directions, and every pair (i, j) of them is one of b * b filters. A vector is list-decoded to all filters
 whose summed inner product exceeds a threshold, about `list_length(b)` of them. `CODES` such codes, each turned another way,
 make up for vectors that one code treats badly. Vectors of a label are joined on filters and verified by cosine in double
-precision. `b` follows the square root of the number of vectors, so that a filter holds tens of them at any size, and the
+precision. `b` follows the square root of the largest label's number of vectors, so that a filter holds tens of them at any size, and the
 lists grow with `b` so that the share of pairs without a common filter stays the same: in 64 dimensions, of pairs at cosine
 0.98 exactly, one code misses about one in ten at any size, and all five together about 1 in 100,000; of nearer pairs fewer.
 
@@ -275,7 +275,8 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, complete: bool =
     keyed = rows.where(F.coalesce(good, F.lit(False))).select("uid", *keys)
     classes = settle(keyed.groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("w")), "classes")
     nodes = rows.join(classes, rows["uid"] == classes["node"]).select("node", "label", "w", "embedding", F.size("embedding").alias("dim"))
-    side = int(np.clip(np.ceil(np.sqrt(classes.count()) / 4), 32, 4096))
+    largest = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0  # vectors meet within a label
+    side = int(np.clip(np.ceil(np.sqrt(largest) / 4), 32, 4096))
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"  # what the column holds, no less
     work = nodes.select("node", "label", "dim", "w", "embedding").mapInArrow(decoded_rows(side, kind, cosine, complete), WORK)
     work = settle(work, "filters")
