@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from assayline.functions import dates, patterns, predicates as p, text
+from assayline.functions import dates, patterns, predicates as p, similarity, text
 from assayline.functions.html import page_text
 from assayline.functions.similarity import jaro_winkler_of, sequence_ratio_of
 from assayline.vocabulary import CONTEXT_PATTERNS, DIRECT_PATTERNS, GUARDED_PATTERNS
@@ -205,6 +205,33 @@ def test_sequence_ratio_equals_the_standard_library(seed):
         assert sequence_ratio_of(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+@pytest.mark.parametrize(("small", "hits"), [(0, 1), (16, 16), (1 << 12, 16), (1 << 12, 0)])
+def test_listed_runs_give_the_blocks_of_the_standard_library(small, hits, monkeypatch):
+    monkeypatch.setattr(similarity, "_SMALL", small)
+    monkeypatch.setattr(similarity, "_HITS", hits)
+    rng = random.Random(hits)
+    for letters in ("ab", "abcdefgh ", "abcçğ\u4e00\U0001f600 x"):
+        for _ in range(60):
+            a = "".join(rng.choices(letters, k=rng.choice([0, 1, 30, 150]))) * rng.choice([1, 1, 3])
+            b = list(a) if rng.random() < 0.7 else rng.choices(letters, k=len(a))
+            for _ in range(rng.randint(0, 12)):
+                k = rng.randint(0, len(b))
+                b[k : k + rng.randint(0, 6)] = rng.choices(letters, k=rng.randint(0, 6))
+            b = "".join(b)
+            blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+            assert similarity.matching_chars(a, b) == sum(m.size for m in blocks)
+
+
+def test_a_text_with_many_changes_needs_no_search_per_block(monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(3000)]
+    a, b = " ".join(words), " ".join("karar" if k % 15 == 7 else w for k, w in enumerate(words))
+    searches = []
+    search = similarity._longest_match
+    monkeypatch.setattr(similarity, "_longest_match", lambda *x: searches.append(1) or search(*x))
+    assert 0.9 < sequence_ratio_of(a, b) < 1 and not searches
+
+
 def test_sequence_ratio_takes_whole_long_texts():
     rng = random.Random(9)
     a = "".join(rng.choice("abcdefghij klmnop") for _ in range(60_000))
