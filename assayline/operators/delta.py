@@ -10,11 +10,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
 
 from assayline.functions.dates import local_date
 from assayline.operators.matching import absent
@@ -22,6 +25,9 @@ from assayline.sources.landed import page_items
 from assayline.spec import SEARCH_PAGE, CorpusMap
 from assayline.vocabulary import METADATA_KEY
 
+#: Keys whose rows are handed back from a Python worker at once.
+PART = 10_000
+
 
 def landed_records(pages: DataFrame, source: str, zone: str = "Europe/Istanbul") -> DataFrame:
     """Items of landed pages in the columns of the corpus; text and what comes from it are NULL. `_order` is page order."""
@@ -71,39 +77,53 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-class _OncePerKey(StatefulProcessor):
-    """Remembers which values of a key were there; lets through the rows of a key that was not there before their batch.
-
-    With `first`, only the first of these rows by page order.
-    """
-
-    def __init__(self, first: bool) -> None:
-        self.first = first
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "known boolean")
+def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], first: bool) -> Iterator[pa.RecordBatch]:
+    """One row for every key of a part: whether a row of `known` has it, and its rows in page order, or the first of them."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts).combine_chunks().sort_by([(k, "ascending") for k in (*keys, "page_place")])
+    # Rows of a key follow each other; its first one has another key than the row before.
+    differs = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)) for c in (rows.column(k).combine_chunks() for k in keys)]
+    starts = np.concatenate([[0], np.flatnonzero(reduce(pc.or_, differs)) + 1]).astype(np.int64)
+    if first:
+        rows = rows.take(starts)
+        starts = np.arange(len(starts), dtype=np.int64)
+    held = rows.select([c for c in rows.column_names if c != "_known"]).to_struct_array().combine_chunks()
+    known = rows.column("_known").take(starts).combine_chunks()
+    for at in range(0, len(starts), PART):  # the rows of at most so many keys at once
+        ends = np.append(starts[at:at + PART + 1], [rows.num_rows] if at + PART >= len(starts) else [])
+        some = held.slice(ends[0], ends[-1] - ends[0])
+        grouped = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), some)
+        named = [rows.column(k).take(starts[at:at + PART]).combine_chunks() for k in keys]
+        yield pa.RecordBatch.from_arrays([*named, known.slice(at, PART), grouped], [*keys, "_known", "_rows"])
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        self.known.update((True,))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)  # the rows of one key that landed together
-        if batch.empty or self.known.exists():  # a key of the initial state alone comes without rows
-            return
-        self.known.update((True,))
-        yield batch.sort_values("page_place", kind="stable").head(1) if self.first else batch
+def _once(records: DataFrame, keys: tuple[str, ...], known: DataFrame, first: bool) -> DataFrame:
+    """The streamed records whose key is in no earlier batch and not among the rows of `known`; those without a whole key all.
 
-    def close(self) -> None:
-        pass
+    With `first`, only the first record of a key by page order. The rows of a key that land together are gathered before the
+    state store is asked, so that Spark's own `dropDuplicates` decides on one row per key. `known` is a stream too, which has
+    rows in the first batch only; its rows stand first in page order.
+    """
+    whole = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in records.schema.fields if f.name not in (*keys, "page_place")]
+    seeds = known.where(whole).select(*keys, *blank, F.lit("").alias("page_place"), F.lit(True).alias("_known"))
+    both = records.where(whole).withColumn("_known", F.lit(False)).unionByName(seeds)
+    shape = T.StructType([*(both.schema[k] for k in keys), T.StructField("_known", T.BooleanType()), T.StructField("_rows", T.ArrayType(
+        T.StructType([f for f in both.schema.fields if f.name != "_known"])))])
+    gathered = both.repartition(*keys).mapInArrow(lambda batches: _by_key(batches, keys, first), shape)
+    new = gathered.dropDuplicates(list(keys)).where("NOT _known").select(F.inline("_rows")).select(*records.columns)
+    return new.unionByName(records.where(f"NOT ({whole})"))
 
 
-def _once(records: DataFrame, keys: tuple[str, ...], known: DataFrame, first: bool) -> DataFrame:
-    """The streamed records whose key is in no earlier batch and not among the rows of `known`; those without a whole key all."""
-    whole = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
-    kept = records.where(whole).groupBy(*keys).transformWithStateInPandas(
-        _OncePerKey(first), records.schema, "Append", "None",
-        initialState=known.select(*keys).where(whole).distinct().groupBy(*keys))
-    return kept.unionByName(records.where(f"NOT ({whole})"))
+def _seeds(known: DataFrame, folder: str) -> DataFrame:
+    """The rows of `known` as a stream of the files in `folder`, which are written once, when the folder is new."""
+    spark = known.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        known.write.mode("overwrite").parquet(folder)
+    return spark.readStream.schema(known.schema).parquet(folder)
 
 
 def delta_stream(spark: SparkSession, landed: str, snapshot: DataFrame, sink: str, checkpoint: str, source: str,
@@ -112,7 +132,7 @@ def delta_stream(spark: SparkSession, landed: str, snapshot: DataFrame, sink: st
 
     Ids and keys that were there are remembered in the stream's own state (a RocksDB state store in `checkpoint`, cut by key
     over the shuffle partitions), so a batch costs what its own rows cost, however much has landed before: snapshot and sink
-    are read once, when a checkpoint is new, to fill the state. Each batch has a folder of its own in the sink, named by
+    are read once, when a checkpoint is new; their ids and keys are written to `known` in it and join the first batch. Each batch has a folder of its own in the sink, named by
     `checkpoint` and its number, which a batch that is run again after a failure replaces, so nothing is added twice.
 
     Of items that repeat an id the first one counts, in page order within a batch; if its key was there in an earlier batch
@@ -130,7 +150,8 @@ def delta_stream(spark: SparkSession, landed: str, snapshot: DataFrame, sink: st
     records = landed_records(spark.readStream.schema(SEARCH_PAGE).json(landed), source, zone)
     # What this checkpoint itself has written is in its state; a first batch that is run again must not find its own rows.
     others = held().where(~F.startswith("batch", F.lit(f"{mark}-")))
-    known = snapshot.select("document_id", *keys).unionByName(others.select("document_id", *keys))
+    named = list(dict.fromkeys(["document_id", *keys]))
+    known = _seeds(snapshot.select(*named).unionByName(others.select(*named)), f"{checkpoint}/known")
     fresh = _once(_once(records.withColumn("page_place", page_place()).drop("_order"), ("document_id",), known, True), keys, known, False)
 
     def add(batch: DataFrame, number: int) -> None:

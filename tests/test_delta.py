@@ -1,6 +1,7 @@
 """Merged pages, their stream, lineage and overlap of texts on small inputs with NULLs, repeats and awkward names."""
 
 import json
+import random
 
 import pytest
 from tests.conftest import rows
@@ -119,3 +120,28 @@ def test_a_batch_run_again_adds_nothing_twice(spark, snapshot, tmp_path):
     for crc in (tmp_path / "marks" / "commits").glob(".0.crc"):
         crc.unlink()
     assert rows(delta.delta_stream(spark, folder, snapshot, sink, marks, "s", KEYS), "document_id", *KEYS) == first
+
+
+def test_stream_of_many_keys_equals_a_plain_version(spark, tmp_path):
+    """Three landings with repeats of ids and keys, and a snapshot that has some: one call for the rows of a part, none a key."""
+    rng = random.Random(4)
+    folder, sink, marks = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "marks")
+    at = [CORPUS.names.index(c) for c in ("document_id", *KEYS)]
+    old = [(str(n), f"c{n % 3}" if n % 2 else None, f"{n}/1") for n in range(0, 60, 2)] + [(None, "c1", "7/1"), (None, "c1", "7/1")]
+    snapshot = spark.createDataFrame([tuple(dict(zip(at, k)).get(i) for i in range(len(CORPUS))) for k in old], CORPUS)
+    ids, keys, want = {k[0] for k in old} - {None}, {k[1:] for k in old if None not in k[1:]}, []
+    for landing in range(3):
+        items = [(rng.choice([None, *map(str, range(90))]), rng.choice([None, "c0", "c1", "c2"]), rng.choice([None, *(f"{n}/1" for n in range(90))]))
+                 for _ in range(150)]
+        pages = [page(start, *items[start : start + 3]) for start in range(0, len(items), 3)]
+        rng.shuffle(pages)
+        land(folder, pages, f"{landing}.json")
+        first = list({item[0]: item for item in reversed(items) if item[0] and item[0] not in ids}.values()) + [i for i in items if i[0] is None]
+        ids |= {item[0] for item in items}
+        added = [item for item in first if None in item[1:] or item[1:] not in keys]
+        keys |= {item[1:] for item in added}
+        want += added
+        assert rows(delta.delta_stream(spark, str(folder), snapshot, sink, marks, "s", KEYS), "document_id", *KEYS) == sorted(want, key=repr)
+    names = [json.loads(line)["operatorInfo"]["operatorName"] for f in (tmp_path / "marks" / "state").glob("*/_metadata/metadata")
+             for line in f.read_text().splitlines() if line.startswith("{")]
+    assert set(names) == {"dedupe"}
