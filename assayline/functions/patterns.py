@@ -16,8 +16,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assayline.functions.text import lower_tr
-from assayline.vocabulary import CONTEXT_PATTERNS, DIGIT_RUN, DIRECT_PATTERNS, GUARDED_PATTERNS, NEEDLES
+from assayline.functions.text import let, lower_tr
+from assayline.vocabulary import CONTEXT_PATTERNS, CORES, DIGIT_RUN, DIRECT_PATTERNS, GUARDED_PATTERNS, NEEDLES
 
 _WORD = {"re2": "0-9A-Za-z_", "turkish": r"\p{L}\p{N}_"}
 _ESCAPES = {"s": r"\t\n\f\r ", "d": "0-9", "w": "0-9A-Za-z_"}
@@ -103,6 +103,13 @@ def matches(text: Column, pattern: str, mode: str = "re2") -> Column:
     return F.rlike(text, F.lit(portable(pattern, mode)))
 
 
+def _may_match(text: Column, label: str, mode: str = "re2") -> Column:
+    """Whether the text holds what every match of that identifier holds, guarded or not: a cheap test."""
+    if label in NEEDLES:
+        return text.contains(NEEDLES[label])
+    return matches(text, CORES[label], mode) if label in CORES else F.rlike(text, F.lit(DIGIT_RUN))
+
+
 def direct_flags(text: Column, mode: str = "re2") -> dict[str, Column]:
     """Label -> whether the text shows that direct identifier.
 
@@ -120,12 +127,16 @@ def direct_flags(text: Column, mode: str = "re2") -> dict[str, Column]:
 def mask_pii(text: Column, mode: str = "re2", guarded: bool = False) -> Column:
     """Direct identifiers replaced by ``[LABEL]`` in fixed order, so a later pattern sees earlier labels.
 
-    The published patterns for IBAN and TELEFON eat one neighbour on each side; `guarded` leaves neighbours alone.
+    The published patterns for IBAN and TELEFON eat one neighbour on each side; `guarded` leaves neighbours alone. A
+    text that shows no sign of an identifier is not rewritten in its step.
     """
     steps = [(label, GUARDED_PATTERNS.get(label, p) if guarded else p) for label, _, p in DIRECT_PATTERNS]
-    return reduce(
-        lambda acc, s: F.regexp_replace(acc, F.lit(portable(s[1], mode)), F.lit(f"[{s[0]}]")), steps, text
-    )
+
+    def masked(acc: Column, label: str, pattern: str) -> Column:
+        return let(acc, lambda t: F.when(
+            _may_match(t, label, mode), F.regexp_replace(t, F.lit(portable(pattern, mode)), F.lit(f"[{label}]"))).otherwise(t))
+
+    return reduce(lambda acc, step: masked(acc, *step), steps, text)
 
 
 def needle_form(text: Column, mode: str = "re2") -> Column:

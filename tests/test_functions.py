@@ -247,3 +247,23 @@ def test_html_text_keeps_script_bodies_and_resolves_entities():
 
 def test_rows_helper(spark):
     assert rows(spark.range(2)) == [(0,), (1,)]
+
+
+@pytest.mark.parametrize("guarded", [False, True])
+@pytest.mark.parametrize("mode", ["re2", "turkish"])
+def test_masking_step_by_step_equals_masking_without_tests(spark, mode, guarded):
+    rng = random.Random(6)
+    parts = ["TR" + "1" * 24, "tr" + "2" * 24, "x", "TR" + "3" * 23, "a.b@c.de", "@", "0532 123 45 67", "+90 532-123-45-67", "05321234567", "TC kimlik no: 12345678901",
+             "T.C. 12345678901", "kredi kartı 1234 5678 9012 3456", "kart", "1234567890123", "[TCKN]", "İ", " ", ",", "9", None]
+    items = [None, ""] + ["".join(p for p in rng.choices(parts, k=rng.randint(1, 7)) if p) for _ in range(400)]
+    v = plain = F.col("v")
+    for label, _, pattern in DIRECT_PATTERNS:
+        pattern = GUARDED_PATTERNS.get(label, pattern) if guarded else pattern
+        plain = F.regexp_replace(plain, F.lit(patterns.portable(pattern, mode)), F.lit(f"[{label}]"))
+    got = values(spark, items, patterns.mask_pii(v, mode, guarded), plain)
+    assert all(a == b for a, b in got) and sum(a != i for (a, _), i in zip(got, items)) > 200
+
+
+def test_a_text_without_signs_of_an_identifier_is_not_rewritten(spark):
+    plan = spark.range(1).select(patterns.mask_pii(F.col("id").cast("string")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") == plan.count("regexp_replace") == len(DIRECT_PATTERNS)
