@@ -1,8 +1,8 @@
-"""Near duplicates of texts by built-in functions: shingles, signatures, bands, an exact check, groups.
+"""Near duplicates of texts: shingles, signatures, bands, an exact check, groups; texts and signatures in Arrow batches, the rest built-in functions.
 
 Two texts are near duplicates if the Jaccard similarity of their sets of five-word shingles (of the normal form) is at
-least 80 per cent; groups are what such links connect. The shingles of a text are hashed to 64 bits once and kept as an
-array. Texts with equal normal forms are one class, so exact copies cost nothing further. A class gets `ROWS * BANDS`
+least 80 per cent; groups are what such links connect. The words of a text are hashed to 64 bits once, then the runs of
+these hashes, which are kept as an array. Texts with equal normal forms are one class, so exact copies cost nothing further. A class gets `ROWS * BANDS`
 minima of its shingles' hashes, and `ROWS` minima in a row are a band; two classes at the limit share no band in
 (1 - 0.8^4)^24, about 3 in a million cases.
 
@@ -14,44 +14,116 @@ buckets that still hold classes of different groups are looked at, and only pair
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assayline.functions.text import normalize_text
+from assayline.functions.text import _folds
 from assayline.operators.duplicates import group_excess
 from assayline.operators.graph import connected
 from assayline.session import discard, settle
+from assayline.vocabulary import NORMAL_CHARS
 
 WIDTH, PERCENT = 5, 80
 ROWS, BANDS = 4, 24
 PIECE = 512
-
-
-def shingles(norm: Column, width: int = WIDTH) -> Column:
-    """Distinct hashes of the runs of `width` words of a normal form; of fewer words, one hash of them all; none of none."""
-    words = F.filter(F.split(norm, " "), lambda w: w != "")
-
-    def runs(of: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(of) - width + 1, F.lit(1)))
-        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(of, i, F.lit(width)))))
-
-    return F.when(F.length(norm) > 0, F.transform(F.array(words), runs)[0])
+#: Shingles whose minima a task works out at once.
+AT_ONCE = 1 << 18
+#: Words that a task remembers before it starts afresh.
+WORDS_KEPT = 400_000
+
+
+class _WordHashes(dict):
+    """The hash of the normal form of a word, 0 for a word of marks alone; forgets all words when there are too many."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.folds, self.kept = dict(_folds()) | {"İ": "i"}, set(re.findall("[" + NORMAL_CHARS + "]", "".join(map(chr, range(0x250)))))
+
+    def __missing__(self, word: str) -> int:
+        folded = "".join(self.folds.get(ch) or ch.lower() for ch in word)
+        norm = "".join(ch for ch in folded if ch in self.kept)
+        self[word] = h = max(xxhash.xxh3_64_intdigest(norm), 1) if norm else 0
+        return h
+
+
+def _text_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(uid, id, key, grams) of rows (uid, id, text): words of the normal form are hashed once each, then their runs."""
+    known = _WordHashes()
+    rng = np.random.default_rng(width)
+    times = rng.integers(0, 1 << 63, width + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sets(text: str | None) -> tuple[str | None, np.ndarray | None]:
+        words = np.fromiter((known[w] for w in text.split()), np.uint64) if text else np.empty(0, np.uint64)
+        words = words[words != 0]
+        if not len(words):
+            return None, None
+        places = max(len(words) - width + 1, 1)
+        grams = np.full(places, int(times[width]) ^ min(len(words), width), np.uint64)
+        for k in range(min(width, len(words))):
+            grams = (grams ^ words[k:k + places]) * times[k]
+            grams ^= grams >> np.uint64(32)
+        return xxhash.xxh3_128_hexdigest(words.tobytes()), np.unique(grams).view(np.int64)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            made = [sets(t) for t in part.column("text").to_pylist()]
+            if len(known) > WORDS_KEPT:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("id"), pa.array([k for k, _ in made], pa.string()),
+                                              pa.array([g for _, g in made], pa.list_(pa.int64()))], ["uid", "id", "key", "grams"])
 
 
 def _kept_sets(df: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """(uid, id, key, grams): one pass over the texts."""
-    norm = F.transform(F.array(normalize_text(F.col(text_column))), lambda t: F.struct(
-        F.when(F.length(t) > 0, F.sha2(t, 256)).alias("key"), shingles(t, width).alias("grams")))[0]
-    rows = df.select(F.col(id_column).alias("id"), norm.alias("form"))
-    return settle(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "form.key", "form.grams"), "shingles")
+    """(uid, id, key, grams): one pass over the texts. Equal normal forms have equal keys."""
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    shape = T.StructType([rows.schema["uid"], rows.schema["id"], T.StructField("key", T.StringType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    return settle(rows.mapInArrow(lambda batches: _text_sets(batches, width), shape), "shingles")
+
+
+def _band_hashes(batches: Iterator[pa.RecordBatch], rows: int, count: int) -> Iterator[pa.RecordBatch]:
+    """(node, bands): the hashes of all bands of a node. Minima are taken for all nodes of a piece at once."""
+    rng = np.random.default_rng(rows * count)
+    add, times = (rng.integers(0, 1 << 64, rows * count, dtype=np.uint64, endpoint=False) for _ in "ab")
+    times |= np.uint64(1)
+    for batch in batches:
+        batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch.column("grams")), 0), 0))
+        lists = batch.column("grams")
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        part = (offsets[1:] - offsets[0]) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            some, starts = values[offsets[low]:offsets[high]], offsets[low:high] - offsets[low]
+            out = np.empty((high - low, count), np.uint64)
+            for band in range(count):
+                named = np.full(high - low, add[band] ^ times[band], np.uint64)
+                for i in range(band * rows, (band + 1) * rows):
+                    named = (named ^ np.minimum.reduceat((some ^ add[i]) * times[i], starts)) * times[i]
+                    named ^= named >> np.uint64(32)
+                out[:, band] = named
+            lists_out = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, count), pa.int32()), pa.array(out.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(low, high - low), lists_out], ["node", "bands"])
+
+
+def signatures(grams: DataFrame, rows: int = ROWS, count: int = BANDS) -> DataFrame:
+    """grams (node, grams): (node, bands), the band a hash of its number and its minima; nodes without grams are left out."""
+    kind = f"node {grams.schema['node'].dataType.simpleString()}, bands array<bigint>"
+    return grams.select("node", "grams").mapInArrow(lambda batches: _band_hashes(batches, rows, count), kind)
 
 
 def bands(grams: DataFrame, rows: int = ROWS, count: int = BANDS) -> DataFrame:
-    """grams (node, grams): (band, node), the band a hash of its number and its minima. One row a class is shuffled."""
-    each = grams.select("node", F.explode("grams").alias("gram"))
-    minima = each.groupBy("node").agg(*[F.min(F.xxhash64("gram", F.lit(i))).alias(f"m{i}") for i in range(rows * count)])
-    named = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + i}") for i in range(rows)]) for b in range(count)]
-    return minima.select("node", F.explode(F.array(*named)).alias("band"))
+    """grams (node, grams): (node, band), a row for every band of a node."""
+    return signatures(grams, rows, count).select("node", F.explode("bands").alias("band"))
 
 
 def linked(pairs: DataFrame, grams: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -91,8 +163,8 @@ def near_duplicates(df: DataFrame, id_column: str = "id", text_column: str = "te
     sets = _kept_sets(df, id_column, text_column, width)
     keyed = sets.where("key IS NOT NULL")
     classes = settle(keyed.groupBy("key").agg(F.min("uid").alias("node")), "classes")
-    buckets = bands(keyed.select(F.col("uid").alias("node"), "grams"))
-    buckets = settle(buckets.join(classes.select("node"), "node", "left_semi"), "bands")
+    signed = signatures(keyed.select(F.col("uid").alias("node"), "grams")).join(classes.select("node"), "node", "left_semi")
+    buckets = settle(signed.select("node", F.explode("bands").alias("band")), "bands")
     first = settle(first_pairs(buckets), "pairs")
     # Whole sets travel only for classes that share a bucket; both rounds of checks read these.
     met = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -100,3 +100,25 @@ def test_value_reaches_the_gate(spark):
     metrics = audits.acceptance_metrics(totals, excess, gaps, near=near.near_duplicate_excess(df))
     gate = audits.acceptance(spark, metrics)["gates"].where("metric = 'near_duplicate_rate'").first()
     assert (gate["observed"], gate["state"]) == (0.1, "FAIL")
+
+
+def test_signatures_agree_as_often_as_sets_do(spark):
+    """One pass over the arrays, without a row per shingle: equal minima of two sets are as frequent as common members."""
+    rng = random.Random(5)
+    members = [rng.getrandbits(64) - (1 << 63) for _ in range(300)]
+    sets = [(0, members[:200]), (1, members[20:200]), (2, members[100:]), (3, members[:1]), (4, []), (5, None)]
+    df = spark.createDataFrame(sets, "node long, grams array<long>")
+    plan = near.bands(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    got = {r.node: r.bands for r in near.signatures(df, 1, 4000).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    assert len(set(got[3])) == 4000
+    share = lambda a, b: sum(x == y for x, y in zip(got[a], got[b])) / 4000
+    assert abs(share(0, 1) - 0.9) < 0.03 and abs(share(0, 2) - 1 / 3) < 0.04 and share(0, 3) < 0.03
+
+
+def test_pieces_of_a_batch_do_not_change_its_signatures(spark, monkeypatch):
+    df = spark.createDataFrame([(n, [n * 7919 * k for k in range(1, 2 + n % 9)]) for n in range(60)], "node long, grams array<long>").coalesce(1)
+    want = rows(near.bands(df))
+    monkeypatch.setattr(near, "AT_ONCE", 5)
+    assert rows(near.bands(df)) == want and len(want) == 60 * near.BANDS
