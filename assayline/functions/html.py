@@ -5,10 +5,13 @@ from __future__ import annotations
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql.functions import pandas_udf
+import pyarrow as pa
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
+#: Pages that are Python objects at the same time.
+AT_ONCE = 64
+
 
 class _Pieces(HTMLParser):
     """Keeps each run of character data, script and style bodies included."""
@@ -36,7 +39,8 @@ def page_text(page: str | None) -> str | None:
     return unescape("\n".join(reader.pieces))
 
 
-@pandas_udf(StringType())
-def html_to_text(pages: pd.Series) -> pd.Series:
-    """Character data of a page, one line per run, entities resolved."""
-    return pages.map(page_text)
+@arrow_udf(StringType())
+def html_to_text(pages: pa.Array) -> pa.Array:
+    """Character data of a page, one line per run, entities resolved. A batch stays in Arrow's form but for a few pages."""
+    parts = [pa.array(map(page_text, pages.slice(at, AT_ONCE).to_pylist()), pa.string()) for at in range(0, len(pages), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())

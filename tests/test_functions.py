@@ -3,10 +3,11 @@ import re
 from difflib import SequenceMatcher
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assayline.functions import dates, patterns, predicates as p, similarity, text
+from assayline.functions import dates, html, patterns, predicates as p, similarity, text
 from assayline.functions.html import page_text
 from assayline.functions.similarity import jaro_winkler_of, sequence_ratio_of
 from assayline.vocabulary import CONTEXT_PATTERNS, DIRECT_PATTERNS, GUARDED_PATTERNS
@@ -267,3 +268,12 @@ def test_masking_step_by_step_equals_masking_without_tests(spark, mode, guarded)
 def test_a_text_without_signs_of_an_identifier_is_not_rewritten(spark):
     plan = spark.range(1).select(patterns.mask_pii(F.col("id").cast("string")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") == plan.count("regexp_replace") == len(DIRECT_PATTERNS)
+
+
+def test_pages_of_a_batch_are_read_a_few_at_a_time(monkeypatch):
+    """A batch stays in Arrow's form: no more than a few pages are Python objects at once."""
+    monkeypatch.setattr(html, "AT_ONCE", 3)
+    pages = pa.array(["<p>a</p>b", None, "", "<i>x"] * 5)
+    got = html.html_to_text.func(pages)
+    assert isinstance(got, pa.Array) and got.to_pylist() == [page_text(p) for p in pages.to_pylist()]
+    assert html.html_to_text.func(pages.slice(0, 0)).to_pylist() == []
